@@ -135,21 +135,24 @@ def _border_rows(data: Ordered, keys: list[str], reach: int, backwards: bool) ->
 
 def running(data: DataFrame | Ordered, keys: list[str], totals: dict[str, tuple[str, Column]],
             order: tuple[str, ...] = ("time", "seq"), reverse: bool = False,
+            exclusive: bool = False, keep_chunk: bool = False,
             rows_per_chunk: int | None = None) -> DataFrame:
     """Running totals from the first row of a group up to the current row.
 
     ``totals`` maps a new column to ``(kind, column)``; kinds are ``sum``,
-    ``max`` and ``min``. ``reverse`` runs from the last row backwards.
+    ``max`` and ``min``. ``reverse`` runs from the last row backwards,
+    ``exclusive`` leaves the current row out.
     """
     data = chunked(data, order, rows_per_chunk)
     kinds = {"sum": F.sum, "max": F.max, "min": F.min}
     by = [*keys, CHUNK]
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in data.order]
     window = (Window.partitionBy(*by).orderBy(*sort)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+              .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
     local = data.df.withColumns({name: kinds[kind](col).over(window) for name, (kind, col) in totals.items()})
+    helpers = [] if keep_chunk else [CHUNK]
     if data.chunks == 1:
-        return local.drop(CHUNK)
+        return local.drop(*helpers)
     summary = data.df.groupBy(*by).agg(*[kinds[kind](col).alias(name) for name, (kind, col) in totals.items()])
     step = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
     earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
@@ -164,7 +167,7 @@ def running(data: DataFrame | Ordered, keys: list[str], totals: dict[str, tuple[
                 F.coalesce(own, F.lit(0)) + F.coalesce(past, F.lit(0)))
         else:
             merged[name] = F.greatest(own, past) if kind == "max" else F.least(own, past)
-    return joined.withColumns(merged).drop(CHUNK, *[f"_carry_{n}" for n in totals])
+    return joined.withColumns(merged).drop(*helpers, *[f"_carry_{n}" for n in totals])
 
 
 def row_index(data: DataFrame | Ordered, keys: list[str] = (), name: str = "idx",
