@@ -1 +1,136 @@
-"""Registered queries."""
+"""Feature tables and model inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from temblor.operators import cleaning, features, spatial
+from temblor.registered import register
+from temblor.registered.spatial import GRID, r6
+from temblor.schemas import MAG_FEATURES, TIME_FEATURES
+from temblor.sources.catalog import catalog
+
+W = "over (partition by region_code order by us, seq)"
+
+
+def _features(spark, sf_dir):
+    return features.sequence_features(catalog(spark, sf_dir))
+
+
+@register("sequence_features")
+def sequence_features(spark, sf_dir):
+    """The full feature table; its parts are checked one by one elsewhere."""
+    columns = list(dict.fromkeys([*TIME_FEATURES, *MAG_FEATURES, "target_time_to_next", "target_next_mag"]))
+    return _features(spark, sf_dir).select("id", F.unix_micros("time").alias("us"), *columns)
+
+
+@register("regional_features")
+def regional_features(spark, sf_dir):
+    """Calendar, zone, history and quality columns of every event."""
+    return features.regional_features(catalog(spark, sf_dir)).withColumn("time", F.unix_micros("time"))
+
+
+@register("engineered_fields", GRID + """,
+dim as (select *, row_number() over (order by lat_cell, lon_cell) as region_id
+        from (select distinct region_code, lat_cell, lon_cell from grid))
+select id, year("time")::bigint as year, hour("time")::bigint as hour, region_id,
+       round(ln(1 + coalesce(sig, 0)), 6) as sig_log1p, (dmin is null)::bigint as dmin_missing,
+       case when depth <= 70 then 'shallow' when depth <= 300 then 'intermediate' else 'deep' end as depth_band,
+       round(sin(2*pi()*month("time")/12e0), 6) as month_sin
+from grid join dim using (region_code)""")
+def engineered_fields(spark, sf_dir):
+    out = features.engineered(catalog(spark, sf_dir))
+    return out.select("id", "year", "hour", "region_id", r6("sig_log1p", "sig_log1p"), "dmin_missing", "depth_band",
+                      r6("month_sin", "month_sin"))
+
+
+_LAGS = ["mag", "depth", "gap", "nst", "rms"]
+
+
+def _lookback_sql():
+    lags = {c: [f"lag({c}, {i}) over w" for i in range(7, -1, -1)] for c in [*_LAGS, "h"]}
+    flat = ", ".join(f"{x}::double as {c}_{i}" for c, xs in lags.items() for i, x in enumerate(xs))
+    names = ", ".join(f"round({c}_{i}, 6)" for c in [*_LAGS, "h"] for i in range(8))
+
+    def mean(c):
+        return "(" + " + ".join(f"{c}_{i}" for i in range(8)) + ")/8"
+
+    def spread(c):
+        return "sqrt((" + " + ".join(f"pow({c}_{i} - {mean(c)}, 2)" for i in range(8)) + ")/8)"
+
+    return f"""
+m as (select median(gap) gap, median(rms) rms, cast(trunc(median(nst)) as bigint) nst from eq),
+e as (select id, us, seq, mag, depth, coalesce(eq.gap, m.gap) gap, coalesce(eq.nst, m.nst) nst,
+             coalesce(eq.rms, m.rms) rms, coalesce((us - lag(us) over (order by us, seq))/3600e6, 0) as h from eq, m),
+l as (select id, {flat}, lead(mag) over w as next_mag, (lead(us) over w - us)/3600e6 as next_hours,
+             lag(seq, 7) over w as first_seq, lead(us) over w as target_us from e window w as (order by us, seq))
+select id, array_to_string([{names}, round({mean('mag')}, 6), round({spread('mag')}, 6), round({mean('depth')}, 6),
+       round({mean('h')}, 6), round({spread('h')}, 6)]::decimal(18, 6)[], ',') as features, next_mag,
+       next_hours, target_us from l where first_seq is not null and next_mag is not null"""
+
+
+@register("lookback_matrix", _lookback_sql())
+def lookback_matrix(spark, sf_dir):
+    events = cleaning.median_fill(catalog(spark, sf_dir))
+    out = features.lookback_matrix(events)
+    numbers = F.transform("features", lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string"))
+    return out.select("id", F.array_join(numbers, ",").alias("features"), "next_mag", "next_hours",
+                      F.unix_micros("target_time").alias("target_us"))
+
+
+@register("sequence_windows", GRID + f""",
+l as (select id, mag as target, """ + ", ".join(
+    f"lag(mag, {i}) {W} as m{i}, lag(depth, {i}) {W} as d{i}" for i in range(1, 6)) + """ from grid)
+select id, target, concat_ws(';', """ + ", ".join(
+    f"concat_ws(',', m{i}::decimal(18,4), d{i}::decimal(18,4))" for i in range(5, 0, -1)) + """) as "window"
+from l where m5 is not null""")
+def sequence_windows(spark, sf_dir):
+    grid = spatial.add_grid(catalog(spark, sf_dir))
+    out = features.sequence_windows(grid, ["mag", "depth"], "mag")
+    row = F.transform("window", lambda r: F.array_join(F.transform(r, lambda x: x.cast("decimal(18,4)").cast("string")), ","))
+    return out.select("id", "target", F.array_join(row, ";").alias("window"))
+
+
+@register("ordered_split", """
+i as (select id, row_number() over (order by us, seq) - 1 as i, count(*) over () as n from eq)
+select id, case when i < floor(n*8e-1) then 'train' when i < floor(n*8e-1) + floor(n*1e-1) then 'val' else 'test' end as split,
+       case when i < least(greatest(floor(n*8e-1), 10), n - 5) then 'train' else 'test' end as two_way from i""")
+def ordered_split(spark, sf_dir):
+    three = features.ordered_split(catalog(spark, sf_dir))
+    two = features.train_test_split(three.withColumnRenamed("split", "three"))
+    return two.select("id", F.col("three").alias("split"), F.col("split").alias("two_way"))
+
+
+@register("standardize", """
+i as (select *, row_number() over (order by us, seq) - 1 as i, count(*) over () as n from eq),
+s as (select avg(mag) mm, stddev_pop(mag) ms, avg(depth) dm, stddev_pop(depth) ds from i where i < floor(n*8e-1))
+select id, round((mag - mm)/ms, 8) as mag, round((depth - dm)/ds, 8) as depth from i, s""")
+def standardize(spark, sf_dir):
+    split = features.ordered_split(catalog(spark, sf_dir))
+    out = features.standardize(split, ["mag", "depth"], F.col("split") == "train")
+    return out.select("id", F.round("mag_std", 8).alias("mag"), F.round("depth_std", 8).alias("depth"))
+
+
+@register("time_dataset", GRID.replace("25e-1", "5e-1").replace("'G%03d_%03d'", "'R%03d_%03d'") + f""",
+t as (select *, (lead(us) {W} - us)/1e6 as target_time_to_next from grid)
+select id, region_code, mag, depth, sig, (target_time_to_next <= 604800)::bigint as target_quake_in_7days
+from t where target_time_to_next is not null""")
+def time_dataset(spark, sf_dir):
+    data = features.time_dataset(_features(spark, sf_dir))
+    return data.select("id", "region_code", "mag", "depth", "sig", "target_quake_in_7days")
+
+
+@register("mag_dataset", GRID.replace("25e-1", "5e-1").replace("'G%03d_%03d'", "'R%03d_%03d'") + f""",
+t as (select *, lead(mag) {W} as target_next_mag from grid)
+select id, region_code, mag, depth, coalesce(mmi, 0) as mmi, coalesce(felt, 0) as felt, target_next_mag
+from t where target_next_mag is not null""")
+def mag_dataset(spark, sf_dir):
+    data = features.mag_dataset(_features(spark, sf_dir))
+    return data.select("id", "region_code", "mag", "depth", "mmi", "felt", "target_next_mag")
+
+
+@register("region_encode", GRID + """
+select id, region_code, dense_rank() over (order by region_code) - 1 as region_encoded from grid""")
+def region_encode(spark, sf_dir):
+    grid = spatial.add_grid(catalog(spark, sf_dir))
+    return features.region_encode(grid, features.region_codes(grid)).select("id", "region_code", "region_encoded")

@@ -105,10 +105,10 @@ roles as (select id, case when mag >= 55e-1 then 'mainshock' when dt is null the
 
 
 @register("shock_roles", ROLES + """
-select id, shock_role, related_mainshock_id, round(hours_to_mainshock, 6) as hours_to_mainshock from roles""")
+select id, shock_role, related_mainshock_id, hours_to_mainshock from roles""")
 def shock_roles(spark, sf_dir):
     return rangejoin.shock_roles(catalog(spark, sf_dir)).select(
-        "id", "shock_role", "related_mainshock_id", r6("hours_to_mainshock", "hours_to_mainshock"))
+        "id", "shock_role", "related_mainshock_id", "hours_to_mainshock")
 
 
 @register("shock_role_counts", ROLES + " select shock_role, count(*) as n from roles group by 1")
