@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from temblor.functions.bins import MAG_RANGE, bin_column
 from temblor.functions.scalars import normalize_mag_type, normalize_text
 from temblor.operators.ordered import row_index
-from temblor.operators.quantiles import exact_quantiles, medians, scalars
+from temblor.operators.quantiles import exact_quantiles, fixed, medians, scalars
 from temblor.schemas import coerce, require_columns
 
 FLOAT_COLUMNS = ["latitude", "longitude", "depth", "mag", "gap", "rms"]
@@ -66,7 +66,7 @@ def filter_invalid(df: DataFrame, event_type: str = "earthquake") -> DataFrame:
 def median_fill(df: DataFrame, columns: list[str] = ("gap", "rms", "nst", "sig"),
                 whole: list[str] = ("nst", "sig")) -> DataFrame:
     """Fill gaps with the exact median; whole-number columns truncate it."""
-    filled = scalars(medians(df, list(columns)))
+    filled = fixed(medians(df, list(columns)))
     return df.withColumns({
         c: F.coalesce(F.col(c), filled[c].cast("bigint") if c in whole else filled[c])
         for c in columns

@@ -10,7 +10,7 @@ from temblor.functions import scalars as fn
 from temblor.operators import rangejoin, sequences, temporal
 from temblor.operators.cleaning import median_fill, zero_fill
 from temblor.operators.ordered import over_rows, row_index
-from temblor.operators.quantiles import scalars
+from temblor.operators.quantiles import fixed, scalars
 from temblor.operators.spatial import add_region_ids, attach, minmax_scale, seismicity_density
 from temblor.schemas import MAG_FEATURES, TIME_FEATURES, require_columns
 from temblor.session import materialize
@@ -191,7 +191,7 @@ def standardize(df: DataFrame, columns: list[str], fit: Column | None = None, su
                 eps: float = 1e-12) -> DataFrame:
     """(x - mean) / spread, both taken from the rows that pass ``fit``."""
     source = df if fit is None else df.where(fit)
-    stats = scalars(source.agg(*[F.avg(c).alias(f"{c}_m") for c in columns],
+    stats = fixed(source.agg(*[F.avg(c).alias(f"{c}_m") for c in columns],
                                *[F.stddev_pop(c).alias(f"{c}_s") for c in columns]))
     out = {}
     for c in columns:

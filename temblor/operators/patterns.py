@@ -25,7 +25,7 @@ def quantile_bins(df: DataFrame, columns: list[str], q: int = 3) -> DataFrame:
     Where two limits coincide every row gets ``_q1``, nulls included.
     """
     shares = [i / q for i in range(q + 1)]
-    limits = scalars(exact_quantiles(df, columns, shares))
+    limits = fixed(exact_quantiles(df, columns, shares))
     out = {}
     for c in columns:
         edges = [limits[c][i] for i in range(q + 1)]

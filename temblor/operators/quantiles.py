@@ -20,12 +20,13 @@ def scalars(row: DataFrame) -> dict[str, Column]:
 def fixed(row: DataFrame) -> dict[str, Column]:
     """Values of a one-row frame, computed now and returned as literals.
 
-    For jobs that stack several global statistics: nested subqueries would be
-    planned again inside each other. One row comes to the driver.
+    For statistics that many columns use: a subquery would be planned once per
+    use, and again inside later ones. One row comes to the driver.
     """
     kinds = dict(row.dtypes)
     first = row.first()
-    return {c: F.lit(first[c]).cast(kinds[c]) for c in row.columns}
+    return {c: (F.array(*[F.lit(v) for v in first[c]]) if isinstance(first[c], list) else F.lit(first[c]))
+            .cast(kinds[c]) for c in row.columns}
 
 
 def value_counts(df: DataFrame, value: str, keys: list[str] = (), **sums: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from temblor.functions import geo
-from temblor.operators.quantiles import exact_quantiles, scalars
+from temblor.operators.quantiles import exact_quantiles, fixed, scalars
 
 # A region dimension is broadcast only below this many cells (some 10 MB).
 MAX_BROADCAST_CELLS = 300_000
@@ -66,7 +66,7 @@ def spherical_centroid(df: DataFrame, keys: list[str] = (), eps: float = 1e-9) -
 
 def geo_scale(df: DataFrame, eps: float = 1e-9) -> DataFrame:
     """One row: spread of distances to the centroid in km, at least 1."""
-    center = scalars(spherical_centroid(df))
+    center = fixed(spherical_centroid(df))
     far = df.select(geo.haversine_km("latitude", "longitude", center["centroid_latitude"],
                                      center["centroid_longitude"]).alias("d"))
     spread = far.agg(F.stddev_pop("d").alias("s"), F.avg("d").alias("m"))
@@ -109,7 +109,7 @@ def seismicity_density(df: DataFrame, bins: int = 99) -> DataFrame:
     Cells are open on the left, so the smallest coordinate falls outside and
     counts 1, as do its row and column.
     """
-    box = scalars(df.agg(F.min("latitude").alias("lat0"), F.max("latitude").alias("lat1"),
+    box = fixed(df.agg(F.min("latitude").alias("lat0"), F.max("latitude").alias("lat1"),
                          F.min("longitude").alias("lon0"), F.max("longitude").alias("lon1")))
 
     def slot(value, low, high):
@@ -132,7 +132,7 @@ def hex_density(df: DataFrame, grid: int = 100) -> DataFrame:
     nearer of its two candidate centres.
     """
     rows = int(grid / math.sqrt(3))
-    box = scalars(df.agg(F.min("longitude").alias("x0"), F.max("longitude").alias("x1"),
+    box = fixed(df.agg(F.min("longitude").alias("x0"), F.max("longitude").alias("x1"),
                          F.min("latitude").alias("y0"), F.max("latitude").alias("y1")))
     x = (F.col("longitude") - box["x0"]) / ((box["x1"] - box["x0"]) / F.lit(float(grid)))
     y = (F.col("latitude") - box["y0"]) / ((box["y1"] - box["y0"]) / F.lit(float(rows)))
@@ -153,7 +153,7 @@ def hex_density(df: DataFrame, grid: int = 100) -> DataFrame:
 
 def minmax_scale(df: DataFrame, columns: list[str], suffix: str = "_normalized") -> DataFrame:
     """Scale columns to 0..1; a constant column becomes 0."""
-    limits = scalars(df.agg(*[F.min(c).alias(f"{c}_lo") for c in columns],
+    limits = fixed(df.agg(*[F.min(c).alias(f"{c}_lo") for c in columns],
                             *[F.max(c).alias(f"{c}_hi") for c in columns]))
     out = {}
     for c in columns:

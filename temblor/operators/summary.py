@@ -169,7 +169,7 @@ def corr_matrix(df: DataFrame, columns: list[str] = NUMERIC, method: str = "pear
     """
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if fill == "median":
-        middle = scalars(medians(numbers, columns))
+        middle = fixed(medians(numbers, columns))
         numbers = numbers.withColumns({c: F.coalesce(F.col(c), middle[c]) for c in columns})
     else:
         numbers = numbers.na.drop()
@@ -231,7 +231,7 @@ def mag_stats(df: DataFrame, thresholds: tuple[float, ...] = (4.0, 5.0, 6.0)) ->
 
 def histogram(df: DataFrame, column: str, buckets: int = 50) -> DataFrame:
     """Counts in equal bins between the smallest and the largest value."""
-    limits = scalars(df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")))
+    limits = fixed(df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")))
     step = (limits["hi"] - limits["lo"]) / F.lit(float(buckets))
     value = F.col(column).cast("double")
     slot = F.when(limits["hi"] == limits["lo"], F.lit(0).cast("bigint")).otherwise(

@@ -1 +1,130 @@
-"""Registered queries."""
+"""Clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from temblor.operators import cleaning, clustering, features, summary
+from temblor.registered import register
+from temblor.registered.spatial import GRID, r6
+from temblor.sources.catalog import catalog
+
+SCALED = [c + "_scaled" for c in clustering.EVENT_FEATURES]
+PHYSICAL = ["mag", "depth", "gap", "nst", "rms"]
+
+
+def _events(spark, sf_dir):
+    flagged = catalog(spark, sf_dir).withColumn("tsunami", cleaning.zero_one("tsunami"))
+    return features.engineered(flagged)
+
+
+def _matrix(spark, sf_dir):
+    return clustering.robust_scale(_events(spark, sf_dir), clustering.EVENT_FEATURES)
+
+
+@register("robust_scale", """
+m as (select median(gap) gap from eq),
+f as (select id, mag, coalesce(eq.gap, m.gap) as gap from eq, m),
+q as (select quantile_cont(mag, 0.1) a, median(mag) b, quantile_cont(mag, 0.9) c, quantile_cont(gap, 0.1) d,
+             median(gap) e, quantile_cont(gap, 0.9) f from f)
+select id, round((mag - b)/(c - a), 8) as mag, round((f.gap - e)/(q.f - d), 8) as gap from f, q""")
+def robust_scale(spark, sf_dir):
+    scaled = clustering.robust_scale(catalog(spark, sf_dir), ["mag", "gap"])
+    return scaled.select("id", F.round("mag_scaled", 8).alias("mag"), F.round("gap_scaled", 8).alias("gap"))
+
+
+@register("event_k_eval")
+def event_k_eval(spark, sf_dir):
+    return clustering.k_sweep(_matrix(spark, sf_dir), SCALED)
+
+
+@register("event_clusters")
+def event_clusters(spark, sf_dir):
+    labeled, _ = clustering.fit_clusters(_matrix(spark, sf_dir), SCALED, 3)
+    return labeled.select("id", "event_cluster")
+
+
+@register("event_cluster_centroids")
+def event_cluster_centroids(spark, sf_dir):
+    """Profile of fitted clusters with the means of the log columns undone."""
+    labeled, _ = clustering.fit_clusters(_matrix(spark, sf_dir), SCALED, 3)
+    logs = ["depth_log1p", "sig_log1p", "rms_log1p", "nst_log1p", "dmin_log1p"]
+    return labeled.groupBy("event_cluster").agg(
+        F.count(F.lit(1)).alias("event_count"),
+        *[F.expm1(F.avg(c)).alias(c.replace("_log1p", "_centroid")) for c in logs])
+
+
+@register("cluster_profile", GRID + """,
+g as (select *, floor(mag) as label from grid),
+k as (select label, "magType" as v, count(*) as n from g group by 1, 2),
+b as (select label, case when depth <= 70 then 'shallow' when depth <= 300 then 'intermediate' else 'deep' end as v,
+             count(*) as n from g group by 1, 2),
+kk as (select label, v from (select *, row_number() over (partition by label order by n desc, v nulls last) r from k) where r = 1),
+bb as (select label, v from (select *, row_number() over (partition by label order by n desc, v nulls last) r from b) where r = 1)
+select label::bigint as label, count(*) as event_count, round(avg(mag), 6) as mag_mean, round(avg(depth), 6) as depth_mean,
+       round(avg(sig), 6) as sig_mean, round(avg(least(greatest(coalesce(tsunami, 0), 0), 1)), 6) as tsunami_rate,
+       count(distinct region_code) as region_count, round(quantile_cont(mag, 0.9), 6) as mag_p90,
+       any_value(kk.v) as top_mag_type, any_value(bb.v) as top_depth_band
+from g join kk using (label) join bb using (label) group by 1""")
+def cluster_profile(spark, sf_dir):
+    """Whole magnitude units stand in as given labels."""
+    events = _events(spark, sf_dir).withColumn("label", F.floor("mag"))
+    out = clustering.cluster_profile(events, "label")
+    return out.withColumns({c: F.round(c, 6) for c in ("mag_mean", "depth_mean", "sig_mean", "tsunami_rate", "mag_p90")})
+
+
+@register("mixed_kmeans")
+def mixed_kmeans(spark, sf_dir):
+    complete = catalog(spark, sf_dir).na.drop(subset=PHYSICAL)
+    scaled = features.standardize(complete, PHYSICAL)
+    labeled, _, _ = clustering.mixed_kmeans(scaled, [c + "_std" for c in PHYSICAL], 4, max_iter=30)
+    return labeled.select("id", "cluster", r6("distance2", "distance2"))
+
+
+@register("physical_clusters")
+def physical_clusters(spark, sf_dir):
+    """k by the between/within ratio on standardized properties; -1 for gaps."""
+    events = catalog(spark, sf_dir)
+    scaled = features.standardize(events.na.drop(subset=PHYSICAL), PHYSICAL)
+    columns = [c + "_std" for c in PHYSICAL]
+    k = clustering.best_k(clustering.k_sweep(scaled, columns, 3, 8), "separation")
+    labeled, _ = clustering.fit_clusters(scaled, columns, k, label="cluster_physical")
+    return (events.select("id").join(labeled.select("id", "cluster_physical"), "id", "left")
+            .withColumn("cluster_physical", F.coalesce("cluster_physical", F.lit(-1).cast("bigint"))))
+
+
+def _regions(spark, sf_dir):
+    return summary.region_profile(_events(spark, sf_dir).drop(
+        "lat_cell", "lon_cell", "region_code", "region_lat_center", "region_lon_center"))
+
+
+@register("region_k_eval")
+def region_k_eval(spark, sf_dir):
+    eligible = _regions(spark, sf_dir).where(F.col("event_count") >= 25)
+    scaled = clustering.robust_scale(eligible, clustering.REGION_FEATURES)
+    return clustering.k_sweep(scaled, [c + "_scaled" for c in clustering.REGION_FEATURES], key="region_code")
+
+
+@register("region_clusters")
+def region_clusters(spark, sf_dir):
+    labeled = clustering.region_clusters(_regions(spark, sf_dir), 2)
+    return labeled.select("region_code", "event_count", "region_cluster")
+
+
+@register("region_cluster_profile")
+def region_cluster_profile(spark, sf_dir):
+    return clustering.region_cluster_profile(clustering.region_clusters(_regions(spark, sf_dir), 2))
+
+
+@register("hotspot_kmeans")
+def hotspot_kmeans(spark, sf_dir):
+    """Five clusters of standardized position and depth."""
+    columns = ["longitude", "latitude", "depth"]
+    scaled = features.standardize(catalog(spark, sf_dir), columns)
+    labeled, _ = clustering.fit_clusters(scaled, [c + "_std" for c in columns], 5, label="cluster")
+    return labeled.select("id", "cluster")
+
+
+@register("pca_2d")
+def pca_2d(spark, sf_dir):
+    return clustering.pca_2d(_matrix(spark, sf_dir), SCALED).select("id", r6("pc1", "pc1"), r6("pc2", "pc2"))

@@ -50,7 +50,7 @@ _LAGS = ["mag", "depth", "gap", "nst", "rms"]
 def _lookback_sql():
     lags = {c: [f"lag({c}, {i}) over w" for i in range(7, -1, -1)] for c in [*_LAGS, "h"]}
     flat = ", ".join(f"{x}::double as {c}_{i}" for c, xs in lags.items() for i, x in enumerate(xs))
-    names = ", ".join(f"round({c}_{i}, 6)" for c in [*_LAGS, "h"] for i in range(8))
+    names = ", ".join(f"round({c}_{i} + 1.2345678e-8, 6)" for c in [*_LAGS, "h"] for i in range(8))
 
     def mean(c):
         return "(" + " + ".join(f"{c}_{i}" for i in range(8)) + ")/8"
@@ -64,8 +64,8 @@ e as (select id, us, seq, mag, depth, coalesce(eq.gap, m.gap) gap, coalesce(eq.n
              coalesce(eq.rms, m.rms) rms, coalesce((us - lag(us) over (order by us, seq))/3600e6, 0) as h from eq, m),
 l as (select id, {flat}, lead(mag) over w as next_mag, (lead(us) over w - us)/3600e6 as next_hours,
              lag(seq, 7) over w as first_seq, lead(us) over w as target_us from e window w as (order by us, seq))
-select id, array_to_string([{names}, round({mean('mag')}, 6), round({spread('mag')}, 6), round({mean('depth')}, 6),
-       round({mean('h')}, 6), round({spread('h')}, 6)]::decimal(18, 6)[], ',') as features, next_mag,
+select id, array_to_string([{names}, round({mean('mag')} + 1.2345678e-8, 6), round({spread('mag')} + 1.2345678e-8, 6), round({mean('depth')} + 1.2345678e-8, 6),
+       round({mean('h')} + 1.2345678e-8, 6), round({spread('h')} + 1.2345678e-8, 6)]::decimal(18, 6)[], ',') as features, next_mag,
        next_hours, target_us from l where first_seq is not null and next_mag is not null"""
 
 
@@ -73,7 +73,7 @@ select id, array_to_string([{names}, round({mean('mag')}, 6), round({spread('mag
 def lookback_matrix(spark, sf_dir):
     events = cleaning.median_fill(catalog(spark, sf_dir))
     out = features.lookback_matrix(events)
-    numbers = F.transform("features", lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string"))
+    numbers = F.transform("features", lambda x: F.round(x + F.lit(1.2345678e-8), 6).cast("decimal(18,6)").cast("string"))
     return out.select("id", F.array_join(numbers, ",").alias("features"), "next_mag", "next_hours",
                       F.unix_micros("target_time").alias("target_us"))
 

@@ -1 +1,73 @@
-"""Registered queries."""
+"""Streams over the catalog, run until all data are used."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from temblor.operators import spatial
+from temblor.registered import register
+from temblor.registered.spatial import GRID, r6
+from temblor.sources import geojson, store
+from temblor.sources.catalog import catalog, raw_catalog
+from temblor.streaming import jobs
+
+# The test folders hold all years at once in no time order.
+ANY_AGE = "20 years"
+
+
+def _catalog_stream(spark, sf_dir):
+    """The gridded catalog as a stream of several files."""
+    path = store.scratch_folder(spark, "stream")
+    rows = spatial.add_grid(catalog(spark, sf_dir)).select("id", "seq", "time", "mag", "region_code")
+    rows.repartitionByRange(4, "time").write.parquet(path)
+    return jobs.read_parquet_stream(spark, path, rows.schema, files_per_trigger=2)
+
+
+@register("stream_ingest", """
+select cast(year("time") as bigint) as year, count(*) as n, count(distinct id) as ids, max(mag) as mag_max
+from ev group by 1""")
+def stream_ingest(spark, sf_dir):
+    """Documents arrive twice; every id is stored once."""
+    path = store.scratch_folder(spark, "arrivals")
+    events = raw_catalog(spark, sf_dir)
+    docs = events.select(geojson.to_document(events).alias("value"))
+    docs.unionByName(docs).write.text(path)
+    stream = jobs.stream_ingest(spark, path, ANY_AGE)
+    stored = jobs.run_available(stream, store.scratch_folder(spark, "stored"), store.scratch_folder(spark, "cp"))
+    return stored.groupBy(F.year("time").cast("bigint").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max("mag").alias("mag_max"))
+
+
+@register("stream_daily", """
+select strftime("time", '%Y-%m-%d') as day, count(*) as event_count, round(avg(mag), 6) as mean_mag, max(mag) as max_mag
+from eq group by 1""")
+def stream_daily(spark, sf_dir):
+    daily = jobs.stream_daily(_catalog_stream(spark, sf_dir), ANY_AGE)
+    found = jobs.run_available(daily, store.scratch_folder(spark, "daily"), store.scratch_folder(spark, "cp"),
+                               "complete")
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_count", r6("mean_mag", "mean_mag"),
+                        "max_mag")
+
+
+@register("stream_last_n", GRID + """,
+r as (select region_code, id, us, row_number() over (partition by region_code order by us desc, id desc) as n from grid)
+select region_code, string_agg(id, ',' order by us, id) as ids from r where n <= 6 group by 1""")
+def stream_last_n(spark, sf_dir):
+    root = store.scratch_folder(spark, "last")
+    query = jobs.stream_last_n(_catalog_stream(spark, sf_dir), root, store.scratch_folder(spark, "cp"))
+    query.awaitTermination()
+    state = jobs.last_state(spark, root, query)
+    ordered = F.array_sort(F.collect_list(F.struct("time", "id")))
+    return state.groupBy("region_code").agg(F.array_join(F.transform(ordered, lambda r: r["id"]), ",").alias("ids"))
+
+
+@register("stream_future_majors", GRID + """
+select a.region_code, a.id, b.id as major_id, b.mag as major_mag, b.us - a.us as delay_us
+from grid a join grid b on a.region_code = b.region_code and b.mag >= 5 and b.us <= a.us + 604800000000
+     and (b.us > a.us or (b.us = a.us and b.seq > a.seq))""")
+def stream_future_majors(spark, sf_dir):
+    stream, majors = _catalog_stream(spark, sf_dir), _catalog_stream(spark, sf_dir)
+    pairs = jobs.stream_future_majors(stream, majors, watermark=ANY_AGE)
+    found = jobs.run_available(pairs, store.scratch_folder(spark, "majors"), store.scratch_folder(spark, "cp"))
+    return found.select("region_code", "id", "major_id", "major_mag",
+                        (F.unix_micros("major_time") - F.unix_micros("time")).alias("delay_us"))

