@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from temblor.functions.scalars import normalize_mag_type, normalize_text
 from temblor.operators.ordered import row_index
 from temblor.operators.quantiles import exact_quantiles, fixed, medians, scalars
 from temblor.schemas import coerce, require_columns
+from temblor.session import materialize
 
 FLOAT_COLUMNS = ["latitude", "longitude", "depth", "mag", "gap", "rms"]
 LONG_COLUMNS = ["sig", "nst"]
@@ -85,9 +88,13 @@ def winsorize(df: DataFrame, column: str, share: float = 0.99, name: str | None
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """All cleaning steps in order, giving the clean table."""
+    """All cleaning steps in order, giving the clean table.
+
+    Valid rows are kept once, so that documents are not parsed again for the
+    medians.
+    """
     typed = coerce_types(df)
-    valid = filter_invalid(dedupe_keep_last(typed))
+    valid = materialize(filter_invalid(dedupe_keep_last(typed)))
     filled = median_fill(valid)
     return filled.withColumns({
         "magType": normalize_mag_type("magType"),
@@ -140,8 +147,22 @@ def sample_order(key: str = "id", seed: int = 42) -> Column:
 
 
 def seeded_sample(df: DataFrame, rows: int, key: str = "id", seed: int = 42) -> DataFrame:
-    """``rows`` rows without replacement; the same seed gives the same rows."""
-    return df.orderBy(sample_order(key, seed), key).limit(rows)
+    """``rows`` rows without replacement; the same seed gives the same rows.
+
+    The rows with the smallest hashes are taken. A filter on the hash first
+    leaves little more than that number to sort.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    order = sample_order(key, seed)
+    share = rows / total
+    margin = 6 * math.sqrt(share / total) + 10 / total
+    place = F.conv(F.substring(order, 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
+    near = df.where(place < share + margin)
+    if near.count() < rows:
+        near = df
+    return near.orderBy(order, key).limit(rows)
 
 
 def sample_per_group(df: DataFrame, group: list[str], rows: int, key: str = "id",

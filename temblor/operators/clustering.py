@@ -51,12 +51,17 @@ def _vectors(df: DataFrame, columns: list[str], name: str = "features") -> DataF
     return VectorAssembler(inputCols=columns, outputCol=name).transform(df)
 
 
+def _training_rows(df: DataFrame, columns: list[str], rows: int, key: str, seed: int) -> DataFrame:
+    """Vectors of a sample, spread over all cores; a sorted limit is one partition."""
+    sample = _vectors(seeded_sample(df, rows, key, seed), columns).select(key, "features")
+    return sample.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def k_sweep(df: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 8, train_rows: int = 200_000,
             eval_rows: int = 25_000, seed: int = 42, key: str = "id") -> DataFrame:
     """Silhouette, inertia and between/within ratio for every k, on samples."""
     spark = df.sparkSession
-    train = _vectors(seeded_sample(df, train_rows, key, seed), columns).select(key, "features")
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = _training_rows(df, columns, train_rows, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
     test = seeded_sample(train, eval_rows, key, seed + 99).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_train, n_test = train.count(), test.count()
@@ -92,8 +97,11 @@ def best_k(sweep: DataFrame, by: str = "silhouette") -> int:
 def fit_clusters(df: DataFrame, columns: list[str], k: int, train_rows: int = 200_000, seed: int = 42,
                  key: str = "id", label: str = "event_cluster") -> tuple[DataFrame, KMeansModel]:
     """Fit on a sample, label all rows."""
-    train = _vectors(seeded_sample(df, train_rows, key, seed), columns)
-    model = KMeans(k=k, seed=seed + 1000, maxIter=50, predictionCol=label).fit(train)
+    train = _training_rows(df, columns, train_rows, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=k, seed=seed + 1000, maxIter=50, predictionCol=label).fit(train)
+    finally:
+        train.unpersist()
     labeled = model.transform(_vectors(df, columns)).drop("features")
     return labeled.withColumn(label, F.col(label).cast("bigint")), model
 

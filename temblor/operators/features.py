@@ -107,41 +107,39 @@ def lookback_matrix(df: DataFrame, n: int = 8, keys: list[str] = (),
     ``features`` holds the lags oldest first, signal by signal, then mean and
     spread of the magnitude, mean depth, mean and spread of the gaps.
     """
-    def make(w):
-        def gap(back):
-            hours = (F.unix_micros(F.lag("time", back).over(w))
-                     - F.unix_micros(F.lag("time", back + 1).over(w))) / F.lit(3600e6)
-            return F.greatest(F.coalesce(hours, F.lit(0.0)), F.lit(0.0))
-
-        def lags(name):
-            if name == "prev_hours":
-                return [gap(i) for i in range(n - 1, -1, -1)]
-            return [F.lag(F.col(name).cast("double"), i).over(w) for i in range(n - 1, -1, -1)]
+    signals = [c for c in LOOKBACK_COLUMNS if c != "prev_hours"]
 
-        next_hours = (F.unix_micros(F.lead("time").over(w)) - F.unix_micros("time")) / F.lit(3600e6)
+    def make(w):
+        row = F.struct(F.unix_micros("time").alias("us"), *[F.col(c).cast("double").alias(c) for c in signals])
+        frame = w.rowsBetween(-(n - 1), 0)
+        # One row more than the window: the first gap needs the row before.
         return {
-            "_full": F.lag("seq", n - 1).over(w).isNotNull() & F.lead("seq").over(w).isNotNull(),
-            **{f"_{c}": F.array(*lags(c)) for c in LOOKBACK_COLUMNS},
-            "next_mag": F.lead("mag").over(w),
-            "next_hours": F.greatest(next_hours, F.lit(0.0)),
-            "target_time": F.lead("time").over(w),
+            "_rows": F.collect_list(row).over(w.rowsBetween(-n, 0)),
+            "_mag_mean": F.avg("mag").over(frame), "_mag_std": F.stddev_pop("mag").over(frame),
+            "_depth_mean": F.avg("depth").over(frame),
+            "next_mag": F.lead("mag").over(w), "target_time": F.lead("time").over(w),
         }
 
-    found = over_rows(df, list(keys), n, 1, make, rows_per_chunk=rows_per_chunk).where("_full")
-    stats = [_mean("_mag"), _spread("_mag"), _mean("_depth"), _mean("_prev_hours"), _spread("_prev_hours")]
-    features = F.concat(*[F.col(f"_{c}") for c in LOOKBACK_COLUMNS], F.array(*stats))
-    return found.select(*keys, "id", "seq", features.alias("features"), "next_mag", "next_hours", "target_time")
-
-
-def _mean(column: str) -> Column:
-    total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
-    return total / F.size(column)
-
-
-def _spread(column: str) -> Column:
-    squares = F.aggregate(F.transform(column, lambda x: (x - _mean(column)) * (x - _mean(column))),
-                          F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(squares / F.size(column))
+    found = over_rows(df, list(keys), n, 1, make, rows_per_chunk=rows_per_chunk)
+    found = found.where((F.size("_rows") >= n) & F.col("target_time").isNotNull())
+    hour, skip = F.lit(3600e6), F.size("_rows") - F.lit(n)
+    found = found.withColumn("_last", F.slice("_rows", skip + 1, F.lit(n)))
+    gaps = F.transform("_last", lambda x, i: F.coalesce(
+        (x["us"] - F.get("_rows", skip + i - 1)["us"]) / hour, F.lit(0.0)))
+    # The gaps of a window add up to the time between its ends.
+    mean = (F.unix_micros("time") - F.get("_rows", F.lit(0))["us"]) / (hour * F.lit(float(n)))
+    found = found.withColumns({"_prev_hours": gaps, "_gap_mean": mean})
+    middle = F.col("_gap_mean")
+    squares = F.aggregate("_prev_hours", F.lit(0.0), lambda a, x: a + (x - middle) * (x - middle))
+    stats = F.array("_mag_mean", "_mag_std", "_depth_mean", "_gap_mean", F.sqrt(squares / F.lit(float(n))))
+
+    def signal(name):
+        return F.transform("_last", lambda x: x[name])
+
+    lags = [signal(c) for c in signals]
+    return found.select(
+        *keys, "id", "seq", F.concat(*lags, "_prev_hours", stats).alias("features"), "next_mag",
+        ((F.unix_micros("target_time") - F.unix_micros("time")) / hour).alias("next_hours"), "target_time")
 
 
 def region_codes(df: DataFrame, column: str = "region_code") -> DataFrame:

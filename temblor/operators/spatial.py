@@ -37,18 +37,21 @@ def region_dimension(df: DataFrame, size: float = 2.5) -> DataFrame:
 
     The numbering window sees one row per cell, at most ``cells_on_globe``.
     """
-    cells = (add_grid(df.select("latitude", "longitude"), size)
-             .select("lat_cell", "lon_cell", "region_code", "region_lat_center", "region_lon_center")
-             .distinct())
+    lat, lon = geo.lat_cell(size=size), geo.lon_cell(size=size)
+    cells = (df.where(geo.on_globe()).select(lat.alias("lat_cell"), lon.alias("lon_cell")).distinct())
     order = Window.orderBy("lat_cell", "lon_cell")
-    key = F.concat_ws("_", F.col("lat_cell"), F.col("lon_cell"))
-    return cells.withColumns({"region_key": key,
-                              "region_id": F.row_number().over(order).cast("bigint")})
+    center_lat = geo.cell_center(F.col("lat_cell"), 90.0, size)
+    center_lon = geo.cell_center(F.col("lon_cell"), 180.0, size)
+    return cells.withColumns({
+        "region_key": F.concat_ws("_", "lat_cell", "lon_cell"),
+        "region_code": geo.grid_code(center_lat, center_lon, size),
+        "region_lat_center": center_lat, "region_lon_center": center_lon,
+        "region_id": F.row_number().over(order).cast("bigint")})
 
 
 def add_region_ids(df: DataFrame, size: float = 2.5) -> DataFrame:
-    dim = region_dimension(df, size).select("region_code", "region_key", "region_id")
-    return attach(add_grid(df, size), dim, ["region_code"], geo.cells_on_globe(size))
+    dim = region_dimension(df, size).select("lat_cell", "lon_cell", "region_key", "region_id")
+    return attach(add_grid(df, size), dim, ["lat_cell", "lon_cell"], geo.cells_on_globe(size))
 
 
 def spherical_centroid(df: DataFrame, keys: list[str] = (), eps: float = 1e-9) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from temblor.schemas import DOCUMENT, FEATURE
 
@@ -11,28 +12,33 @@ _FIELDS = ["time", "place", "mag", "magType", "sig", "gap", "rms", "nst", "dmin"
            "mmi", "cdi", "felt", "status", "type", "net"]
 
 
-def _features(document: Column, listed: Column) -> Column:
-    single = F.struct(*[document.getField(n).alias(n) for n in FEATURE.fieldNames()])
+def _feature(document: Column) -> Column:
+    return F.struct(*[document.getField(n).alias(n) for n in FEATURE.fieldNames()])
+
+
+def _features(document: Column, in_list: Column) -> Column:
     kind = document.getField("type")
     shaped = document.getField("properties").isNotNull() & document.getField("geometry").isNotNull()
-    return (F.when(listed.isNotNull(), listed)
-            .when((kind == "FeatureCollection") & document.getField("features").isNotNull(),
-                  document.getField("features"))
-            .when((kind == "Feature") | shaped, F.array(single)))
+    listed = document.getField("features")
+    return (F.when(in_list, F.array(_feature(document)))
+            .when((kind == "FeatureCollection") & listed.isNotNull(), listed)
+            .when((kind == "Feature") | shaped, F.array(_feature(document))))
 
 
 def parse_documents(df: DataFrame, text: str = "document", keep: list[str] = ()) -> DataFrame:
     """One row per feature of a Feature, FeatureCollection, list or bare dict.
 
-    A document of another shape gives one row with ``supported`` false.
+    A document of another shape gives one row with ``supported`` false. Every
+    text is read as a list, so that it is parsed once.
     """
-    is_list = F.substring(F.ltrim(F.col(text)), 1, 1) == "["
-    listed = F.when(is_list, F.from_json(text, f"array<{FEATURE.simpleString()}>"))
-    document = F.when(~is_list, F.from_json(text, DOCUMENT))
-    found = df.select(*keep, _features(document, listed).alias("features"))
+    in_list = F.substring(F.ltrim(F.col(text)), 1, 1) == "["
+    as_list = F.when(in_list, F.col(text)).otherwise(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    documents = F.from_json(as_list, T.ArrayType(DOCUMENT))
+    found = df.select(*keep, F.flatten(F.transform(
+        documents, lambda d: _features(d, in_list))).alias("features"))
     rows = found.select(*keep, F.col("features").isNotNull().alias("supported"),
                         F.explode_outer("features").alias("feature"))
-    return flatten(rows, [*keep, "supported"])
+    return flatten(rows.where(F.col("feature").isNotNull() | ~F.col("supported")), [*keep, "supported"])
 
 
 def flatten(df: DataFrame, keep: list[str] = ()) -> DataFrame:
