@@ -34,11 +34,15 @@ def _padded(number: Column, width: int = 3) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
 
 
+def cell_code(row, column, prefix: str = "G") -> Column:
+    """Region code of a cell given by its indices."""
+    return F.concat(F.lit(prefix), _padded(_col(row)), F.lit("_"), _padded(_col(column)))
+
+
 def grid_code(latitude="latitude", longitude="longitude", size: float = 2.5,
               prefix: str = "G") -> Column:
     """Region code such as ``G028_144``; null off the globe."""
-    code = F.concat(F.lit(prefix), _padded(lat_cell(latitude, size)), F.lit("_"),
-                    _padded(lon_cell(longitude, size)))
+    code = cell_code(lat_cell(latitude, size), lon_cell(longitude, size), prefix)
     return F.when(on_globe(latitude, longitude), code)
 
 

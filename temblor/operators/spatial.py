@@ -32,20 +32,28 @@ def add_grid(df: DataFrame, size: float = 2.5, prefix: str = "G") -> DataFrame:
     })
 
 
+def add_cells(df: DataFrame, size: float = 2.5) -> DataFrame:
+    """Cell indices only, for grouping; events off the globe are left out."""
+    return df.where(geo.on_globe()).withColumns({"lat_cell": geo.lat_cell(size=size), "lon_cell": geo.lon_cell(size=size)})
+
+
+def describe_cells(cells: DataFrame, size: float = 2.5, prefix: str = "G") -> DataFrame:
+    """Code and centre of cells, added after grouping, once per cell."""
+    return cells.withColumns({
+        "region_code": geo.cell_code("lat_cell", "lon_cell", prefix),
+        "region_lat_center": geo.cell_center(F.col("lat_cell"), 90.0, size),
+        "region_lon_center": geo.cell_center(F.col("lon_cell"), 180.0, size)})
+
+
 def region_dimension(df: DataFrame, size: float = 2.5) -> DataFrame:
     """Distinct cells with a dense id in (lat_cell, lon_cell) order.
 
     The numbering window sees one row per cell, at most ``cells_on_globe``.
     """
-    lat, lon = geo.lat_cell(size=size), geo.lon_cell(size=size)
-    cells = (df.where(geo.on_globe()).select(lat.alias("lat_cell"), lon.alias("lon_cell")).distinct())
+    cells = add_cells(df.select("latitude", "longitude"), size).select("lat_cell", "lon_cell").distinct()
     order = Window.orderBy("lat_cell", "lon_cell")
-    center_lat = geo.cell_center(F.col("lat_cell"), 90.0, size)
-    center_lon = geo.cell_center(F.col("lon_cell"), 180.0, size)
-    return cells.withColumns({
+    return describe_cells(cells, size).withColumns({
         "region_key": F.concat_ws("_", "lat_cell", "lon_cell"),
-        "region_code": geo.grid_code(center_lat, center_lon, size),
-        "region_lat_center": center_lat, "region_lon_center": center_lon,
         "region_id": F.row_number().over(order).cast("bigint")})
 
 

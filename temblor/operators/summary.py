@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from temblor.functions import bins, geo
 from temblor.operators.ordered import running
 from temblor.operators.quantiles import average_rank, exact_quantiles, fixed, medians, scalars, value_counts
-from temblor.operators.spatial import add_grid
+from temblor.operators.spatial import add_cells, describe_cells
 from temblor.session import materialize
 
 NUMERIC = ["mag", "depth", "sig", "gap", "rms", "nst", "dmin"]
@@ -31,9 +31,9 @@ def _stack(columns: list[str], parts: dict[str, str]) -> Column:
 def dataset_overview(raw: DataFrame, analysis: DataFrame, size: float = 2.5) -> DataFrame:
     """Row counts, share, time range and number of regions, in one row."""
     before = scalars(raw.agg(F.count(F.lit(1)).alias("n")))["n"]
-    code = geo.grid_code(size=size)
+    cell = F.when(geo.on_globe(), F.struct(geo.lat_cell(size=size), geo.lon_cell(size=size)))
     found = analysis.agg(_n("analysis_rows"), F.min("time").alias("time_min"), F.max("time").alias("time_max"),
-                         F.count_distinct(code).alias("distinct_regions"))
+                         F.count_distinct(cell).alias("distinct_regions"))
     return found.withColumns({"input_rows": before,
                               "analysis_share": F.col("analysis_rows") / F.greatest(before, F.lit(1))})
 
@@ -84,11 +84,12 @@ def month_pivot(monthly: DataFrame) -> DataFrame:
 
 def region_share(df: DataFrame, size: float = 2.5) -> DataFrame:
     """Summary per region with its share of all events."""
-    regions = add_grid(df, size).groupBy("region_code", "region_lat_center", "region_lon_center").agg(
+    regions = add_cells(df, size).groupBy("lat_cell", "lon_cell").agg(
         _n(), F.avg("mag").alias("mag_mean"), F.max("mag").alias("mag_max"), F.avg("depth").alias("depth_mean"),
         F.avg("sig").alias("sig_mean"), F.avg("tsunami").alias("tsunami_rate"))
     # One row per region: at most cells_on_globe(size) rows meet here.
-    return regions.withColumn("event_share", F.col("event_count") / F.sum("event_count").over(Window.partitionBy()))
+    share = F.col("event_count") / F.sum("event_count").over(Window.partitionBy())
+    return describe_cells(regions, size).withColumn("event_share", share)
 
 
 def group_mode(df: DataFrame, group: list[str], column: str, name: str | None = None) -> DataFrame:
@@ -102,13 +103,13 @@ def group_mode(df: DataFrame, group: list[str], column: str, name: str | None =
 def region_profile(df: DataFrame, label: str | None = None, min_major: float = 5.0,
                    size: float = 2.5) -> DataFrame:
     """Per region: counts, quantiles, ratios, active years, dominant label, rank."""
-    key = "region_code"
-    placed = add_grid(df, size).withColumn("_band", bins.depth_band())
+    key = ["lat_cell", "lon_cell"]
+    placed = add_cells(df, size).withColumn("_band", bins.depth_band())
 
     def ratio(test: Column) -> Column:
         return F.avg(test.cast("double"))
 
-    main = placed.groupBy(key, "region_lat_center", "region_lon_center", "lat_cell", "lon_cell").agg(
+    main = placed.groupBy(*key).agg(
         _n(), F.avg("mag").alias("mag_mean"), F.max("mag").alias("mag_max"), F.avg("depth").alias("depth_mean"),
         F.avg("sig").alias("sig_mean"), F.avg("tsunami").alias("tsunami_rate"),
         F.count_distinct(F.year("time")).alias("active_years"),
@@ -117,15 +118,15 @@ def region_profile(df: DataFrame, label: str | None = None, min_major: float = 5
         ratio(F.col("mag") >= min_major).alias("major_quake_ratio"),
         ratio(F.col("felt").isNotNull()).alias("has_felt_ratio"),
         ratio(F.col("mmi").isNotNull()).alias("has_mmi_ratio"))
-    high = exact_quantiles(placed, ["mag", "depth"], [0.9], [key])
-    out = main.join(high.select(key, F.col("mag")[0].alias("mag_p90"), F.col("depth")[0].alias("depth_p90")), key)
+    high = exact_quantiles(placed, ["mag", "depth"], [0.9], key)
+    out = main.join(high.select(*key, F.col("mag")[0].alias("mag_p90"), F.col("depth")[0].alias("depth_p90")), key)
     if label:
-        top = group_mode(placed, [key], label, f"dominant_{label}")
-        kinds = placed.groupBy(key, label).agg(_n("_n")).groupBy(key).agg(F.count(label).alias(f"{label}_count"))
+        top = group_mode(placed, key, label, f"dominant_{label}")
+        kinds = placed.groupBy(*key, label).agg(_n("_n")).groupBy(*key).agg(F.count(label).alias(f"{label}_count"))
         out = (out.join(top, key, "left").join(kinds, key, "left")
                .withColumn(f"dominant_{label}_share", F.col("mode_count") / F.col("event_count")).drop("mode_count"))
-    rank = F.row_number().over(Window.orderBy(F.col("event_count").desc(), key)).cast("bigint")
-    return out.withColumns({"event_count_log1p": F.log1p(F.col("event_count").cast("double")),
+    rank = F.row_number().over(Window.orderBy(F.col("event_count").desc(), "region_code")).cast("bigint")
+    return describe_cells(out, size).withColumns({"event_count_log1p": F.log1p(F.col("event_count").cast("double")),
                             "region_rank_by_count": rank})
 
 
@@ -249,9 +250,9 @@ def category_share(df: DataFrame, column: str) -> DataFrame:
 
 def concentration(df: DataFrame, ks: tuple[int, ...] = (10, 50, 100), size: float = 2.5) -> DataFrame:
     """Share of events in the busiest ``k`` cells."""
-    cells = df.groupBy(geo.grid_code(size=size).alias("region_code")).agg(_n("n"))
+    cells = add_cells(df, size).groupBy("lat_cell", "lon_cell").agg(_n("n"))
     # One row per cell, at most cells_on_globe(size).
-    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "region_code"))
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "lat_cell", "lon_cell"))
     ranked = cells.withColumn("_rank", rank)
     wide = ranked.agg(F.sum("n").alias("_all"),
                       *[F.sum(F.when(F.col("_rank") <= k, F.col("n"))).alias(f"_{k}") for k in ks])

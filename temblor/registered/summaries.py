@@ -92,7 +92,7 @@ select region_code, region_lat_center, region_lon_center, count(*) as event_coun
 from grid group by 1, 2, 3""")
 def region_share(spark, sf_dir):
     events = catalog(spark, sf_dir).withColumn("tsunami", cleaning.zero_one("tsunami"))
-    return _rounded(summary.region_share(events), "mag_mean", "depth_mean", "sig_mean", "tsunami_rate", "event_share")
+    return _rounded(summary.region_share(events).drop("lat_cell", "lon_cell"), "mag_mean", "depth_mean", "sig_mean", "tsunami_rate", "event_share")
 
 
 @register("region_profile", GRID + """,

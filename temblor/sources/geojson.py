@@ -32,7 +32,8 @@ def parse_documents(df: DataFrame, text: str = "document", keep: list[str] = ())
     text is read as a list, so that it is parsed once.
     """
     in_list = F.substring(F.ltrim(F.col(text)), 1, 1) == "["
-    as_list = F.when(in_list, F.col(text)).otherwise(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    as_list = F.when(in_list, F.col(text)).when(
+        F.trim(F.col(text)) != "", F.concat(F.lit("["), F.col(text), F.lit("]")))
     documents = F.from_json(as_list, T.ArrayType(DOCUMENT))
     found = df.select(*keep, F.flatten(F.transform(
         documents, lambda d: _features(d, in_list))).alias("features"))
@@ -60,7 +61,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     One scan covers all year folders.
     """
     return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-            .option("wholetext", "true").text(root)
+            .text(root, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document")))
 
 
