@@ -87,14 +87,16 @@ def winsorize(df: DataFrame, column: str, share: float = 0.99, name: str | None
     return df.withColumn(name or column, capped)
 
 
-def clean(df: DataFrame) -> DataFrame:
+def clean(df: DataFrame, order: str = "seq") -> DataFrame:
     """All cleaning steps in order, giving the clean table.
 
+    Of rows with one id the last in ``order`` is kept.
+
     Valid rows are kept once, so that documents are not parsed again for the
     medians.
     """
     typed = coerce_types(df)
-    valid = materialize(filter_invalid(dedupe_keep_last(typed)))
+    valid = materialize(filter_invalid(dedupe_keep_last(typed, order=order)))
     filled = median_fill(valid)
     return filled.withColumns({
         "magType": normalize_mag_type("magType"),

@@ -14,9 +14,8 @@ def clean_job(spark: SparkSession, documents: str, root: str) -> DataFrame:
     """Scan document files, clean them, keep both stages."""
     stages = StageStore(spark, root)
     raw = stages.run("scanned", lambda: geojson.scan_json(spark, documents).where("supported").drop("supported"))
-    # Later files win, as a later crawl repairs an earlier one.
-    ordered = raw.withColumn("seq", F.xxhash64("path", "id"))
-    return stages.run("cleaned", lambda: cleaning.clean(ordered.withColumnRenamed("path", "source_path")))
+    # Of several documents with one id the last in path order is kept.
+    return stages.run("cleaned", lambda: cleaning.clean(raw, order="path"))
 
 
 def feature_job(spark: SparkSession, events: DataFrame, root: str, first_year: int = 2000,

@@ -70,7 +70,7 @@ def b_value(spark, sf_dir):
     return temporal.b_value(catalog(spark, sf_dir)).select("id", r6("b_value", "b_value"))
 
 
-@register("b_value_interp", BVALUE + """,
+INTERPOLATED = BVALUE + """,
 t as (select count(*) as total, least(count(*), 1000) as k from b),
 i as (select range as i, case when range = k - 1 then total - 1
              else cast(floor(range*((total - 1)/(k - 1))) as bigint) end as pos
@@ -81,8 +81,12 @@ f as (select b.id, b.pos,
              last_value(s.b_value ignore nulls) over (order by b.pos rows between unbounded preceding and current row) as y0,
              first_value(s.pos ignore nulls) over (order by b.pos rows between current row and unbounded following) as x1,
              first_value(s.b_value ignore nulls) over (order by b.pos rows between current row and unbounded following) as y1
-      from b left join s using (pos))
-select id, round(case when x1 = x0 then y0 else y0 + (y1 - y0)*(pos - x0)/(x1 - x0) end, 6) as regional_b_value from f""")
+      from b left join s using (pos)),
+bi as (select id, round(case when x1 = x0 then y0 else y0 + (y1 - y0)*(pos - x0)/(x1 - x0) end, 6) as regional_b_value
+       from f)"""
+
+
+@register("b_value_interp", INTERPOLATED + " select * from bi")
 def b_value_interp(spark, sf_dir):
     return temporal.b_value_interpolated(catalog(spark, sf_dir)).select(
         "id", r6("regional_b_value", "regional_b_value"))
