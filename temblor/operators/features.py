@@ -33,11 +33,11 @@ def add_region_stats(df: DataFrame, size: float = 10.0) -> DataFrame:
     return attach(attach(placed, stats, cell, cells), yearly, [*cell, "_year"], 200 * cells).drop("_year")
 
 
-def engineered(df: DataFrame, size: float = 2.5) -> DataFrame:
-    """Calendar, cyclic, log, flag, band and region columns."""
+def event_columns(df: DataFrame) -> DataFrame:
+    """Calendar, cyclic, log, flag and band columns."""
     month_sin, month_cos = fn.cyclic(F.month("time"), 12)
     hour_sin, hour_cos = fn.cyclic(F.hour("time"), 24)
-    out = df.withColumns({
+    return df.withColumns({
         "year": F.year("time").cast("bigint"), "month": F.month("time").cast("bigint"),
         "hour": F.hour("time").cast("bigint"),
         "month_sin": month_sin, "month_cos": month_cos, "hour_sin": hour_sin, "hour_cos": hour_cos,
@@ -46,7 +46,11 @@ def engineered(df: DataFrame, size: float = 2.5) -> DataFrame:
         **{f"{c}_missing": fn.flag(F.col(c).isNull()) for c in ("gap", "rms", "nst", "dmin")},
         "depth_band": bins.depth_band(), "mag_band": bins.mag_band(),
     })
-    return add_region_ids(out, size)
+
+
+def engineered(df: DataFrame, size: float = 2.5) -> DataFrame:
+    """Event columns and the region with its id."""
+    return add_region_ids(event_columns(df), size)
 
 
 def sequence_features(df: DataFrame, size: float = 0.5, b_rows: int = 10_000,
@@ -97,6 +101,7 @@ def mag_dataset(features: DataFrame) -> DataFrame:
             .select("id", "time", *MAG_FEATURES, "target_next_mag"))
 
 
+LOOKBACK_CHUNK = 20_000
 LOOKBACK_COLUMNS = ["mag", "depth", "gap", "nst", "rms", "prev_hours"]
 
 
@@ -120,7 +125,8 @@ def lookback_matrix(df: DataFrame, n: int = 8, keys: list[str] = (),
             "next_mag": F.lead("mag").over(w), "target_time": F.lead("time").over(w),
         }
 
-    found = over_rows(df, list(keys), n, 1, make, rows_per_chunk=rows_per_chunk)
+    # Wide rows: small chunks keep all cores busy.
+    found = over_rows(df, list(keys), n, 1, make, rows_per_chunk=rows_per_chunk or LOOKBACK_CHUNK)
     found = found.where((F.size("_rows") >= n) & F.col("target_time").isNotNull())
     hour, skip = F.lit(3600e6), F.size("_rows") - F.lit(n)
     found = found.withColumn("_last", F.slice("_rows", skip + 1, F.lit(n)))

@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_CHUNK = 4_000_000
+ROWS_PER_CHUNK = 200_000
 MAX_CHUNKS = 4096
 CHUNK = "_chunk"
 

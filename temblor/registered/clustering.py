@@ -19,7 +19,8 @@ def _events(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir):
-    return clustering.robust_scale(_events(spark, sf_dir), clustering.EVENT_FEATURES)
+    flagged = catalog(spark, sf_dir).withColumn("tsunami", cleaning.zero_one("tsunami"))
+    return clustering.robust_scale(features.event_columns(flagged), clustering.EVENT_FEATURES)
 
 
 @register("robust_scale", """

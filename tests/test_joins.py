@@ -118,10 +118,11 @@ def test_larger_follows(events, size, unit):
         assert got[e["seq"]]["mainshock_mag"] == (max(larger) if larger else e["mag"])
 
 
-@pytest.mark.parametrize("size", [10_000, 40])
-def test_history_in_box(events, size):
+@pytest.mark.parametrize("crowded,size", [(10_000, None), (1, 10_000), (1, 40)])
+def test_history_in_box(events, crowded, size):
     data = local(events)
-    got = {r["seq"]: r for r in rangejoin.history_in_box(events, 1, 0.5, rows_per_chunk=size).collect()}
+    found = rangejoin.history_in_box(events, 1, 0.5, crowded=crowded, rows_per_chunk=size)
+    got = {r["seq"]: r for r in found.collect()}
     for e in data:
         past = [x for x in data if us(e) - 86_400_000_000 <= us(x) < us(e)
                 and e["latitude"] - 0.5 <= x["latitude"] <= e["latitude"] + 0.5
