@@ -147,27 +147,23 @@ def running(data: DataFrame | Ordered, keys: list[str], totals: dict[str, tuple[
     kinds = {"sum": F.sum, "max": F.max, "min": F.min}
     by = [*keys, CHUNK]
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in data.order]
-    window = (Window.partitionBy(*by).orderBy(*sort)
-              .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
-    local = data.df.withColumns({name: kinds[kind](col).over(window) for name, (kind, col) in totals.items()})
+    reach = (Window.unboundedPreceding, -1 if exclusive else 0)
     helpers = [] if keep_chunk else [CHUNK]
     if data.chunks == 1:
-        return local.drop(*helpers)
-    summary = data.df.groupBy(*by).agg(*[kinds[kind](col).alias(name) for name, (kind, col) in totals.items()])
+        window = Window.partitionBy(*by).orderBy(*sort).rowsBetween(*reach)
+        return data.df.withColumns({n: kinds[k](c).over(window) for n, (k, c) in totals.items()}).drop(*helpers)
+    values = {f"_v_{name}": col for name, (_, col) in totals.items()}
+    rows = data.df.withColumns({**values, "_real": F.lit(True)})
+    summary = rows.groupBy(*by).agg(*[kinds[k](f"_v_{n}").alias(f"_v_{n}") for n, (k, _) in totals.items()])
     step = F.col(CHUNK).desc() if reverse else F.col(CHUNK).asc()
     earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*by, *[kinds[kind](name).over(earlier).alias(f"_carry_{name}")
-                                  for name, (kind, _) in totals.items()])
-    joined = local.join(carry, by, "left")
-    merged = {}
-    for name, (kind, _) in totals.items():
-        own, past = F.col(name), F.col(f"_carry_{name}")
-        if kind == "sum":
-            merged[name] = F.when(own.isNull() & past.isNull(), None).otherwise(
-                F.coalesce(own, F.lit(0)) + F.coalesce(past, F.lit(0)))
-        else:
-            merged[name] = F.greatest(own, past) if kind == "max" else F.least(own, past)
-    return joined.withColumns(merged).drop(*helpers, *[f"_carry_{n}" for n in totals])
+    # What earlier chunks add up to enters each chunk as its first row.
+    carry = summary.select(*by, F.lit(False).alias("_real"), *[
+        kinds[k](f"_v_{n}").over(earlier).alias(f"_v_{n}") for n, (k, _) in totals.items()])
+    window = Window.partitionBy(*by).orderBy("_real", *sort).rowsBetween(*reach)
+    out = rows.unionByName(carry, allowMissingColumns=True).withColumns(
+        {n: kinds[k](f"_v_{n}").over(window) for n, (k, _) in totals.items()})
+    return out.where("_real").drop("_real", *values, *helpers)
 
 
 def row_index(data: DataFrame | Ordered, keys: list[str] = (), name: str = "idx",
@@ -198,11 +194,14 @@ def trailing_blocks(data: DataFrame | Ordered, keys: list[str], rows: int,
         **{f"_head_{n}": kinds[k](c).over(head) for n, (k, c) in totals.items()},
         **{f"_tail_{n}": kinds[k](c).over(tail) for n, (k, c) in totals.items()},
     })
-    starts = marked.select(
-        *[F.col(k) for k in keys], (F.col("_idx") + F.lit(rows - 1)).alias("_idx"),
-        *[F.col(f"_tail_{n}").alias(f"_prev_{n}") for n in totals],
-    ).where((F.col("_idx") + 1) % rows != 0)
-    joined = marked.join(starts, [*keys, "_idx"], "left")
+    # The rest of the frame is the tail of the block before, found at the row
+    # where the frame starts. It is handed to the row where the frame ends.
+    ends = marked.where((F.col("_idx") + F.lit(rows)) % rows != 0).select(
+        *keys, (F.col("_idx") + F.lit(rows - 1)).alias("_idx"), F.lit(False).alias("_real"),
+        *[F.col(f"_tail_{n}").alias(f"_prev_{n}") for n in totals])
+    both = marked.withColumn("_real", F.lit(True)).unionByName(ends, allowMissingColumns=True)
+    same_row = Window.partitionBy(*keys, "_idx")
+    joined = both.withColumns({f"_prev_{n}": F.max(f"_prev_{n}").over(same_row) for n in totals}).where("_real")
     out = {}
     for name, (kind, _) in totals.items():
         own, past = F.col(f"_head_{name}"), F.col(f"_prev_{name}")
@@ -212,4 +211,4 @@ def trailing_blocks(data: DataFrame | Ordered, keys: list[str], rows: int,
         else:
             out[name] = F.greatest(own, past) if kind == "max" else F.least(own, past)
     helpers = [f"_{p}_{n}" for p in ("head", "tail", "prev") for n in totals]
-    return joined.withColumns(out).drop("_block", "_idx", *helpers)
+    return joined.withColumns(out).drop("_block", "_idx", "_real", *helpers)

@@ -374,7 +374,12 @@ def since_last(df: DataFrame, mag_min: float = 5.0, default_s: int = 31_536_000,
     instants = timed.groupBy(*keys, "_us").agg(F.max(F.col("mag") >= mag_min).alias("_big"))
     found = running(instants, keys, {"_last": ("max", F.when(F.col("_big"), F.col("_us")))}, ("_us",),
                     exclusive=True, rows_per_chunk=rows_per_chunk).drop("_big")
-    joined = timed.join(found, [*keys, "_us"], "left")
+    # A missing zone is a zone of its own, so keys compare null-safe.
+    right = found.select("_last", *[F.col(c).alias(f"_r_{c}") for c in [*keys, "_us"]])
+    match = F.lit(True)
+    for c in [*keys, "_us"]:
+        match = match & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    joined = timed.join(right, match, "left").drop(*[f"_r_{c}" for c in [*keys, "_us"]])
     seconds = F.floor((F.col("_us") - F.col("_last")) / F.lit(1e6)).cast("bigint")
     return (joined.withColumn(name, F.coalesce(seconds, F.lit(default_s).cast("bigint")))
             .drop("_us", "_last"))

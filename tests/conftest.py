@@ -34,7 +34,7 @@ def events(spark):
         second = random.randint(0, 40) * 3600 if zone else random.randint(0, 12) * 3600
         rows.append((f"ev{seq:03d}", seq, 1_000_000_000_000_000 + second * 1_000_000, 10.0 * zone + random.random(),
                      20.0 * zone + random.random(), float(random.randint(0, 700)), random.randint(0, 70) / 10.0,
-                     f"z{zone}"))
+                     f"z{zone}" if zone != 4 else None))
     schema = ("id string, seq bigint, us bigint, latitude double, longitude double, depth double, mag double, "
               "region_code string")
     frame = spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_micros(us) as time").drop("us")
