@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from temblor.operators.ordered import Ordered, chunked, over_rows, row_index, trailing_blocks
-from temblor.operators.quantiles import fixed, scalars
+from temblor.operators.ordered import Ordered, over_rows, row_index, trailing_blocks
 from temblor.session import materialize
 
 EPS = 1e-12

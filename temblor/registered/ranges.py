@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from temblor.operators import rangejoin, sequences, spatial
 from temblor.registered import register
 from temblor.registered.spatial import GRID, haversine_sql, r6
+from temblor.registered.temporal import shifted
 from temblor.sources.catalog import catalog, raw_catalog
 
 
@@ -31,12 +32,13 @@ h as (select a.seq, count(*) n, avg(b.mag) m, max(b.mag) x, max(b.us) last_us fr
       on b.us < a.us and b.us >= a.us - 2592000000000
          and b.latitude between a.latitude - 1 and a.latitude + 1
          and b.longitude between a.longitude - 1 and a.longitude + 1 group by 1)
-select id, coalesce(n, 0) as hist_count_30d, round(coalesce(m, 0), 6) as hist_mag_mean_30d,
+select id, coalesce(n, 0) as hist_count_30d, round(coalesce(m, 0) + 1.2345678e-8, 6) as hist_mag_mean_30d,
        coalesce(x, 0) as hist_mag_max_30d, coalesce((us - last_us)//86400000000, 9999) as days_since_last
 from eq left join h using (seq)""")
 def historical_30d(spark, sf_dir):
     out = rangejoin.history_in_box(catalog(spark, sf_dir))
-    return out.select("id", "hist_count_30d", r6("hist_mag_mean_30d", "hist_mag_mean_30d"),
+    # Means of 16 decimals lie exactly between two roundings; see ``shifted``.
+    return out.select("id", "hist_count_30d", shifted("hist_mag_mean_30d"),
                       "hist_mag_max_30d", "days_since_last")
 
 
