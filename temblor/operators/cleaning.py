@@ -26,6 +26,14 @@ def coerce_types(df: DataFrame, time: str = "time") -> DataFrame:
     return typed.withColumns({**longs, time: F.timestamp_millis(millis)})
 
 
+def add_seq(df: DataFrame) -> DataFrame:
+    """A unique row number ``seq``, the tie-break of all time orders.
+
+    It is stored once, since it would change if rows were computed again.
+    """
+    return materialize(df.withColumn("seq", F.monotonically_increasing_id()))
+
+
 def load_clean(df: DataFrame, event_type: str | None = "earthquake") -> DataFrame:
     """Typed rows with all required values, of one event type, from text columns."""
     require_columns(df, ["id", "time", "latitude", "longitude", "depth", "mag", "type"])

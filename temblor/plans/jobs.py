@@ -13,7 +13,9 @@ from temblor.sources.store import StageStore
 def clean_job(spark: SparkSession, documents: str, root: str) -> DataFrame:
     """Scan document files, clean them, keep both stages."""
     stages = StageStore(spark, root)
-    raw = stages.run("scanned", lambda: geojson.scan_json(spark, documents).where("supported").drop("supported"))
+    # The stored stage keeps the row numbers from changing.
+    raw = stages.run("scanned", lambda: geojson.scan_json(spark, documents).where("supported").drop("supported")
+                     .withColumn("seq", F.monotonically_increasing_id()))
     # Of several documents with one id the last in path order is kept.
     return stages.run("cleaned", lambda: cleaning.clean(raw, order="path"))
 

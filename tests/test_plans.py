@@ -2,6 +2,7 @@
 
 import json
 
+from temblor.operators.sequences import sequence_stats
 from temblor.plans import jobs
 from temblor.sources.catalog import raw_catalog
 from temblor.sources.geojson import to_document
@@ -19,6 +20,7 @@ def test_clean_job_from_files(spark, sf, tmp_path):
     assert done.where("gap is null or nst is null").count() == 0
     assert jobs.clean_job(spark, str(tmp_path / "docs"), str(tmp_path / "out")).count() == done.count()
     assert StageStore(spark, str(tmp_path / "out")).latest()["version"] == 2
+    assert sequence_stats(done).select("seq").distinct().count() == done.count()
 
 
 def test_exploration_job(spark, sf, tmp_path):
