@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm import quality_rules
+from temblor.llm import bpe, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of documents labelled good."""
     return table(spark, folder, "labels").where("quality = 1").select("doc_id")
@@ -34,3 +41,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(docs, trusted_ids(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "score")
+
+
+@query
+def op10_bpe(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    """Encode every document and decode it again."""
+    return bpe.round_trip(table(spark, folder, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"))
