@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm import bpe, quality_rules
+from temblor.llm import bpe, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     """Encode every document and decode it again."""
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.fingerprint_groups(table(spark, folder, "documents"), "doc_id", "text", words=3, radius=2)
