@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,7 +238,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     shared = _Shared(docs.sparkSession, compiled(path))
 
     @F.pandas_udf("array<int>")
-    def run(texts: Iterator) -> Iterator:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = _on_task(shared)
         for part in texts:
             yield part.map(automaton.encode)
@@ -250,7 +251,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
     shared = _Shared(docs.sparkSession, compiled(path))
 
     @F.pandas_udf("string")
-    def run(arrays: Iterator) -> Iterator:
+    def run(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = _on_task(shared)
         for part in arrays:
             yield part.map(automaton.decode)
@@ -267,9 +268,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "
     shared = _Shared(docs.sparkSession, compiled(path))
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def run(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = _on_task(shared)
         digits = [str(k) for k in range(len(automaton.labels))]
         for part in texts:
