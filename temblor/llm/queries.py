@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm import bpe, quality_rules, simhash
+from temblor.llm import bpe, outputs, quality_rules, records, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,21 @@ def op10_bpe(spark: SparkSession, folder: str, tokenizer: str | None = None) ->
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.fingerprint_groups(table(spark, folder, "documents"), "doc_id", "text", words=3, radius=2)
+
+
+@query
+def op2_token_records(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    """Write all documents as token records and read the files back."""
+    out = outputs.new_folder(spark, "records")
+    records.write_records(table(spark, folder, "documents"), out, tokenizer or tokenizer_path("word_bpe_49k.json"))
+    return records.read_records(spark, out).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all pages as WARC archives and read them back."""
+    out = outputs.new_folder(spark, "warc")
+    warc.write_warc(table(spark, folder, "pages"), out)
+    return warc.read_warc(spark, out).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
