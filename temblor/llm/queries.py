@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm import bpe, outputs, quality_rules, records, simhash, warc
+from temblor.llm import (
+    bpe, inner_product, line_templates, mixing, outputs, quality_rules, records, simhash, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +73,36 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_warc(table(spark, folder, "pages"), out)
     return warc.read_warc(spark, out).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query
+def op5_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    docs = table(spark, folder, "documents")
+    return line_templates.drop_recurring_lines(docs).select("doc_id", "text", "n_chars")
+
+
+#: Target weights of the languages; domains and sources go by their size.
+LANGUAGES = {"en": 14, "de": 3, "fr": 3, "es": 2}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Documents name no domain: sources with an even number stand for one, the others for another."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    return docs.withColumn("domain", F.when(F.substring(number, -1, 1).isin("0", "2", "4", "6", "8"), "even")
+                           .otherwise("odd"))
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents mixed to the target weights, half of all tokens."""
+    docs = with_domain(table(spark, folder, "documents"))
+    mixed = mixing.mix(docs, ["domain", "lang", "source"], F.floor(F.col("all") / 2), {"lang": LANGUAGES}, 4, 1)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch")
+
+
+@query
+def op8_inner_product(spark: SparkSession, folder: str) -> DataFrame:
+    """Five best inner products of each query among all other vectors."""
+    vectors = inner_product.whole_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return inner_product.top_k(vectors, vectors.where("id % 50 = 0"), 5)

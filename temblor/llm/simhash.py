@@ -227,25 +227,32 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key(id_col, text):
+    """Id and text of a document as one key without nulls."""
+    return F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"),
+                    F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
+
+
 def sketches(docs: DataFrame, id_col: str, text: str, words: int, anchors: int) -> DataFrame:
-    """``id, same, fp, anchors``: a digest of the words, the fingerprint, the least hash under each order."""
+    """``id, key, same, fp, anchors``: digest of the words, fingerprint, the least hash under each order."""
     @F.pandas_udf("same string, fp bigint, anchors array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for x in texts:
             same = xxhash.xxh3_128_hexdigest(b" ".join((x or "").encode("utf-8").translate(LOWER).split()))
             chunks = list(shingle_hashes(x, words))
-            least = []
+            least = [0] * anchors
             if chunks:
                 every = np.concatenate(chunks)
-                for k in ORDERS[:anchors]:
-                    mixed = every * np.uint64(k)
-                    least.append(int((mixed ^ (mixed >> np.uint64(32))).min().view(np.int64)))
+                for k in range(anchors):
+                    mixed = every * np.uint64(ORDERS[k])
+                    least[k] = int((mixed ^ (mixed >> np.uint64(32))).min().view(np.int64))
             rows.append((same, fingerprint(chunks), least))
         return pd.DataFrame(rows, columns=["same", "fp", "anchors"])
 
-    done = docs.select(F.col(id_col).alias("id"), run(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    return done.select("id", "s.same", "s.fp", "s.anchors")
+    done = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text)).alias("key"),
+                       run(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    return done.select("id", "key", "s.same", "s.fp", "s.anchors")
 
 
 def _similar(parts: Iterator[pd.DataFrame], words: int, radius: int, similarity: float) -> Iterator[pd.DataFrame]:
@@ -280,30 +287,36 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5,
                     similarity: float = 0.8, radius: int = 20, anchors: int = 6) -> DataFrame:
-    """Add ``group_id``, the least id of the document's group of near copies.
+    """Add ``group_id``, the least id of the group of near copies, and ``keeper``, true in one row of each.
 
     A shard's documents are read in one order; each is linked to the nearest
     leader within the radius whose shingle sets have the similarity, or leads
     itself. Memory is bounded by the leaders of one shard, and a group of
-    copies has few.
+    copies has few. Of rows with equal id and text one comes out.
     """
     found = materialize(sketches(docs, id_col, text, words, anchors))
-    kinds = found.groupBy("same").agg(F.min("id").alias("first"), F.first("fp").alias("fp"),
-                                      F.first("anchors").alias("anchors"))
-    placed = kinds.select("same", "first", "fp", F.posexplode("anchors").alias("slot", "anchor"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
+    kinds = materialize(found.groupBy("same").agg(least, F.first("fp").alias("fp"),
+                                                  F.first("anchors").alias("anchors")))
+    placed = kinds.select("same", F.col("least.key").alias("key"), "fp", F.posexplode("anchors").alias(
+        "slot", "anchor"))
     crowd = placed.groupBy("slot", "anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     placed = materialize(placed.join(crowd, ["slot", "anchor"], "left_semi"))
     # One text of each kind that has company goes to its shards.
-    wanted = placed.select("same", "first").distinct()
-    texts = docs.select(F.col(id_col).alias("first"), F.col(text).alias("text"))
-    one = (texts.join(wanted, "first").dropDuplicates(["same"]).select("same", "text"))
-    dealt = (placed.join(one, "same").select("slot", "anchor", "same", "fp", "text")
+    texts = docs.select(row_key(F.col(id_col), F.col(text)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    wanted = placed.select("same", "key").distinct()
+    one = texts.join(wanted.hint("merge"), "key").dropDuplicates(["key"]).select("same", "text")
+    dealt = (placed.select("slot", "anchor", "same", "fp").join(one, "same")
              .repartition("slot", "anchor").sortWithinPartitions("slot", "anchor", "same"))
-    links = dealt.mapInPandas(lambda parts: _similar(parts, words, radius, similarity), "a string, b string")
+    links = dealt.select("slot", "anchor", "same", "fp", "text").mapInPandas(
+        lambda parts: _similar(parts, words, radius, similarity), "a string, b string")
     joined = components(links).withColumnRenamed("node", "same")
-    rooted = kinds.select("same", "first").join(joined, "same", "left").withColumn("root", F.coalesce("root", "same"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("group_id"))
-    named = rooted.join(least, "root").select("same", "group_id")
-    ids = found.select(F.col("id"), "same").join(named, "same").select("id", "group_id").distinct()
-    rest = docs.drop("group_id") if "group_id" in docs.columns else docs
-    return rest.join(ids, rest[id_col].eqNullSafe(ids["id"])).drop("id")
+    rooted = kinds.select("same", "least").join(joined, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    group = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    named = rooted.join(group, "root").select("same", "head")
+    ids = found.select("key", "same").distinct().join(named, "same").select(
+        F.col("key").alias("_key"), F.col("head.id").alias("group_id"),
+        (F.col("key") == F.col("head.key")).alias("keeper"))
+    kept = [c for c in docs.columns if c not in ("group_id", "keeper")]
+    rest = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("_key", row_key(F.col(id_col), F.col(text)))
+    return rest.join(ids, "_key").dropDuplicates(["_key"]).drop("_key")
