@@ -51,3 +51,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from the driver's place of it.
+
+    Enough where all machines have the code at one path; else ship it with the job.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    workers = spark.sparkContext.environment
+    paths = [p for p in workers.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        workers["PYTHONPATH"] = os.pathsep.join([root, *paths])
