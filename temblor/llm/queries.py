@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from temblor.llm import (
     bpe, inner_product, line_templates, mixing, outputs, quality_rules, records, simhash, warc,
 )
+from temblor.session import share_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
