@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temblor.llm import (
-    bpe, inner_product, line_templates, mixing, outputs, quality_rules, records, simhash, warc,
+    bpe, inner_product, line_crf, line_templates, mixing, outputs, quality_rules, records, simhash, warc,
 )
 from temblor.session import share_code
 
@@ -108,3 +108,13 @@ def op8_inner_product(spark: SparkSession, folder: str) -> DataFrame:
     """Five best inner products of each query among all other vectors."""
     vectors = inner_product.whole_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
     return inner_product.top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+@query
+def op7_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; a fifth of the labels is held out."""
+    part = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+    labels = table(spark, folder, "labels").where(part != 0)
+    scored = line_crf.quality(table(spark, folder, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", (part == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
