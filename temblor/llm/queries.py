@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temblor.llm import (
-    bpe, inner_product, line_crf, line_templates, mixing, outputs, quality_rules, records, simhash, warc,
+    bpe, html_templates, inner_product, line_crf, line_templates, mixing, outputs, quality_rules, records,
+    simhash, warc,
 )
 from temblor.session import share_code
 
@@ -118,3 +119,9 @@ def op7_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     scored = line_crf.quality(table(spark, folder, "documents").select("doc_id", "text"), labels)
     return scored.select("doc_id", (part == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_html_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_templates.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
