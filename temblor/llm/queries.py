@@ -75,7 +75,19 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     out = outputs.new_folder(spark, "warc")
     warc.write_warc(table(spark, folder, "pages"), out)
     return warc.read_warc(spark, out).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op3_warc"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+k as (select *, max(page_id) over (partition by body) as keeper, strlen(body)::bigint as payload_bytes,
+             list_transform(string_split(sha1(body), ''), lambda x: strpos('0123456789abcdef', x) - 1) as hex from p)
+select page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((hex[(5*i)//4 + 1]*16 + coalesce(hex[(5*i)//4 + 2], 0)) >> (3 - (5*i)%4)) & 31)::int + 1, 1)),
+         'string_agg', '') as payload_digest,
+       case when page_id = keeper then 'response' else 'revisit' end as record_type,
+       case when page_id <> keeper then keeper end as refers_to from k"""
 
 
 @query
@@ -111,6 +123,14 @@ def op8_inner_product(spark: SparkSession, folder: str) -> DataFrame:
     return inner_product.top_k(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+ORACLES["op8_inner_product"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256*x::double)::bigint) as e from embeddings),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1]*z[2]))::bigint as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
 @query
 def op7_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document; a fifth of the labels is held out."""
@@ -125,3 +145,47 @@ def op7_line_crf(spark: SparkSession, folder: str) -> DataFrame:
 def op4_html_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html_templates.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def _share_sql(nodes: str, parents: str, name: str) -> str:
+    """Siblings' shares of their parent's budget, as tables of the name."""
+    near = "(case when weight > 0 then \"limit\"::double/weight::double end) nulls last, key nulls first"
+    return f"""
+{name}_1 as (select *, coalesce(sum("limit") over (partition by {parents} order by {near}
+               rows between unbounded preceding and 1 preceding), 0) as used,
+             sum(weight) over (partition by {parents} order by {near}
+               rows between current row and unbounded following) as rest from {nodes}),
+{name}_2 as (select *, weight > 0 and "limit"::hugeint*rest <= (budget - used)*weight as filled from {name}_1),
+{name}_3 as (select *, budget - coalesce(sum("limit") filter (where filled) over (partition by {parents}), 0) as remaining,
+             coalesce(sum(weight) filter (where not filled) over (partition by {parents}), 0) as open_weight
+             from {name}_2),
+{name} as (select * exclude (budget), (case when filled then "limit"
+             when weight > 0 then greatest(remaining*weight // open_weight, 0)
+             when open_weight = 0 then greatest(0, least("limit", budget - used)) else 0 end)::bigint as given
+           from {name}_3)"""
+
+
+_NODES = "select {names}, {key} as key, sum(t)::bigint as tokens, sum(4*t)::bigint as \"limit\", any_value(b)::bigint as budget"
+ORACLES["op6_mixing"] = """
+with d as (
+  select doc_id, lang, source, case when right(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), 1)
+    in ('0', '2', '4', '6', '8') then 'even' else 'odd' end as domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n from documents),
+l as (select domain, lang, source, sum(n) as t from d group by all),
+n1 as (select *, tokens as weight from (""" + _NODES.format(names="domain", key="domain") + """
+  from l, (select least(floor(sum(t)/2), 4*sum(t)) as b from l) group by domain)),""" + _share_sql("n1", "1", "s1") + """,
+n2 as (select *, """ + "case lang " + " ".join(f"when '{k}' then {v}" for k, v in LANGUAGES.items()) + """ else 1 end as weight
+  from (""" + _NODES.format(names="domain, lang", key="lang") + """
+  from l join (select domain, given as b from s1) using (domain) group by domain, lang)),""" + _share_sql(
+    "n2", "domain", "s2") + """,
+n3 as (select *, tokens as weight from (""" + _NODES.format(names="domain, lang, source", key="source") + """
+  from l join (select domain, lang as g, given as b from s2) x using (domain)
+  where l.lang is not distinct from x.g group by domain, lang, source)),""" + _share_sql("n3", "domain, lang", "s3") + """,
+p as (select domain, lang, source, given, tokens, case when tokens > 0 then given // tokens else 1 end as whole from s3),
+o as (select d.*, p.whole, given - whole*tokens as room, md5(concat(coalesce(doc_id::varchar, 'null'), ':1:', whole)) as h
+      from d join p on d.domain = p.domain and d.lang is not distinct from p.lang
+                   and d.source is not distinct from p.source),
+r as (select *, sum(n) over (partition by domain, lang, source order by h) as upto from o)
+select doc_id, domain, lang, source, unnest(range(whole))::int as epoch from r
+union all
+select doc_id, domain, lang, source, whole::int from r where whole < 4 and upto <= room"""
