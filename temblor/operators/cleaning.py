@@ -55,13 +55,14 @@ def zero_one(col: str) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).cast("bigint")
 
 
-def dedupe_keep_last(df: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+def dedupe_keep_last(df: DataFrame, key: str = "id", order: str | list[str] = "seq") -> DataFrame:
     """The last row of every key in ingest order.
 
     The rank filter is applied on the map side first, so a key with very many
     copies sends one row per task.
     """
-    window = Window.partitionBy(key).orderBy(F.col(order).desc())
+    orders = [order] if isinstance(order, str) else order
+    window = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in orders])
     return df.withColumn("_n", F.row_number().over(window)).where(F.col("_n") == 1).drop("_n")
 
 

@@ -7,10 +7,11 @@ clusters and columns: centroids, cluster sizes and scores.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,23 +53,28 @@ def _vectors(df: DataFrame, columns: list[str], name: str = "features") -> DataF
     return VectorAssembler(inputCols=columns, outputCol=name).transform(df)
 
 
-def _training_rows(df: DataFrame, columns: list[str], rows: int, key: str, seed: int) -> DataFrame:
-    """Vectors of a sample, spread over all cores; a sorted limit is one partition."""
+def _training_rows(df: DataFrame, columns: list[str], rows: int | None, key: str, seed: int) -> DataFrame:
+    """Vectors of all rows, or of a sample where the caller names its size."""
+    if rows is None:
+        return _vectors(df, columns).select(key, "features")
     sample = _vectors(seeded_sample(df, rows, key, seed), columns).select(key, "features")
     return sample.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def k_sweep(df: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 8, train_rows: int = 200_000,
-            eval_rows: int = 25_000, seed: int = 42, key: str = "id") -> DataFrame:
-    """Silhouette, inertia and between/within ratio for every k, on samples."""
+def k_sweep(df: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 8, train_rows: int | None = None,
+            eval_rows: int | None = None, seed: int = 42, key: str = "id") -> DataFrame:
+    """Silhouette, inertia and between/within ratio for every k, on all rows unless sizes are given."""
     spark = df.sparkSession
     train = _training_rows(df, columns, train_rows, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    test = seeded_sample(train, eval_rows, key, seed + 99).persist(StorageLevel.MEMORY_AND_DISK)
+    test = train if eval_rows is None else seeded_sample(train, eval_rows, key, seed).persist(
+        StorageLevel.MEMORY_AND_DISK)
     try:
         n_train, n_test = train.count(), test.count()
         rows = []
-        for k in range(k_min, min(k_max, max(k_min, n_train - 1)) + 1):
-            model = KMeans(k=k, seed=seed + k, maxIter=50).fit(train)
+        for k in range(k_min, k_max + 1):
+            if k >= n_train and k > k_min:  # more clusters than rows tell nothing
+                break
+            model = KMeans(k=k, seed=seed, maxIter=50).fit(train)
             labels = model.transform(test)
             kinds = labels.select("prediction").distinct().count()
             score = ClusteringEvaluator().evaluate(labels) if kinds > 1 else None
@@ -95,18 +101,38 @@ def best_k(sweep: DataFrame, by: str = "silhouette") -> int:
     return int(first["k"])
 
 
-def fit_clusters(df: DataFrame, columns: list[str], k: int, train_rows: int = 200_000, seed: int = 42,
+def fit_clusters(df: DataFrame, columns: list[str], k: int, train_rows: int | None = None, seed: int = 42,
                  key: str = "id", label: str = "event_cluster") -> tuple[DataFrame, KMeansModel]:
-    """Fit on a sample, label all rows."""
+    """Fit on all rows unless a sample size is given, label all rows."""
     train = _training_rows(df, columns, train_rows, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = KMeans(k=k, seed=seed + 1000, maxIter=50, predictionCol=label).fit(train)
+        model = KMeans(k=k, seed=seed, maxIter=50, predictionCol=label).fit(train)
     finally:
         train.unpersist()
     labeled = model.transform(_vectors(df, columns)).drop("features")
     return labeled.withColumn(label, F.col(label).cast("bigint")), model
 
 
+def scaling(df: DataFrame, columns: list[str], lo: float = 0.1, hi: float = 0.9) -> dict[str, tuple[float, float]]:
+    """Center and width that ``robust_scale`` uses per column."""
+    middle = fixed(exact_quantiles(df, columns, [0.5]))
+    filled = df.select(*[F.coalesce(F.col(c).cast("double"), middle[c][0]).alias(c) for c in columns])
+    limits = fixed(exact_quantiles(filled, columns, [lo, 0.5, hi]))
+    row = df.sparkSession.range(1).select(*[F.array(*[limits[c][i] for i in range(3)]).alias(c) for c in columns]).first()
+    return {c: (row[c][1], 1.0 if row[c][2] - row[c][0] < EPS else row[c][2] - row[c][0]) for c in columns}
+
+
+def restore_centroids(spark, centers: list[list[float]], columns: list[str], scales: dict[str, tuple[float, float]],
+                      label: str = "event_cluster") -> DataFrame:
+    """Centroids of a fitted model in the columns' own units; log columns also undone."""
+    rows = [(i, *[float(v) * scales[c][1] + scales[c][0] for v, c in zip(center, columns)])
+            for i, center in enumerate(centers)]
+    schema = f"{label} bigint, " + ", ".join(f"{c}_centroid double" for c in columns)
+    logs = [c for c in columns if c.endswith("_log1p")]
+    return spark.createDataFrame(rows, schema).withColumns(
+        {c.removesuffix("_log1p") + "_centroid": F.expm1(f"{c}_centroid") for c in logs})
+
+
 def cluster_profile(df: DataFrame, label: str, region: str = "region_code") -> DataFrame:
     """Counts, means, high quantile, rates and dominant classes per cluster."""
     main = df.groupBy(label).agg(
@@ -126,7 +152,7 @@ def region_clusters(profile: DataFrame, k: int, min_events: int = 25, seed: int
     filled = profile.na.fill(0.0, REGION_FEATURES)
     eligible = robust_scale(filled.where(F.col("event_count") >= min_events), REGION_FEATURES)
     scaled = [c + "_scaled" for c in REGION_FEATURES]
-    labeled, _ = fit_clusters(eligible, scaled, k, seed=seed + 1000, key=key, label="region_cluster")
+    labeled, _ = fit_clusters(eligible, scaled, k, seed=seed, key=key, label="region_cluster")
     found = labeled.select(key, "region_cluster")
     return profile.join(found, key, "left").withColumn(
         "region_cluster", F.coalesce("region_cluster", F.lit(-1).cast("bigint")))
@@ -140,12 +166,14 @@ def region_cluster_profile(labeled: DataFrame) -> DataFrame:
                  *[F.avg(c).alias(f"profile_{c}") for c in means]))
 
 
-def pca_2d(df: DataFrame, columns: list[str], rows: int = 25_000, seed: int = 42, key: str = "id") -> DataFrame:
-    """Two principal components of a sample."""
-    sample = _vectors(seeded_sample(df, rows, key, seed), columns)
-    model = PCA(k=2, inputCol="features", outputCol="_pc").fit(sample)
+def pca_2d(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Two principal components of all rows, centred on the column means."""
+    center = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred")
+    raw = _vectors(df, columns, "_raw")
+    vectors = center.fit(raw).transform(raw)
+    model = PCA(k=2, inputCol="_centred", outputCol="_pc").fit(vectors)
     parts = vector_to_array("_pc")
-    return model.transform(sample).withColumns({"pc1": parts[0], "pc2": parts[1]}).drop("_pc", "features")
+    return model.transform(vectors).withColumns({"pc1": parts[0], "pc2": parts[1]}).drop("_pc", "_raw", "_centred")
 
 
 # --- mixed k-means: squared distance of z-scores plus scaled great circle -----
@@ -159,13 +187,32 @@ def _mixed_distance(columns: list[str], center: dict, scale: float) -> Column:
     return total
 
 
-def _assign(df: DataFrame, columns: list[str], centers: list[dict], scale: float) -> DataFrame:
-    """Nearest centroid by comparing k literal centroids; no join."""
+def nearest_centroid(df: DataFrame, columns: list[str], centers: list[dict], scale: float) -> DataFrame:
+    """Add ``cluster`` and ``distance2`` of the nearest given centroid; gaps in a row give -1 and null.
+
+    The k centroids are literals, so nothing is joined. Ties go to the first.
+    """
     options = [F.struct(_mixed_distance(columns, c, scale).alias("d"), F.lit(i).cast("bigint").alias("i"))
                for i, c in enumerate(centers)]
-    near = F.array_min(F.array(*options))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*columns, "latitude", "longitude"]])
+    near = F.when(whole, F.array_min(F.array(*options)))
     return df.withColumn("_near", near).withColumns(
-        {"cluster": F.col("_near.i"), "distance2": F.col("_near.d")}).drop("_near")
+        {"cluster": F.coalesce(F.col("_near.i"), F.lit(-1).cast("bigint")), "distance2": F.col("_near.d")}).drop("_near")
+
+
+def centroid_step(points: DataFrame, columns: list[str], centers: list[dict], scale: float) -> dict[int, dict]:
+    """One update: the means of each centroid's rows, k rows at most; positions as mean directions."""
+    x, y, z = cartesian(radius=1.0)
+    near = nearest_centroid(points, columns, centers, scale).where("cluster >= 0")
+    flat = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    at = (near.withColumns({"_x": x, "_y": y, "_z": z}).groupBy("cluster")
+          .agg(*[F.avg(c).alias(c) for c in columns], F.avg("_x").alias("x"), F.avg("_y").alias("y"),
+               F.avg("_z").alias("z"), F.avg("latitude").alias("_lat"), F.avg("longitude").alias("_lon")))
+    lost = F.sqrt(flat * flat + F.col("z") * F.col("z")) < EPS  # opposite points have no mean direction
+    turned = at.select("cluster", *columns,
+                       F.when(lost, F.col("_lat")).otherwise(F.degrees(F.atan2("z", flat))).alias("lat"),
+                       F.when(lost, F.col("_lon")).otherwise(F.degrees(F.atan2("y", "x"))).alias("lon"))
+    return {r["cluster"]: {c: r[c] for c in [*columns, "lat", "lon"]} for r in turned.collect()}
 
 
 def _arc_km(a: dict, b: dict, radius: float = 6371.0) -> float:
@@ -179,47 +226,32 @@ def mixed_kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, max_
                  tol: float = 1e-4, key: str = "id") -> tuple[DataFrame, list[dict], float]:
     """Labels, centroids and inertia of k-means on properties and position.
 
-    ``columns`` are standardized. Each round is one aggregation to k rows. A
-    cluster that loses all rows restarts at the next row in hashed order.
+    ``columns`` are standardized; rows with a gap in them stay and get -1. Each
+    round is one aggregation to k rows; a centroid without rows moves to the
+    next of the spare rows, which are taken in hashed order.
     """
-    if k < 2:
-        raise ValueError("k must be at least 2")
-    x, y, z = cartesian(radius=1.0)
-    points = materialize(df.withColumns({"_x": x, "_y": y, "_z": z}))
-    scale = float(geo_scale(points).first()["geo_scale_km"])
-    spare = [{**{c: r[c] for c in columns}, "lat": r["latitude"], "lon": r["longitude"]}
-             for r in points.orderBy(sample_order(key, seed), key).limit(3 * k).collect()]
-    if len(spare) < k:
-        raise ValueError("k cannot exceed the number of rows")
-    centers, spare = spare[:k], spare[k:]
+    points = materialize(df)
+    whole = points.na.drop(subset=[*columns, "latitude", "longitude"])
+    scale = float(geo_scale(whole).first()["geo_scale_km"])
+    first = whole.orderBy(sample_order(key, seed), key).limit(3 * k).select(
+        *columns, F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).collect()
+    if not 2 <= k <= len(first):
+        raise ValueError(f"k is {k}; it takes two or more, and as many complete rows")
+    start = [r.asDict() for r in first]
+    centers, spare = start[:k], iter(start[k:])
     for _ in range(max_iter):
-        sums = (_assign(points, columns, centers, scale).groupBy("cluster")
-                .agg(*[F.avg(c).alias(c) for c in columns], F.avg("_x").alias("x"), F.avg("_y").alias("y"),
-                     F.avg("_z").alias("z"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon")))
-        found = {r["cluster"]: r for r in sums.collect()}
-        fresh = []
-        for i in range(k):
-            row = found.get(i)
-            if row is None:
-                fresh.append(spare.pop(0) if spare else centers[i])
-                continue
-            flat = math.hypot(row["x"], row["y"])
-            if math.hypot(flat, row["z"]) < EPS:
-                lat, lon = row["lat"], row["lon"]
-            else:
-                lat, lon = math.degrees(math.atan2(row["z"], flat)), math.degrees(math.atan2(row["y"], row["x"]))
-            fresh.append({**{c: row[c] for c in columns}, "lat": lat, "lon": lon})
-        shift = math.sqrt(sum((a[c] - b[c]) ** 2 for a, b in zip(fresh, centers) for c in columns))
-        shift += sum(_arc_km(a, b) / scale for a, b in zip(fresh, centers))
+        found = centroid_step(whole, columns, centers, scale)
+        fresh = [found[i] if i in found else next(spare, centers[i]) for i in range(k)]
+        moved = sum(math.dist([a[c] for c in columns], [b[c] for c in columns]) + _arc_km(a, b) / scale
+                    for a, b in zip(fresh, centers))
         centers = fresh
-        if shift <= tol:
+        if moved <= tol:
             break
-    labeled = _assign(points, columns, centers, scale).drop("_x", "_y", "_z")
-    inertia = float(labeled.agg(F.sum("distance2")).first()[0])
-    return labeled, centers, inertia
+    labeled = nearest_centroid(points, columns, centers, scale)
+    return labeled, centers, float(labeled.agg(F.sum("distance2")).first()[0])
 
 
-def mixed_k_sweep(df: DataFrame, columns: list[str], k_min: int = 3, k_max: int = 8, seed: int = 542,
+def mixed_k_sweep(df: DataFrame, columns: list[str], k_min: int = 3, k_max: int = 8, seed: int = 42,
                   max_iter: int = 100) -> DataFrame:
     """Between/within ratio of the mixed distance for every k."""
     spark = df.sparkSession
@@ -231,7 +263,7 @@ def mixed_k_sweep(df: DataFrame, columns: list[str], k_min: int = 3, k_max: int
     scale = float(geo_scale(df).first()["geo_scale_km"])
     rows = []
     for k in range(k_min, k_max + 1):
-        labeled, centers, within = mixed_kmeans(df, columns, k, seed + k, max_iter)
+        labeled, centers, within = mixed_kmeans(df, columns, k, seed, max_iter)
         sizes = {r["cluster"]: r["count"] for r in labeled.groupBy("cluster").count().collect()}
         between = sum(sizes.get(i, 0) * (sum((c[n] - whole[n]) ** 2 for n in columns)
                                          + (_arc_km(c, whole) / scale) ** 2) for i, c in enumerate(centers))

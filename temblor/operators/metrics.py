@@ -69,12 +69,18 @@ def threshold_sweep(df: DataFrame, y: str = "label", score: str = "score",
     # At most len(grid) + 1 rows from here on.
     total = Window.partitionBy()
     levels = counts.withColumns({"_all": F.sum("n").over(total), "_pos": F.sum("hits").over(total)})
-    upto = F.sequence(F.lit(1), F.col("reached"))
-    passed = (levels.where("reached > 0").select(F.explode(upto).alias("i"), "n", "hits", "_all", "_pos")
+    passed = (levels.select(F.explode(F.sequence(F.lit(0), F.col("reached"))).alias("i"), "n", "hits", "_all", "_pos")
               .groupBy("i").agg(F.sum("n").alias("p"), F.sum("hits").alias("tp"),
                                 F.max("_all").alias("_all"), F.max("_pos").alias("_pos")))
-    values = F.array(*[F.lit(float(t)) for t in grid])
-    return _finish(passed.withColumn("threshold", F.element_at(values, F.col("i"))), ["threshold"])
+    # Every threshold has its row; those that no score reaches count nothing. Level 0 carries the totals.
+    steps = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)], "i int, threshold double")
+    totals = passed.where("i = 0").select(F.col("_all").alias("all"), F.col("_pos").alias("pos"))
+    full = (steps.join(F.broadcast(passed.where("i > 0").drop("_all", "_pos")), "i", "left")
+            .join(F.broadcast(totals.withColumn("k", F.lit(1))), F.lit(1) == F.col("k"), "left").drop("k"))
+    zero = F.lit(0).cast("bigint")
+    return _finish(full.select("threshold", F.coalesce("p", zero).alias("p"), F.coalesce("tp", zero).alias("tp"),
+                               F.coalesce("all", zero).alias("_all"), F.coalesce("pos", zero).alias("_pos")),
+                   ["threshold"])
 
 
 def best_threshold(df: DataFrame, y: str = "label", score: str = "score", grid: list[float] = SWEEP) -> DataFrame:

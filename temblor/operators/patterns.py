@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,17 +96,25 @@ def transactions(df: DataFrame, hot_cells: DataFrame, size: float = 5.0) -> Data
     return binned.select("id", F.array_sort(F.array(*items)).alias("items"))
 
 
-def frequent_itemsets(baskets: DataFrame, max_len: int = 3, min_support: float = 0.01,
-                      items: int = 8) -> DataFrame:
+def frequent_itemsets(baskets: DataFrame, max_len: int = 3, min_support: float = 0.01) -> DataFrame:
     """All item sets up to ``max_len`` with their support; exact.
 
     Equal baskets are counted first, so subsets are built once per distinct
-    basket and not per event. Baskets hold ``items`` sorted items.
+    basket and not per event. Baskets hold sorted items, as many as they like.
     """
     distinct = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
-    picks = [combo for size in range(max_len + 1) for combo in combinations(range(items), size)]
-    positions = F.array(*[F.array(*[F.lit(i + 1) for i in combo]).cast("array<int>") for combo in picks])
-    subsets = F.transform(positions, lambda combo: F.transform(combo, lambda i: F.element_at("items", i)))
+    # Each round prolongs every set by each item that stands after its last one.
+    empty = F.array(F.struct(F.array().cast("array<string>").alias("set"), F.lit(0).alias("last")))
+    level, subsets = empty, F.array(F.array().cast("array<string>"))
+    for size in range(max_len):
+        name = f"_level{size}"
+        longer = F.flatten(F.transform(level, lambda s: F.transform(
+            F.slice("items", s["last"] + 1, F.size("items")),
+            lambda item, k: F.struct(F.concat(s["set"], F.array(item)).alias("set"),
+                                     (s["last"] + k + 1).alias("last")))))
+        distinct = distinct.withColumn(name, longer)
+        level = F.col(name)
+        subsets = F.concat(subsets, F.transform(level, lambda s: s["set"]))
     counts = (distinct.select(F.explode(subsets).alias("itemset"), "n")
               .groupBy("itemset").agg(F.sum("n").alias("n")))
     # The empty set counts all baskets. The vocabulary bounds this small table.

@@ -40,16 +40,21 @@ select cast(year("time") as bigint) as year,
        count(*) filter (seq % 50 <> 0) as events, count(*) filter (seq % 50 = 0) as broken
 from ev group by 1""")
 def json_scan(spark, sf_dir):
-    """Write documents as line files per year, scan them, count broken ones."""
+    """Write documents into files per year, scan them, count broken ones."""
     events = raw_catalog(spark, sf_dir)
     text = geojson.to_document(events)
     broken = F.substring(text, 1, 40)
-    docs = events.select(F.year("time").alias("year"),
+    docs = events.select("seq", F.year("time").alias("year"),
                          F.when(F.col("seq") % 50 == 0, broken).otherwise(text).alias("value"))
     root = store.scratch_folder(spark, "documents")
-    docs.write.partitionBy("year").text(root)
-    lines = (spark.read.text(root).select("year", F.col("value").alias("document")))
-    parsed = geojson.parse_documents(lines, keep=["year"])
+    # A year's good documents go into one list per batch over several lines; each broken one is a file of its own.
+    batch = F.when(F.col("seq") % 50 == 0, F.col("seq")).otherwise(-1 - F.col("seq") % 4)
+    files = docs.groupBy("year", batch.alias("batch")).agg(F.collect_list("value").alias("texts")).select(
+        "year", "batch", F.when(F.col("batch") >= 0, F.col("texts")[0]).otherwise(
+            F.concat(F.lit("[\n"), F.array_join("texts", ",\n"), F.lit("\n]"))).alias("value"))
+    files.repartition("year", "batch").write.partitionBy("year", "batch").format("text").save(root)
+    parsed = geojson.scan_json(spark, root, pattern="*.txt").withColumn(
+        "year", F.regexp_extract("path", "/year=([0-9]+)/", 1))
     return (parsed.groupBy(F.col("year").cast("bigint").alias("year"))
             .agg(F.count_if("supported").alias("events"),
                  F.count_if(~F.col("supported")).alias("broken")))
@@ -127,14 +132,17 @@ def write_table(spark, sf_dir):
 @register("stage_versions", """
 select 1::bigint as version, 'raw' as step, count(*) as row_count, 21::bigint as column_count from ev
 union all
-select 2::bigint, 'cleaned', count(*), 21::bigint from eq""")
+select 2::bigint, 'cleaned', count(*), 21::bigint from eq
+union all
+select 3::bigint, 'cleaned', count(*), 21::bigint from eq where mag >= 5""")
 def stage_versions(spark, sf_dir):
-    """Run two stages twice; the second run reads, so no stage is added."""
+    """Run stages twice; the second run reads. Another parameter makes another stage."""
     root = store.scratch_folder(spark, "stages")
-    for _ in range(2):
+    for least in (None, None, 5, 5):
         stages = store.StageStore(spark, root)
         raw = stages.run("raw", lambda: raw_catalog(spark, sf_dir))
-        stages.run("cleaned", lambda raw=raw: raw.where(F.col("type") == "earthquake"))
+        quakes = raw.where(F.col("type") == "earthquake")
+        stages.run("cleaned", lambda: quakes if least is None else quakes.where(F.col("mag") >= least), least=least)
     return stages.stages().select("version", "step", "row_count",
                                   F.size("columns").cast("bigint").alias("column_count"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from temblor.operators import cleaning, clustering, features, summary
 from temblor.registered import register
 from temblor.registered.spatial import GRID, r6
+from temblor.session import materialize
 from temblor.sources.catalog import catalog
 
 SCALED = [c + "_scaled" for c in clustering.EVENT_FEATURES]
@@ -39,20 +40,43 @@ def event_k_eval(spark, sf_dir):
     return clustering.k_sweep(_matrix(spark, sf_dir), SCALED)
 
 
+def _best_fit(matrix):
+    k = clustering.best_k(clustering.k_sweep(matrix, SCALED))
+    return clustering.fit_clusters(matrix, SCALED, k)
+
+
 @register("event_clusters")
 def event_clusters(spark, sf_dir):
-    labeled, _ = clustering.fit_clusters(_matrix(spark, sf_dir), SCALED, 3)
+    """Clusters of all events, with the k of the best silhouette."""
+    labeled, _ = _best_fit(materialize(_matrix(spark, sf_dir)))
     return labeled.select("id", "event_cluster")
 
 
 @register("event_cluster_centroids")
 def event_cluster_centroids(spark, sf_dir):
-    """Profile of fitted clusters with the means of the log columns undone."""
-    labeled, _ = clustering.fit_clusters(_matrix(spark, sf_dir), SCALED, 3)
-    logs = ["depth_log1p", "sig_log1p", "rms_log1p", "nst_log1p", "dmin_log1p"]
-    return labeled.groupBy("event_cluster").agg(
-        F.count(F.lit(1)).alias("event_count"),
-        *[F.expm1(F.avg(c)).alias(c.replace("_log1p", "_centroid")) for c in logs])
+    """Centroids of the fitted model in the units of the columns."""
+    matrix = materialize(_matrix(spark, sf_dir))
+    labeled, model = _best_fit(matrix)
+    scales = clustering.scaling(matrix, clustering.EVENT_FEATURES)
+    centers = clustering.restore_centroids(spark, [c.tolist() for c in model.clusterCenters()],
+                                           clustering.EVENT_FEATURES, scales)
+    sizes = labeled.groupBy("event_cluster").agg(F.count(F.lit(1)).alias("event_count"))
+    return centers.join(sizes, "event_cluster")
+
+
+@register("restored_centroids", """
+m as (select median(mag) mag, median(gap) gap from eq),
+f as (select coalesce(eq.mag, m.mag) mag, coalesce(eq.gap, m.gap) gap from eq, m),
+q as (select quantile_cont(mag, 0.1) a, median(mag) b, quantile_cont(mag, 0.9) c, quantile_cont(gap, 0.1) d,
+             median(gap) e, quantile_cont(gap, 0.9) f from f),
+c as (select * from (values (0, 0e0, 0e0), (1, 1e0, -1e0), (2, 5e-1, 25e-2)) t(i, x, y))
+select i::bigint as event_cluster, round(x*(c - a) + b, 8) as mag_centroid, round(y*(f - d) + e, 8) as gap_centroid
+from c, q""")
+def restored_centroids(spark, sf_dir):
+    """Given centroids put back into units by the scaling of the catalog."""
+    scales = clustering.scaling(catalog(spark, sf_dir), ["mag", "gap"])
+    out = clustering.restore_centroids(spark, [[0.0, 0.0], [1.0, -1.0], [0.5, 0.25]], ["mag", "gap"], scales)
+    return out.withColumns({c: F.round(c, 8) for c in ("mag_centroid", "gap_centroid")})
 
 
 @register("cluster_profile", GRID + """,
@@ -76,12 +100,38 @@ def cluster_profile(spark, sf_dir):
 
 @register("mixed_kmeans")
 def mixed_kmeans(spark, sf_dir):
-    complete = catalog(spark, sf_dir).na.drop(subset=PHYSICAL)
-    scaled = features.standardize(complete, PHYSICAL)
-    labeled, _, _ = clustering.mixed_kmeans(scaled, [c + "_std" for c in PHYSICAL], 4, max_iter=30)
+    """Rows with a gap have cluster -1."""
+    scaled = features.standardize(catalog(spark, sf_dir), PHYSICAL)
+    labeled, _, _ = clustering.mixed_kmeans(scaled, [c + "_std" for c in PHYSICAL], 4)
     return labeled.select("id", "cluster", r6("distance2", "distance2"))
 
 
+CENTERS = [{"mag": 2.0, "depth": 30.0, "lat": 10.0, "lon": 20.0}, {"mag": 5.0, "depth": 200.0, "lat": -40.0, "lon": 150.0},
+           {"mag": 3.5, "depth": 90.0, "lat": 55.0, "lon": -120.0}]
+
+
+@register("nearest_centroid", """
+c as (select * from (values (0, 2e0, 30e0, 10e0, 20e0), (1, 5e0, 200e0, -40e0, 150e0), (2, 35e-1, 90e0, 55e0, -120e0))
+      t(i, m, d, la, lo)),
+h as (select id, i, (mag - m)*(mag - m) + (depth - d)*(depth - d) as p,
+             sin(radians(la - latitude)/2)**2 + cos(radians(latitude))*cos(radians(la))*sin(radians(lo - longitude)/2)**2 as h
+      from eq, c where mag is not null and depth is not null and latitude is not null and longitude is not null),
+d as (select id, i, p + (2*6371*asin(sqrt(h))/1000)**2 as d from h),
+n as (select id, i, d, row_number() over (partition by id order by d, i) as r from d)
+select eq.id, coalesce(n.i, -1)::bigint as cluster, round(n.d, 4) as distance2
+from eq left join n on eq.id = n.id and n.r = 1""")
+def nearest_centroid(spark, sf_dir):
+    """Labels by given centroids, 1000 km weighing as one unit."""
+    found = clustering.nearest_centroid(catalog(spark, sf_dir), ["mag", "depth"], CENTERS, 1000.0)
+    return found.select("id", "cluster", F.round("distance2", 4).alias("distance2"))
+
+
+@register("mixed_k_sweep")
+def mixed_k_sweep(spark, sf_dir):
+    scaled = features.standardize(catalog(spark, sf_dir).na.drop(subset=PHYSICAL), PHYSICAL)
+    return clustering.mixed_k_sweep(scaled, [c + "_std" for c in PHYSICAL], 3, 5)
+
+
 @register("physical_clusters")
 def physical_clusters(spark, sf_dir):
     """k by the between/within ratio on standardized properties; -1 for gaps."""
@@ -106,15 +156,24 @@ def region_k_eval(spark, sf_dir):
     return clustering.k_sweep(scaled, [c + "_scaled" for c in clustering.REGION_FEATURES], key="region_code")
 
 
+def _clustered_regions(spark, sf_dir):
+    """Regions with the k of the best silhouette."""
+    regions = materialize(_regions(spark, sf_dir))
+    columns = clustering.REGION_FEATURES
+    scaled = clustering.robust_scale(regions.where(F.col("event_count") >= 25), columns)
+    sweep = clustering.k_sweep(scaled, [c + "_scaled" for c in columns], key="region_code")
+    return clustering.region_clusters(regions, clustering.best_k(sweep))
+
+
 @register("region_clusters")
 def region_clusters(spark, sf_dir):
-    labeled = clustering.region_clusters(_regions(spark, sf_dir), 2)
+    labeled = _clustered_regions(spark, sf_dir)
     return labeled.select("region_code", "event_count", "region_cluster")
 
 
 @register("region_cluster_profile")
 def region_cluster_profile(spark, sf_dir):
-    return clustering.region_cluster_profile(clustering.region_clusters(_regions(spark, sf_dir), 2))
+    return clustering.region_cluster_profile(_clustered_regions(spark, sf_dir))
 
 
 @register("hotspot_kmeans")

@@ -64,7 +64,7 @@ f as (select threshold, tp, fp, tn, fn, {SCORES} from c)"""
 
 
 @register("threshold_sweep", SWEEP + """
-select round(threshold, 6) as threshold, tp, fp, tn, fn, precision, recall, f1, accuracy from f where tp + fp > 0""")
+select round(threshold, 6) as threshold, tp, fp, tn, fn, precision, recall, f1, accuracy from f""")
 def threshold_sweep(spark, sf_dir):
     return _rounded(metrics.threshold_sweep(_pred(spark, sf_dir)), "threshold", "precision", "recall", "f1",
                     "accuracy")

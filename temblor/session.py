@@ -8,20 +8,26 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: int | str = "*", name: str = "temblor", partitions: int = 8,
-                  memory: str = "16g") -> SparkSession:
-    """A local session with the settings the library assumes."""
-    spark = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(name)
-        .config("spark.sql.shuffle.partitions", str(partitions))
+def build_session(cores: int | str | None = None, name: str = "temblor", partitions: int | None = None,
+                  memory: str | None = None) -> SparkSession:
+    """A session with the settings the library assumes.
+
+    Master, shuffle partitions and memory come from the submit command unless
+    named here, as tests and the bench do.
+    """
+    builder = (
+        SparkSession.builder.appName(name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", memory)
-        .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]").config("spark.driver.memory", memory or "16g").config(
+            "spark.ui.enabled", "false")
+    if partitions is not None or cores is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions or 8))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

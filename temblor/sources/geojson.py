@@ -28,8 +28,8 @@ def _features(document: Column, in_list: Column) -> Column:
 def parse_documents(df: DataFrame, text: str = "document", keep: list[str] = ()) -> DataFrame:
     """One row per feature of a Feature, FeatureCollection, list or bare dict.
 
-    A document of another shape gives one row with ``supported`` false. Every
-    text is read as a list, so that it is parsed once.
+    A document of another shape gives one row with ``supported`` false;
+    ``position`` is the feature's place in its document. Every text is read as a list, so that it is parsed once.
     """
     in_list = F.substring(F.ltrim(F.col(text)), 1, 1) == "["
     as_list = F.when(in_list, F.col(text)).when(
@@ -38,8 +38,8 @@ def parse_documents(df: DataFrame, text: str = "document", keep: list[str] = ())
     found = df.select(*keep, F.flatten(F.transform(
         documents, lambda d: _features(d, in_list))).alias("features"))
     rows = found.select(*keep, F.col("features").isNotNull().alias("supported"),
-                        F.explode_outer("features").alias("feature"))
-    return flatten(rows.where(F.col("feature").isNotNull() | ~F.col("supported")), [*keep, "supported"])
+                        F.posexplode_outer("features").alias("position", "feature"))
+    return flatten(rows.where(F.col("feature").isNotNull() | ~F.col("supported")), [*keep, "supported", "position"])
 
 
 def flatten(df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -55,19 +55,26 @@ def flatten(df: DataFrame, keep: list[str] = ()) -> DataFrame:
                      *[properties.getField(n).alias(n) for n in _FIELDS])
 
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
+def read_documents(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """Every JSON file below ``root`` as (path, document text), one row each.
 
     One scan covers all year folders.
     """
-    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
             .text(root, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document")))
 
 
-def scan_json(spark: SparkSession, root: str) -> DataFrame:
+def scan_json(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """All features below ``root``; broken documents stay as unsupported rows."""
-    return parse_documents(read_documents(spark, root), keep=["path"])
+    return parse_documents(read_documents(spark, root, pattern), keep=["path"])
+
+
+def scan_lines(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Features of files with one document per line, which Spark may split."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    return parse_documents(lines.select(F.col("_metadata.file_path").alias("path"),
+                                        F.col("value").alias("document")), keep=["path"])
 
 
 def year_of_path(path: str = "path") -> Column:

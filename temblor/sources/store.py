@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -28,11 +29,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] =
     writer.save(path)
 
 
-def write_by_year(df: DataFrame, path: str, time: str = "time", files_per_year: int = 16) -> None:
-    """Partition by year, spreading a busy year over several files."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_year))
-    spread = df.withColumn("year", F.year(time)).repartition("year", salt)
-    write_table(spread, path, by=["year"])
+def write_by_year(df: DataFrame, path: str, time: str = "time", rows_per_file: int = 5_000_000) -> None:
+    """Partition by year; a busy year goes to several tasks and files, a quiet one to one."""
+    spread = df.withColumn("year", F.year(time)).hint("rebalance", "year")
+    writer = spread.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
+    writer.partitionBy("year").parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, event_type: str | None = "earthquake") -> DataFrame:
@@ -64,9 +65,10 @@ def year_events(df: DataFrame, year: int) -> DataFrame:
 class StageStore:
     """Numbered stage outputs ``vNN_<step>`` below one folder.
 
-    A finished stage is read back instead of computed again. Its number, row
-    count and columns go to a small ``_stages`` table written after the data,
-    so a stage that died half-way is not taken as finished.
+    A finished stage is read back instead of computed again if it was made with
+    the same parameters from the same input. Its number, row count, columns and
+    parameters go to a small ``_stages`` table written after the data, so a stage
+    that died half-way is not taken as finished.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -74,7 +76,7 @@ class StageStore:
         self._path = f"{self.root}/_stages"
 
     def stages(self) -> DataFrame:
-        schema = "version bigint, step string, path string, row_count bigint, columns array<string>"
+        schema = "version bigint, step string, path string, row_count bigint, columns array<string>, made_with string"
         try:
             return self.spark.read.schema(schema).parquet(self._path)
         except Exception as error:
@@ -89,9 +91,15 @@ class StageStore:
             found = found.where(F.col("step") == step)
         return found.orderBy(F.col("version").desc()).first()
 
-    def run(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """Read the stage when finished, else compute, write and note it."""
-        done = self.latest(step)
+    def run(self, step: str, make: Callable[[], DataFrame], **made_with) -> DataFrame:
+        """Read the stage when finished with these parameters, else compute, write and note it.
+
+        ``made_with`` names what the stage depends on: parameters, and
+        ``fingerprint`` of each input.
+        """
+        key = json.dumps(made_with, sort_keys=True, default=str)
+        done = self.stages().where((F.col("step") == step) & (F.col("made_with") == key)).orderBy(
+            F.col("version").desc()).first()
         if done:
             return self.spark.read.parquet(done["path"])
         newest = self.latest()
@@ -99,7 +107,22 @@ class StageStore:
         path = f"{self.root}/v{version:02d}_{step}"
         write_table(make(), path, mode="overwrite")
         out = self.spark.read.parquet(path)
-        note = [(version, step, path, out.count(), out.columns)]
+        note = [(version, step, path, out.count(), out.columns, key)]
         (self.spark.createDataFrame(note, self.stages().schema).coalesce(1)
          .write.mode("append").parquet(self._path))
         return out
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Row count and an order-free hash of all values, by one pass over the data."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("h"),
+                 F.bit_xor(F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in df.columns]).bitwiseAND(0x7FFFFFFF))
+                 .alias("g")).first()
+    return f"{row['n']}-{row['h']}-{row['g']}"
+
+
+def files_fingerprint(spark: SparkSession, root: str) -> str:
+    """Names, sizes and times of the JSON files below ``root``; contents are not read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.json").load(root).select("path", "length", "modificationTime"))
+    return fingerprint(files)

@@ -20,14 +20,31 @@ def test_itemsets_and_rules_by_brute_force(spark):
             for combo in combinations(b, size):
                 counts[combo] = counts.get(combo, 0) + 1
     got = {tuple(r["itemset"]): r["n"] for r in
-           patterns.frequent_itemsets(df, 3, 0.5, items=3).collect()}
+           patterns.frequent_itemsets(df, 3, 0.5).collect()}
     assert got == {k: v for k, v in counts.items() if v / 4 >= 0.5}
-    rules = patterns.location_rules(patterns.frequent_itemsets(df, 3, 0.25, items=3), 0.9, 1.1).collect()
+    rules = patterns.location_rules(patterns.frequent_itemsets(df, 3, 0.25), 0.9, 1.1).collect()
     found = {(r["antecedent"], r["consequent"]): r["lift"] for r in rules}
     assert found[("depth:a", "lat:n")] == pytest.approx(4 / 3)
     assert all(c.startswith("lat:") for _, c in found)
 
 
+@pytest.mark.parametrize("size", [0, 2, 7, 9])
+def test_itemsets_read_whole_baskets(spark, size):
+    basket = [f"i{k}" for k in range(size)]
+    df = spark.createDataFrame([("a", basket), ("b", basket[:1])], "id string, items array<string>")
+    got = {tuple(r["itemset"]) for r in patterns.frequent_itemsets(df, 3, 0.5).collect()}
+    assert got == {c for n in (1, 2, 3) for c in combinations(basket, n)}
+
+
+def test_sweep_has_all_thresholds(spark):
+    df = spark.createDataFrame([(1, 0.3), (0, 0.35), (1, 0.05)], "label bigint, score double")
+    rows = metrics.threshold_sweep(df).collect()
+    assert len(rows) == 81 and {r["tp"] + r["fn"] for r in rows} == {2}
+    assert sum(r["tp"] + r["fp"] == 0 for r in rows) == 81 - 26
+    low = spark.createDataFrame([(1, 0.01), (0, 0.02)], "label bigint, score double")
+    assert metrics.best_threshold(low).first()["threshold"] == pytest.approx(0.1)
+
+
 def test_quantile_bins_collapse(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (9.0,), (None,)], "gap double")
     assert {r["gap_bin"] for r in patterns.quantile_bins(df, ["gap"]).collect()} == {"gap_q1"}
