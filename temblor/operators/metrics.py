@@ -141,6 +141,27 @@ def improvement(model: Column, baseline: Column, lower_is_better: bool = False)
     return gain / (baseline + F.lit(1e-8)) * F.lit(100.0)
 
 
+def with_curve_ends(points: DataFrame) -> DataFrame:
+    """ROC and precision-recall points with the start above all scores: nothing found, precision 1."""
+    nothing = points.limit(0).select("threshold", "fpr", "tpr", "precision")
+    start = points.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0, 1.0)], nothing.schema)
+    return points.select("threshold", "fpr", "tpr", "precision").unionByName(start)
+
+
+def gain_over_baseline(df: DataFrame, y: str = "label", score: str = "score") -> DataFrame:
+    """Accuracy and Brier score at 0.5 of a model, of the share of positives, and the gain in percent."""
+    hit = (F.col(score) >= 0.5) == (F.col(y) == 1)
+    miss = F.col(score) - F.col(y).cast("double")
+    model = df.agg(F.avg(hit.cast("double")).alias("accuracy"), F.avg(miss * miss).alias("brier"),
+                   F.avg(F.col(y).cast("double")).alias("r"))
+    r = F.col("r")
+    base = {"accuracy": F.when(r >= 0.5, r).otherwise(F.lit(1.0) - r), "brier": r * (F.lit(1.0) - r)}
+    return model.select(
+        "accuracy", base["accuracy"].alias("baseline_accuracy"),
+        improvement(F.col("accuracy"), base["accuracy"]).alias("accuracy_gain"), "brier",
+        base["brier"].alias("baseline_brier"), improvement(F.col("brier"), base["brier"], True).alias("brier_gain"))
+
+
 def error_histogram(df: DataFrame, y: str = "label", p: str = "prediction", buckets: int = 50) -> DataFrame:
     return histogram(df.select((F.col(p) - F.col(y)).alias("error")), "error", buckets)
 

@@ -97,6 +97,28 @@ def roc_points(spark, sf_dir):
     return _rounded(metrics.roc_points(_pred(spark, sf_dir)).drop("_hits"), "fpr", "tpr", "precision")
 
 
+@register("curve_points", ROC + """
+select score as threshold, round((rows_upto - hits_upto)/(total - pos), 6) as fpr, round(hits_upto/pos, 6) as tpr,
+       round(hits_upto/rows_upto, 6) as precision from p
+union all select 'infinity'::double, 0e0, 0e0, 1e0""")
+def curve_points(spark, sf_dir):
+    """All points of both curves with their common start."""
+    points = metrics.with_curve_ends(metrics.roc_points(_pred(spark, sf_dir)))
+    return _rounded(points, "fpr", "tpr", "precision")
+
+
+@register("gain_over_baseline", PRED + """,
+m as (select avg(((score >= 5e-1) = (label = 1))::int::double) as accuracy, avg((score - label)*(score - label)) as brier,
+             avg(label::double) as r from pred),
+b as (select *, case when r >= 5e-1 then r else 1 - r end as ba, r*(1 - r) as bb from m)
+select round(accuracy, 6) as accuracy, round(ba, 6) as baseline_accuracy,
+       round((accuracy - ba)/(ba + 1e-8)*100, 6) as accuracy_gain, round(brier, 6) as brier,
+       round(bb, 6) as baseline_brier, round((bb - brier)/(bb + 1e-8)*100, 6) as brier_gain from b""")
+def gain_over_baseline(spark, sf_dir):
+    out = metrics.gain_over_baseline(_pred(spark, sf_dir))
+    return _rounded(out, *out.columns)
+
+
 @register("average_precision", ROC + """
 select round(sum(hits_upto/rows_upto*hits)/sum(hits), 6) as average_precision from p""")
 def average_precision(spark, sf_dir):
