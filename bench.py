@@ -21,6 +21,8 @@ HEADLINE = [
     "clean_table", "region_share", "region_profile", "numeric_summary", "daily_features", "historical_30d",
     "parent_link", "sequence_stats", "shock_roles", "aftershock_flag", "since_last_m5", "stress_proxy", "b_value",
     "outliers", "frequent_itemsets", "lookback_matrix", "corr_spearman", "auc", "event_clusters",
+    # The same work by the plans for large inputs.
+    "interval_lags_scale", "aftershock_flag_days_scale", "historical_30d_scale", "parent_link_scale",
 ]
 
 

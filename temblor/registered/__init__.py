@@ -33,3 +33,4 @@ def load_all() -> None:
         clustering, cleaning, features, forecast, metrics, patterns, ranges, spatial, streams,
         summaries, temporal,
     )
+    from temblor.registered import branches  # noqa: F401  (after those whose SQL it shares)
