@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 #: White space between words.
 BLANKS = " \t\n\x0b\f\r"
 WINDOW = 8
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def words_of(text: Column) -> Column:
@@ -56,44 +57,67 @@ def windows(words: Column, length: int, of) -> Column:
     return F.when(F.size(words) >= length, F.transform(starts, lambda i: of(F.slice(words, i, length))))
 
 
-def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``words`` and the counts of the base rule."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words that lie in windows of ``WINDOW`` words which the text has twice or more."""
+    def covered(at: Column) -> Column:
+        steps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))),
+                           lambda a, b: F.when(b - a < WINDOW, b - a).otherwise(WINDOW))
+        return F.aggregate(steps, F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+    def twice(pairs: Column) -> Column:
+        found = F.filter(pairs, lambda x, i: ((i > 0) & (F.get(pairs, i - 1)["h"] == x["h"]))
+                         | F.coalesce(F.get(pairs, i + 1)["h"] == x["h"], F.lit(False)))
+        return F.array_sort(F.transform(found, lambda x: x["at"]))
+
+    def count(hashes: Column) -> Column:
+        numbered = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(
+            let(numbered, lambda pairs: let(twice(pairs), covered)))
+
+    return F.coalesce(let(windows(words, WINDOW, lambda x: F.xxhash64(x)), count), F.lit(0).cast("bigint"))
+
+
+def judged(text: Column, ratios: Column, orders: tuple[int, ...], buckets: int, threshold: float) -> Column:
+    """All counts and the verdict on one text as a struct."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    found = (docs.withColumn("words", words_of(F.col(text)))
-             .withColumn("_windows", F.coalesce(windows(F.col("words"), WINDOW, lambda x: F.xxhash64(x)),
-                                                F.array().cast("array<bigint>")))
-             .withColumn("_lines", lines))
-    numbered = F.array_sort(F.transform(F.col("_windows"), lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
-    found = found.withColumn(
-        "_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), numbered))
-    twice = F.filter("_sorted", lambda x, i: ((i > 0) & (F.get("_sorted", i - 1)["h"] == x["h"]))
-                     | F.coalesce(F.get("_sorted", i + 1)["h"] == x["h"], F.lit(False)))
-    found = found.withColumn("_twice", F.array_sort(F.transform(twice, lambda x: x["at"])))
-    steps = F.zip_with("_twice", F.slice("_twice", 2, F.greatest(F.size("_twice"), F.lit(1))),
-                       lambda a, b: F.when(b - a < WINDOW, b - a).otherwise(WINDOW))
-    repeats = F.aggregate(steps, F.lit(0).cast("bigint"), lambda total, x: total + F.coalesce(x, F.lit(WINDOW)))
-    return (found
-            .withColumn("n_words", F.size("words").cast("bigint"))
-            .withColumn("word_chars", F.length(F.translate(body, BLANKS, "")).cast("bigint"))
-            .withColumn("n_symbols", (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("bigint"))
-            .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
-            .withColumn("n_repeat_words", F.coalesce(repeats, F.lit(0)).cast("bigint"))
-            .withColumn("base_failed", (F.col("n_words") < 20)
-                        | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-            .drop("_windows", "_lines", "_sorted", "_twice"))
+
+    def mean(grams: Column) -> Column:
+        total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
+        return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(F.lit(0.0))
+
+    def counts(words: Column) -> Column:
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), repeat_words(words).alias("n_repeat_words"),
+                        let(hashed_ngrams(words, orders, buckets), mean).alias("score"))
+
+    def verdict(x: Column) -> Column:
+        failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
+        return F.struct(
+            x["n_words"].alias("n_words"), F.length(F.translate(body, BLANKS, "")).cast("bigint").alias("word_chars"),
+            (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+            let(lines, lambda y: F.size(y) - F.size(F.array_distinct(y))).cast("bigint").alias("n_dup_lines"),
+            x["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), x["score"].alias("score"),
+            (~failed & (x["score"] >= threshold)).alias("kept"))
+
+    return let(let(words_of(text), counts), verdict)
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text",
-                orders: tuple[int, ...] = (1, 2), buckets: int = 1 << 16, smooth: float = 1.0) -> DataFrame:
+                orders: tuple[int, ...] = (1,), buckets: int = 1 << 14, smooth: float = 1.0) -> DataFrame:
     """One row with ``ratios``: log p_trusted - log p_raw per bucket.
 
     ``trusted`` holds ids; a document whose id is among them counts as target.
     Counts cover all documents. Both multinomials get ``smooth`` per bucket.
     """
     good = trusted.select(F.col(id_col).alias("_good")).where("_good is not null").distinct()
+    # The trusted ids grow with the corpus: never broadcast them.
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(
-        good, F.col("_id") == F.col("_good"), "left")
+        good.hint("merge"), F.col("_id") == F.col("_good"), "left")
     grams = marked.withColumn("words", words_of(F.col("_text"))).select(
         F.explode(hashed_ngrams(F.col("words"), orders, buckets)).alias("bucket"),
         F.col("_good").isNotNull().cast("bigint").alias("target"))
@@ -116,18 +140,16 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text: str = "text",
-                  orders: tuple[int, ...] = (1, 2), buckets: int = 1 << 16, smooth: float = 1.0,
-                  threshold: float = -0.1) -> DataFrame:
+                  orders: tuple[int, ...] = (1,), buckets: int = 1 << 14, smooth: float = 1.0,
+                  threshold: float = -0.2) -> DataFrame:
     """Add the base counts, ``base_failed``, ``score`` and ``kept`` to ``docs``.
 
     ``score`` is the mean log ratio per n-gram (0 without n-grams); a document
-    is kept when the base rule holds and ``score >= threshold``.
+    is kept when the base rule holds and ``score >= threshold``. Single words in
+    few buckets tell good from bad best on little and much data alike: longer
+    n-grams are too rare in a small corpus and pull unseen good texts down.
     """
     table = ratio_table(docs, trusted, id_col, text, orders, buckets, smooth)
-    scored = (base_columns(docs, text)
-              .withColumn("_grams", hashed_ngrams(F.col("words"), orders, buckets))
-              .withColumn("_ratios", table.scalar()))
-    total = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.get("_ratios", b))
-    scored = scored.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0)))
-    return (scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-            .drop("words", "_grams", "_ratios"))
+    scored = docs.withColumn("_ratios", table.scalar()).withColumn(
+        "_judged", judged(F.col(text), F.col("_ratios"), orders, buckets, threshold))
+    return scored.withColumns({c: F.col(f"_judged.{c}") for c in RESULTS}).drop("_judged", "_ratios")
