@@ -16,7 +16,7 @@ can find something in a shard's tree are sent to it:
   under each of several orders. Two documents of similarity s share one given
   anchor with probability s and miss all six with (1 - s) ** 6, 0.006 % at 0.8.
   Fingerprints in the radius are checked by the exact Jaccard similarity of
-  their shingle sets.
+  their shingle sets. A task holds the sets of one anchor's different texts.
 
 Equal fingerprints or texts are put together before any search, so the largest
 groups of copies cost one row per shard.
@@ -242,12 +242,12 @@ def sketches(docs: DataFrame, id_col: str, text: str, words: int, anchors: int)
             same = xxhash.xxh3_128_hexdigest(b" ".join((x or "").encode("utf-8").translate(LOWER).split()))
             chunks = list(shingle_hashes(x, words))
             least = [0] * anchors
-            if chunks:
-                every = np.concatenate(chunks)
+            every = np.unique(np.concatenate([*chunks, np.empty(0, dtype="<u8")]))  # as sets, like the similarity
+            if len(every):
                 for k in range(anchors):
                     mixed = every * np.uint64(ORDERS[k])
                     least[k] = int((mixed ^ (mixed >> np.uint64(32))).min().view(np.int64))
-            rows.append((same, fingerprint(chunks), least))
+            rows.append((same, fingerprint([every]), least))
         return pd.DataFrame(rows, columns=["same", "fp", "anchors"])
 
     done = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text)).alias("key"),
@@ -255,24 +255,65 @@ def sketches(docs: DataFrame, id_col: str, text: str, words: int, anchors: int)
     return done.select("id", "key", "s.same", "s.fp", "s.anchors")
 
 
+#: Hashes in a document's sketch, and the shortfall of its estimate at which a pair is not looked at: three deviations.
+SKETCH, SHORT = 128, 0.11
+_MIX = np.array([(0xD1B54A32D192ED03 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(SKETCH)], dtype=np.uint64)
+
+
+class Shard:
+    """Documents of one shard: a BK-tree of fingerprints, their shingle sets, and who is linked to whom."""
+
+    def __init__(self, radius: int, similarity: float):
+        self.radius, self.similarity = radius, similarity
+        self.tree, self.at = BKTree(), {}
+        self.names, self.sets, self.above = [], [], []
+        self.sketches = np.empty((64, SKETCH), dtype=np.uint16)
+
+    def top(self, k: int) -> int:
+        while self.above[k] != k:
+            self.above[k] = self.above[self.above[k]]
+            k = self.above[k]
+        return k
+
+    def add(self, name: str, fp: int, text: str, words: int) -> Iterator[tuple[str, str]]:
+        """Links of a new document to earlier ones, one per group that it belongs to."""
+        mine = np.unique(np.concatenate([*shingle_hashes(text, words), np.empty(0, dtype="<u8")]))
+        sketch = np.zeros(SKETCH, dtype=np.uint16)
+        for k in range(0, len(mine), CHUNK >> 3):
+            least = (mine[k:k + (CHUNK >> 3), None] * _MIX[None, :]).min(axis=0)
+            whole = least if k == 0 else np.minimum(whole, least)
+            sketch = (whole >> np.uint64(20)).astype(np.uint16)
+        me = len(self.names)
+        self.above.append(me)
+        if me:
+            within = np.zeros(me, dtype=bool)
+            within[[k for _, other in self.tree.search(fp, self.radius) for k in self.at[other]]] = True
+            like = (self.sketches[:me] == sketch).mean(axis=1)
+            hopeful = np.flatnonzero(like >= self.similarity - SHORT)
+            # First what the tree found; similar texts may have far fingerprints, so then the rest of the shard.
+            for k in hopeful[np.lexsort((-like[hopeful], ~within[hopeful]))].tolist():
+                if self.top(k) != self.top(me) and _alike(mine, self.sets[k], self.similarity):
+                    self.above[self.top(me)] = self.top(k)
+                    yield name, self.names[k]
+        if me == len(self.sketches):
+            self.sketches = np.concatenate([self.sketches, np.empty_like(self.sketches)])
+        self.sketches[me] = sketch
+        self.names.append(name)
+        self.sets.append(mine)
+        self.tree.add(fp)
+        self.at.setdefault(fp, []).append(me)
+
+
 def _similar(parts: Iterator[pd.DataFrame], words: int, radius: int, similarity: float) -> Iterator[pd.DataFrame]:
-    """In each shard, link a document to a leader at the wanted similarity; without one it becomes a leader."""
-    shard = tree = leaders = None
+    """Links that hold the similar documents of each shard together."""
+    at = shard = None
     for frame in parts:
         links = []
         for key, value, same, fp, text in zip(frame["slot"], frame["anchor"], frame["same"], frame["fp"],
                                               frame["text"]):
-            if (key, value) != shard:
-                shard, tree, leaders = (key, value), BKTree(), {}
-            mine = np.unique(np.concatenate([*shingle_hashes(text, words), np.empty(0, dtype="<u8")]))
-            for _, other in sorted(tree.search(fp, radius)):
-                match = next((name for name, theirs in leaders[other] if _alike(mine, theirs, similarity)), None)
-                if match is not None:
-                    links.append((same, match))
-                    break
-            else:
-                tree.add(fp)
-                leaders.setdefault(fp, []).append((same, mine))
+            if (key, value) != at:
+                at, shard = (key, value), Shard(radius, similarity)
+            links.extend(shard.add(same, fp, text, words))
         if links:
             yield pd.DataFrame(links, columns=["a", "b"])
 
@@ -289,10 +330,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     similarity: float = 0.8, radius: int = 20, anchors: int = 6) -> DataFrame:
     """Add ``group_id``, the least id of the group of near copies, and ``keeper``, true in one row of each.
 
-    A shard's documents are read in one order; each is linked to the nearest
-    leader within the radius whose shingle sets have the similarity, or leads
-    itself. Memory is bounded by the leaders of one shard, and a group of
-    copies has few. Of rows with equal id and text one comes out.
+    A shard's documents are read one by one. The BK-tree gives those within the
+    radius, which come first; the others of the shard follow, as a fingerprint can
+    be far from that of a similar text. A MinHash sketch leaves out those that are
+    far from the similarity, and the shingle sets decide. Documents in one group already are not compared
+    again. Of rows with equal id and text one comes out.
     """
     found = materialize(sketches(docs, id_col, text, words, anchors))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")
