@@ -43,6 +43,14 @@ def _bucketed(df: DataFrame, column: str, points: list[float], out: str) -> Data
     return bucketizer.transform(numbered).withColumn(out, F.col(out).cast("bigint")).drop("_split_on")
 
 
+def _cuts_of_ties(keyed: DataFrame, key: str, second: str, times: dict[float, int], accuracy: int) -> dict:
+    """Split points along the second column for all crowded instants, by one job."""
+    found = keyed.where(F.col(key).isin(list(times))).groupBy(key).agg(*[
+        F.percentile_approx(F.col(second).cast("double"), [i / (n + 1) for i in range(1, n + 1)], accuracy).alias(f"q{n}")
+        for n in sorted(set(times.values()))])
+    return {r[key]: sorted(set(r[f"q{times[r[key]]}"] or [])) for r in found.collect()}
+
+
 def chunked(df: DataFrame | Ordered, order: tuple[str, ...] = ("time", "seq"),
             rows_per_chunk: int | None = None, split_ties: bool = True) -> Ordered:
     """Number chunks of about ``rows_per_chunk`` rows along ``order``.
@@ -70,21 +78,17 @@ def chunked(df: DataFrame | Ordered, order: tuple[str, ...] = ("time", "seq"),
     chunks = len(distinct) + 1
     crowded = sorted(p for p in distinct if points.count(p) > 1)
     if split_ties and crowded and len(order) > 1:
-        second = order[1]
-        inner = F.lit(0).cast("bigint")
-        for instant in crowded:
-            cuts = sorted(set(keyed.where(F.col(key) == instant).approxQuantile(
-                second, [i / (points.count(instant) + 1) for i in range(1, points.count(instant) + 1)],
-                error)))
-            out = _bucketed(out, second, cuts, "_tie")
-            inner = F.when(F.col(key) == instant, F.col("_tie")).otherwise(inner)
-            bucket = distinct.index(instant) + 1
-            inner = F.when((F.col(CHUNK) == bucket) & (F.col(key) > instant),
-                           F.lit(MAX_CHUNKS).cast("bigint")).otherwise(inner)
-            out = out.withColumn("_inner", inner).drop("_tie")
-            inner = F.col("_inner")
-            chunks += len(cuts) + 1
-        out = out.withColumn(CHUNK, F.col(CHUNK) * F.lit(2 * MAX_CHUNKS) + inner).drop("_inner")
+        cuts = _cuts_of_ties(keyed, key, order[1], {p: points.count(p) for p in crowded}, 4 * wanted)
+        chunks += sum(len(c) + 1 for c in cuts.values())
+        # One row per crowded instant, fewer than chunks: small enough for every task.
+        ties = df.sparkSession.createDataFrame(
+            [(distinct.index(p) + 1, p, [float(x) for x in c]) for p, c in cuts.items()],
+            "_bucket bigint, _instant double, _cuts array<double>")
+        passed = F.size(F.filter("_cuts", lambda c: c <= F.col(order[1]).cast("double"))).cast("bigint")
+        inner = (F.when(F.col("_bucket").isNull(), F.lit(0)).when(F.col(key) == F.col("_instant"), passed)
+                 .otherwise(F.lit(MAX_CHUNKS)).cast("bigint"))
+        out = (out.join(F.broadcast(ties), F.col(CHUNK) == F.col("_bucket"), "left")
+               .withColumn(CHUNK, F.col(CHUNK) * F.lit(2 * MAX_CHUNKS) + inner).drop("_bucket", "_instant", "_cuts"))
     return Ordered(out.drop(key), tuple(order), chunks)
 
 
