@@ -7,7 +7,7 @@ template that recurs across documents is boilerplate, and its lines go.
 
 A document that was copied repeats all of its lines. What counts is therefore
 not only how many documents have a template but how many kinds of documents:
-documents with the same least shingle hash are one kind. A template recurs if
+documents with the same least hash of word pairs are one kind. A template recurs if
 it has enough documents and their kinds are more than half as many. Copies are
 left to the near-duplicate stage, whole.
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temblor.llm.quality_rules import BLANKS, windows, words_of
+from temblor.llm.quality_rules import BLANKS, let, words_of
 from temblor.session import materialize
 
 VARIABLE = "<*>"
@@ -41,13 +41,23 @@ SALTS = 16
 
 def masked(line: Column) -> Column:
     """Tokens of a line joined by spaces, those with a digit as variables."""
-    body = F.regexp_replace(F.btrim(line, F.lit(BLANKS)), "[\\x20\\x09-\\x0D]+", " ")
-    return F.regexp_replace(body, "[^ ]*[0-9][^ ]*", VARIABLE)
+    def spaced(x: Column) -> Column:
+        return F.when(x.rlike("[\\x09-\\x0D]|  "), F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")).otherwise(x)
 
+    def variable(x: Column) -> Column:
+        return F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x)
 
-def leaf_of(tokens: Column, depth: int) -> Column:
+    return let(let(F.btrim(line, F.lit(BLANKS)), spaced), variable)
+
+
+def n_tokens(line: Column) -> Column:
+    """Tokens of a masked line."""
+    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def leaf_of(line: Column, depth: int) -> Column:
     """Token count and leading tokens as one key."""
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+    return F.xxhash64(n_tokens(line), F.substring_index(line, " ", depth))
 
 
 def same_template(a: list[str], b: list[str], similarity: float) -> bool:
@@ -57,12 +67,17 @@ def same_template(a: list[str], b: list[str], similarity: float) -> bool:
 
 
 def blocks(tokens: list[str], depth: int, similarity: float) -> Iterator[tuple]:
-    """Runs of places; two lines that are similar agree in one run at least."""
-    n = len(tokens)
-    many = min(n, int(n * (1 - similarity)) + 1)
+    """Runs of the places after the leading ones, which a leaf has in common.
+
+    Two lines that are similar agree in one run at least. Where so many places
+    may differ that all of the rest can, every line of the leaf is similar.
+    """
+    rest, many = tokens[depth:], int(len(tokens) * (1 - similarity) + 1e-9) + 1
+    if many > len(rest):
+        yield 0, ()
+        return
     for k in range(many):
-        begin, end = k * n // many, (k + 1) * n // many
-        yield k, tuple(tokens[begin:end])
+        yield k, tuple(rest[k * len(rest) // many:(k + 1) * len(rest) // many])
 
 
 class Leaf:
@@ -79,13 +94,13 @@ class Leaf:
         keys = list(blocks(tokens, self.depth, self.similarity))
         for key in keys:
             for k in self.places.get(key, ()):
-                if same_template(self.templates[k], tokens, self.similarity):
-                    have = self.templates[k]
+                have = self.templates[k]
+                if same_template(have, tokens, self.similarity):
+                    # A template widens up to the similarity, so that it never comes to match everything.
                     wide = [x if x == y else VARIABLE for x, y in zip(have, tokens)]
-                    # Never widen below the similarity: a template must not come to match everything.
-                    if sum(x == VARIABLE for x in wide) <= (1 - self.similarity) * len(wide) + have.count(VARIABLE):
-                        self.templates[k] = wide if wide.count(VARIABLE) <= len(wide) // 2 else have
-                        return k
+                    if wide.count(VARIABLE) <= max(have.count(VARIABLE), len(wide) // 2):
+                        self.templates[k] = wide
+                    return k
         self.templates.append(tokens)
         for key in keys:
             self.places.setdefault(key, []).append(len(self.templates) - 1)
@@ -117,7 +132,7 @@ def parse(lines: DataFrame, keys: list[str], depth: int, similarity: float) -> D
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = 3,
-                    similarity: float = 0.75, least_docs: int = 10, long_tokens: int = 20, long_docs: int = 5,
+                    similarity: float = 0.8, least_docs: int = 10, long_tokens: int = 20, long_docs: int = 5,
                     least_tokens: int = 3) -> DataFrame:
     """``id, hash, places, templates``: which lines of which documents recur.
 
@@ -125,17 +140,18 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ``long_tokens`` tokens, of which more than half are of different kinds.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    words = words_of(F.col("body"))
-    kind = F.array_min(F.coalesce(windows(F.col("w"), 3, lambda x: F.xxhash64(x)), F.array(F.xxhash64("body"))))
+    pairs = let(F.col("w"), lambda words: F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))),
+                                                     lambda a, b: F.xxhash64(a, b)))
+    kind = F.coalesce(F.array_min(pairs), F.lit(0).cast("bigint"))
     base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("hash"),
                        body.alias("body"))
-    lines = base.select("id", "hash", F.posexplode(F.split("body", "\n")).alias("place", "raw")).withColumn(
-        "line", masked(F.col("raw")))
-    lines = (lines.withColumn("tokens", F.split("line", " ")).where(F.size("tokens") >= least_tokens)
-             .withColumn("leaf", leaf_of(F.col("tokens"), depth)).select("id", "hash", "place", "leaf", "line"))
+    parsed = F.transform(F.split("body", "\n"), lambda raw, i: let(masked(raw), lambda line: F.struct(
+        i.alias("place"), leaf_of(line, depth).alias("leaf"), n_tokens(line).alias("n"), line.alias("line"))))
+    lines = (base.select("id", "hash", F.explode(F.filter(parsed, lambda x: x["n"] >= least_tokens)).alias("x"))
+             .select("id", "hash", "x.place", "x.leaf", "x.line"))
     full = lines.groupBy("leaf").count().where(F.col("count") >= min(least_docs, long_docs)).select("leaf")
     found = materialize(lines.join(full.hint("merge"), "leaf", "left_semi"))
-    kinds = base.withColumn("w", words).select("id", "hash", kind.alias("kind"))
+    kinds = base.withColumn("w", words_of(F.col("body"))).select("id", "hash", kind.alias("kind"))
 
     # Two rounds: shares of a leaf, then their templates.
     each = found.select("leaf", "line").distinct().withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)))
