@@ -29,6 +29,18 @@ from pyspark.sql import functions as F
 from temblor.session import materialize
 
 BIG = "decimal(38,0)"
+#: Leaves that are sent to all tasks at most; above, documents meet them by salted joins.
+MOST_BROADCAST = 500_000
+SALTS = 32
+
+
+def attach(rows: DataFrame, table: DataFrame, match: list[Column], small: bool, key: Column) -> DataFrame:
+    """Join rows to a table of leaves; a leaf may have very many rows."""
+    if small:
+        return rows.join(F.broadcast(table), match)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*match, F.col("_salt") == F.col("_copy")]).drop("_salt", "_copy")
 
 
 def n_words(text: Column) -> Column:
@@ -114,10 +126,11 @@ def mix(docs: DataFrame, levels: list[str], budget: Column, weights: dict[str, d
     plan = materialize(leaf_budgets(leaves, levels, budget, epochs, weights or {})
                        .withColumn("whole", F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(1))
                        .withColumn("room", F.col("given") - F.col("whole") * F.col("tokens")))
+    small = plan.count() <= MOST_BROADCAST
     keys = [F.col(c).alias(f"p_{c}") for c in levels]
     to_plan = plan.select(*keys, "whole", "room")
     match = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in levels]
-    ordered = (narrow.join(to_plan, match).drop(*[f"p_{c}" for c in levels])
+    ordered = (attach(narrow, to_plan, match, small, F.col("id")).drop(*[f"p_{c}" for c in levels])
                .withColumn("h", order_of(F.col("id"), seed, F.col("whole"))))
     slices = ordered.groupBy(*levels, "room", F.substring("h", 1, 3).alias("slice")).agg(F.sum("n").alias("n"))
     running = Window.partitionBy(*levels).orderBy("slice")
@@ -136,8 +149,8 @@ def mix(docs: DataFrame, levels: list[str], budget: Column, weights: dict[str, d
     full = to_plan.join(cut, [F.col(f"p_{c}").eqNullSafe(F.col(f"c_{c}")) for c in levels], "left").select(
         *[F.col(f"p_{c}") for c in levels], "whole", "cut")
     rest = docs.drop("epoch") if "epoch" in docs.columns else docs
-    chosen = rest.join(full, [rest[c].eqNullSafe(F.col(f"p_{c}")) for c in levels])
-    last = F.coalesce(order_of(rest[id_col], seed, F.col("whole")) < F.col("cut"), F.lit(True))
+    chosen = attach(rest, full, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in levels], small, F.col(id_col))
+    last = F.coalesce(order_of(F.col(id_col), seed, F.col("whole")) < F.col("cut"), F.lit(True))
     times = F.col("whole") + F.when((F.col("whole") < epochs) & last, 1).otherwise(0)
     passes = F.when(times > 0, F.sequence(F.lit(0), times.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return chosen.withColumn("epoch", F.explode(passes)).select(*[rest[c] for c in rest.columns], "epoch")
+    return chosen.withColumn("epoch", F.explode(passes)).select(*[F.col(f"`{c}`") for c in rest.columns], "epoch")
