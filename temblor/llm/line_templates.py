@@ -17,7 +17,7 @@ are merged afterwards. Templates in a leaf are found by blocks of places, of
 which similar lines have one in common, never by comparing all pairs.
 
 Defined cases: a null text stays null, an empty one empty; lines of fewer than
-``least_tokens`` tokens always stay; a document all of whose lines go keeps its
+``least_tokens`` tokens, and those more than half variable, always stay; a document all of whose lines go keeps its
 row with an empty text; rows with equal id and text count once and lose the same lines; null ids
 are allowed; an empty table gives an empty one; all columns of the input stay,
 ``n_chars`` is counted anew where there is one.
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temblor.llm.quality_rules import BLANKS, let, words_of
+from temblor.llm.quality_rules import BLANKS, let
 from temblor.session import materialize
 
 VARIABLE = "<*>"
@@ -41,13 +41,12 @@ SALTS = 16
 
 def masked(line: Column) -> Column:
     """Tokens of a line joined by spaces, those with a digit as variables."""
-    def spaced(x: Column) -> Column:
-        return F.when(x.rlike("[\\x09-\\x0D]|  "), F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")).otherwise(x)
+    def plain(x: Column) -> Column:
+        spaced = F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")
+        return F.when(x.rlike("[0-9\\x09-\\x0D]|  "), F.regexp_replace(
+            spaced, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x)  # most lines have neither
 
-    def variable(x: Column) -> Column:
-        return F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x)
-
-    return let(let(F.btrim(line, F.lit(BLANKS)), spaced), variable)
+    return let(F.btrim(line, F.lit(BLANKS)), plain)
 
 
 def n_tokens(line: Column) -> Column:
@@ -55,6 +54,11 @@ def n_tokens(line: Column) -> Column:
     return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
+def n_variables(line: Column) -> Column:
+    """Variable tokens of a masked line."""
+    return (F.length(line) - F.length(F.replace(line, F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+
+
 def leaf_of(line: Column, depth: int) -> Column:
     """Token count and leading tokens as one key."""
     return F.xxhash64(n_tokens(line), F.substring_index(line, " ", depth))
@@ -110,21 +114,29 @@ class Leaf:
 def parse(lines: DataFrame, keys: list[str], depth: int, similarity: float) -> DataFrame:
     """``leaf, line, template`` for rows ``leaf, line`` dealt by ``keys``."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaf, held = None, None, []
+        at, leaf, held, ready = None, None, [], []
+
+        def finish() -> None:
+            ready.extend((at[0], x, " ".join(leaf.templates[k])) for x, k in held)
 
-        def out():
-            return pd.DataFrame([(at[0], x, " ".join(leaf.templates[k])) for x, k in held],
-                                columns=["leaf", "line", "template"])
+        def out() -> pd.DataFrame:
+            rows = pd.DataFrame(ready, columns=["leaf", "line", "template"])
+            ready.clear()
+            return rows
 
         for frame in frames:
             for row in frame.itertuples(index=False):
                 key = tuple(row[:-1])
                 if key != at:
                     if held:
+                        finish()
+                    if len(ready) >= 5000:
                         yield out()
                     at, leaf, held = key, Leaf(depth, similarity), []
                 held.append((row[-1], leaf.place(row[-1])))
         if held:
+            finish()
+        if ready:
             yield out()
 
     dealt = lines.select(*keys, "line").repartition(*keys).sortWithinPartitions(*keys, "line")
@@ -147,11 +159,12 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                        body.alias("body"))
     parsed = F.transform(F.split("body", "\n"), lambda raw, i: let(masked(raw), lambda line: F.struct(
         i.alias("place"), leaf_of(line, depth).alias("leaf"), n_tokens(line).alias("n"), line.alias("line"))))
-    lines = (base.select("id", "hash", F.explode(F.filter(parsed, lambda x: x["n"] >= least_tokens)).alias("x"))
+    lines = (base.select("id", "hash", F.explode(F.filter(
+        parsed, lambda x: (x["n"] >= least_tokens) & (2 * n_variables(x["line"]) <= x["n"]))).alias("x"))
              .select("id", "hash", "x.place", "x.leaf", "x.line"))
     full = lines.groupBy("leaf").count().where(F.col("count") >= min(least_docs, long_docs)).select("leaf")
     found = materialize(lines.join(full.hint("merge"), "leaf", "left_semi"))
-    kinds = base.withColumn("w", words_of(F.col("body"))).select("id", "hash", kind.alias("kind"))
+    kinds = base.withColumn("w", F.split("body", " ")).select("id", "hash", kind.alias("kind"))
 
     # Two rounds: shares of a leaf, then their templates.
     each = found.select("leaf", "line").distinct().withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)))
