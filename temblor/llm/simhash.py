@@ -30,6 +30,8 @@ group's id unless all its ids are null; further columns are dropped by
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -49,8 +51,16 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 15
 #: Fingerprints in a shard above which it is cut again.
 CROWDED = 2048
-#: Odd multipliers from the golden ratio, one order of shingle hashes each.
-ORDERS = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(1, 17)]
+#: Seeds of independent orders of shingle hashes.
+ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, 16, dtype=np.uint64)
+
+
+def reordered(hashes: np.ndarray, order: int) -> np.ndarray:
+    """Hashes under an order: a full 64-bit finaliser after the order's seed, so that no order follows another."""
+    h = hashes ^ ORDERS[order]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def shingle_hashes(text: str | None, length: int) -> Iterator[np.ndarray]:
@@ -245,8 +255,7 @@ def sketches(docs: DataFrame, id_col: str, text: str, words: int, anchors: int)
             every = np.unique(np.concatenate([*chunks, np.empty(0, dtype="<u8")]))  # as sets, like the similarity
             if len(every):
                 for k in range(anchors):
-                    mixed = every * np.uint64(ORDERS[k])
-                    least[k] = int((mixed ^ (mixed >> np.uint64(32))).min().view(np.int64))
+                    least[k] = int(reordered(every, k).min().view(np.int64))
             rows.append((same, fingerprint([every]), least))
         return pd.DataFrame(rows, columns=["same", "fp", "anchors"])
 
@@ -255,19 +264,26 @@ def sketches(docs: DataFrame, id_col: str, text: str, words: int, anchors: int)
     return done.select("id", "key", "s.same", "s.fp", "s.anchors")
 
 
-#: Hashes in a document's sketch, and the shortfall of its estimate at which a pair is not looked at: three deviations.
-SKETCH, SHORT = 128, 0.11
-_MIX = np.array([(0xD1B54A32D192ED03 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(SKETCH)], dtype=np.uint64)
+#: Room for rounding where a share of a set is turned into a number of shingles.
+TINY = 1e-9
 
 
 class Shard:
-    """Documents of one shard: a BK-tree of fingerprints, their shingle sets, and who is linked to whom."""
+    """Documents of one shard: a BK-tree of fingerprints, their shingle sets, and who is linked to whom.
+
+    A document's prefix are its least shingles, so many that a document as similar
+    as asked for shares one of them. How many two prefixes share bounds what the
+    sets share, so pairs are left out only where they cannot be similar.
+    """
 
     def __init__(self, radius: int, similarity: float):
         self.radius, self.similarity = radius, similarity
         self.tree, self.at = BKTree(), {}
         self.names, self.sets, self.above = [], [], []
-        self.sketches = np.empty((64, SKETCH), dtype=np.uint16)
+        self.places: dict[int, array] = {}
+        #: Size, shingles behind the prefix, and last shingle of the prefix.
+        self.sizes, self.behind = np.empty(64, dtype=np.int64), np.empty(64, dtype=np.int64)
+        self.last = np.empty(64, dtype="<u8")
 
     def top(self, k: int) -> int:
         while self.above[k] != k:
@@ -275,29 +291,41 @@ class Shard:
             k = self.above[k]
         return k
 
+    def hopeful(self, mine: np.ndarray, prefix: list[int], last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that can be similar, and how many shingles of the prefix they share."""
+        lists = [np.frombuffer(self.places[h], dtype=np.int64) for h in prefix if h in self.places]
+        if not lists:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        others, shared = np.unique(np.concatenate(lists), return_counts=True)
+        # Of the prefix that ends first, all that the sets share is in the other prefix too.
+        rest = np.where(self.last[others] >= last, len(mine) - len(prefix), self.behind[others])
+        least = self.similarity / (1 + self.similarity) * (len(mine) + self.sizes[others])
+        can = shared + rest >= least - TINY
+        return others[can], shared[can]
+
     def add(self, name: str, fp: int, text: str, words: int) -> Iterator[tuple[str, str]]:
         """Links of a new document to earlier ones, one per group that it belongs to."""
         mine = np.unique(np.concatenate([*shingle_hashes(text, words), np.empty(0, dtype="<u8")]))
-        sketch = np.zeros(SKETCH, dtype=np.uint16)
-        for k in range(0, len(mine), CHUNK >> 3):
-            least = (mine[k:k + (CHUNK >> 3), None] * _MIX[None, :]).min(axis=0)
-            whole = least if k == 0 else np.minimum(whole, least)
-            sketch = (whole >> np.uint64(20)).astype(np.uint16)
+        prefix = mine[:len(mine) - math.ceil(self.similarity * len(mine) - TINY) + 1].tolist()
+        last = prefix[-1] if prefix else 0
         me = len(self.names)
         self.above.append(me)
-        if me:
+        if me and prefix:
+            others, shared = self.hopeful(mine, prefix, last)
             within = np.zeros(me, dtype=bool)
-            within[[k for _, other in self.tree.search(fp, self.radius) for k in self.at[other]]] = True
-            like = (self.sketches[:me] == sketch).mean(axis=1)
-            hopeful = np.flatnonzero(like >= self.similarity - SHORT)
+            if len(others):
+                within[[k for _, other in self.tree.search(fp, self.radius) for k in self.at[other]]] = True
             # First what the tree found; similar texts may have far fingerprints, so then the rest of the shard.
-            for k in hopeful[np.lexsort((-like[hopeful], ~within[hopeful]))].tolist():
+            for k in others[np.lexsort((-shared, ~within[others]))].tolist():
                 if self.top(k) != self.top(me) and _alike(mine, self.sets[k], self.similarity):
                     self.above[self.top(me)] = self.top(k)
                     yield name, self.names[k]
-        if me == len(self.sketches):
-            self.sketches = np.concatenate([self.sketches, np.empty_like(self.sketches)])
-        self.sketches[me] = sketch
+        if me == len(self.sizes):
+            self.sizes, self.behind, self.last = (np.concatenate([x, np.empty_like(x)])
+                                                  for x in (self.sizes, self.behind, self.last))
+        self.sizes[me], self.behind[me], self.last[me] = len(mine), len(mine) - len(prefix), last
+        for h in prefix:
+            self.places.setdefault(h, array("q")).append(me)
         self.names.append(name)
         self.sets.append(mine)
         self.tree.add(fp)
@@ -320,10 +348,10 @@ def _similar(parts: Iterator[pd.DataFrame], words: int, radius: int, similarity:
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     small, large = sorted((len(a), len(b)))
-    if small < similarity * large:
+    if small < similarity * large - TINY:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (small + large - both)
+    return both >= similarity * (small + large - both) - TINY
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5,
@@ -332,9 +360,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     A shard's documents are read one by one. The BK-tree gives those within the
     radius, which come first; the others of the shard follow, as a fingerprint can
-    be far from that of a similar text. A MinHash sketch leaves out those that are
-    far from the similarity, and the shingle sets decide. Documents in one group already are not compared
-    again. Of rows with equal id and text one comes out.
+    be far from that of a similar text. Those whose least shingles show that they
+    cannot be similar are left out, and the shingle sets decide. Documents in one
+    group already are not compared again. Of rows with equal id and text one comes out.
     """
     found = materialize(sketches(docs, id_col, text, words, anchors))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least")

@@ -107,6 +107,19 @@ def test_near_duplicates_keep_one_of_each(spark, docs):
     assert found.count() == 8 and found.columns == [*docs([]).columns, "slot", "group_id", "keeper"]
 
 
+def test_near_duplicates_find_every_pair_at_the_similarity(spark, docs):
+    random.seed(11)
+    texts = []
+    for k in range(1000):
+        both = [f"b{random.randrange(10 ** 9)}" for _ in range(84)]  # 80 shingles in common, 10 of each one's own
+        texts += [" ".join([*both, *(f"{side}{random.randrange(10 ** 9)}" for _ in range(10))]) for side in "xy"]
+    for k in range(0, 2000, 2):
+        shard = simhash.Shard(20, 0.8)
+        assert list(shard.add("a", 0, texts[k], 5)) == [] and list(shard.add("b", -1, texts[k + 1], 5)) == [("b", "a")]
+    got = simhash.near_duplicates(docs(texts)).collect()
+    assert {r["doc_id"] for r in got if r["keeper"]} == set(range(0, 2000, 2))
+
+
 def brute_base(text):
     words = WORD.findall(text or "")
     windows = {}
