@@ -6,10 +6,12 @@ enough places share a template, in which the other places are variable. A
 template that recurs across documents is boilerplate, and its lines go.
 
 A document that was copied repeats all of its lines. What counts is therefore
-not only how many documents have a template but how many kinds of documents:
-documents with the same least hash of word pairs are one kind. A template recurs if
-it has enough documents and their kinds are more than half as many. Copies are
-left to the near-duplicate stage, whole.
+how many kinds of documents have a template, told apart by what else they say:
+of a document's ``MARKS`` least hashes of word pairs those are its own that under
+half as many documents have as have the template. The least of these is its kind.
+Documents with less than the share ``own`` of them are near copies of each other
+and one kind together. A template recurs if it has enough kinds. Copies are left
+to the near-duplicate stage, whole.
 
 Only lines in leaves with enough lines are moved. Equal lines are counted before
 they reach a tree; a crowded leaf is parsed in salted shares whose templates
@@ -37,6 +39,8 @@ from temblor.session import materialize
 VARIABLE = "<*>"
 #: Shares a leaf is parsed in before its templates are merged.
 SALTS = 16
+#: Least hashes of word pairs that stand for a document.
+MARKS = 32
 
 
 def masked(line: Column) -> Column:
@@ -145,16 +149,16 @@ def parse(lines: DataFrame, keys: list[str], depth: int, similarity: float) -> D
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = 3,
                     similarity: float = 0.8, least_docs: int = 10, long_tokens: int = 20, long_docs: int = 5,
-                    least_tokens: int = 3) -> DataFrame:
+                    least_tokens: int = 3, own: float = 0.25) -> DataFrame:
     """``id, hash, places, templates``: which lines of which documents recur.
 
-    A template recurs in ``least_docs`` documents, or in ``long_docs`` where it has
-    ``long_tokens`` tokens, of which more than half are of different kinds.
+    A template recurs in ``least_docs`` kinds of documents, or in ``long_docs`` where
+    it has ``long_tokens`` tokens.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     pairs = let(F.col("w"), lambda words: F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))),
                                                      lambda a, b: F.xxhash64(a, b)))
-    kind = F.coalesce(F.array_min(pairs), F.lit(0).cast("bigint"))
+    least = F.slice(F.array_sort(F.array_distinct(pairs)), 1, MARKS)
     base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("hash"),
                        body.alias("body"))
     parsed = F.transform(F.split("body", "\n"), lambda raw, i: let(masked(raw), lambda line: F.struct(
@@ -164,7 +168,6 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              .select("id", "hash", "x.place", "x.leaf", "x.line"))
     full = lines.groupBy("leaf").count().where(F.col("count") >= min(least_docs, long_docs)).select("leaf")
     found = materialize(lines.join(full.hint("merge"), "leaf", "left_semi"))
-    kinds = base.withColumn("w", F.split("body", " ")).select("id", "hash", kind.alias("kind"))
 
     # Two rounds: shares of a leaf, then their templates.
     each = found.select("leaf", "line").distinct().withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)))
@@ -178,9 +181,21 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     long_line = F.size(F.split("final", " ")) >= long_tokens
     wanted = F.when(long_line, F.lit(long_docs)).otherwise(F.lit(least_docs))
     many = count.where(F.col("docs") >= wanted)
-    several = who.join(many, ["leaf", "final"]).join(kinds, ["id", "hash"])
-    recur = (several.groupBy("leaf", "final").agg(F.first("docs").alias("docs"), F.countDistinct("kind").alias("kinds"))
-             .where(2 * F.col("kinds") > F.col("docs")).select("leaf", "final"))
+    several = materialize(who.join(many, ["leaf", "final"]))
+    sharing = several.select("id", "hash").distinct()
+    marks = materialize(base.withColumn("w", F.split("body", "[ \n]")).select("id", "hash", least.alias("least"))
+                        .join(sharing, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+                        .select("id", "hash", F.explode("least").alias("mark")))
+    # Marks of fewer documents than half the least number are own ones whatever the template.
+    common = marks.groupBy("mark").agg(F.count("*").alias("held")).where(2 * F.col("held") >= min(least_docs, long_docs))
+    marked = (marks.join(common, "mark", "left").groupBy("id", "hash")
+              .agg(F.collect_list(F.struct("mark", F.coalesce("held", F.lit(1)).alias("held"))).alias("marks")))
+    mine = F.filter("marks", lambda x: 2 * x["held"] < F.col("docs"))
+    kind = F.when(F.size(mine) >= own * F.size("marks"), F.array_min(mine)["mark"])
+    kinds = several.join(marked, ["id", "hash"], "left").select(
+        "leaf", "final", "docs", F.coalesce(kind, F.lit(0).cast("bigint")).alias("kind"))
+    recur = (kinds.groupBy("leaf", "final").agg(F.countDistinct("kind").alias("kinds"))
+             .where(F.col("kinds") >= wanted).select("leaf", "final"))
     return (placed.join(recur, ["leaf", "final"]).groupBy("id", "hash")
             .agg(F.collect_set("place").alias("places"), F.collect_set("final").alias("templates")))
 

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from temblor.llm import bpe, components, line_templates, quality_rules, queries, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LETTERS = str.maketrans("0123456789", "ghijklmnop")
 LONG = "word " * 30_000 + "end"
 ODD = [None, "", " \t\n ", "one", "Two words", LONG, "same text again and again", "same text again and again",
        "Größe ÄÖ é", "a\x0bb\x0cc\x1cd"]
@@ -280,6 +281,29 @@ def test_recurring_templates_go(spark, docs):
     assert line_templates.drop_recurring_lines(docs([])).count() == 0
 
 
+def test_passages_go_whatever_their_hashes_and_near_copies_stay(spark, docs):
+    random.seed(8)
+
+    def words(n):
+        return " ".join(f"w{random.choice('abcdefgh')}{random.randrange(10 ** 6):x}q".translate(LETTERS) for _ in range(n))
+
+    texts, want = [], []
+    for _ in range(12):  # a passage as long as what else the texts say, so that its least hash is that of many
+        passage = words(60)
+        for k in range(12):
+            lines = [words(20) for _ in range(3)]
+            texts.append("\n".join([*lines[:1], passage, *lines[1:]]))
+            want.append("\n".join(lines))
+    article = [words(10) for _ in range(20)]
+    for k in range(60):  # near copies: a line of each is another one
+        copy = list(article)
+        copy[k % 20] = words(9)
+        texts.append("\n".join(copy))
+        want.append(texts[-1])
+    found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(texts)).collect()}
+    assert [found[k] for k in range(len(texts))] == want
+
+
 def test_templates_widen_but_keep_apart():
     leaf = line_templates.Leaf(2, 0.75)
     a = leaf.place("the price of tea is now ten coins")
