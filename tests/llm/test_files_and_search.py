@@ -149,6 +149,16 @@ def test_main_text_of_articles(spark):
         f"Title {k}\nOne bold & {k} next\nTwo {k}\nShare this" for k in range(2)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    story = "<div class=content><div>Story one</div><div>Story two</div></div>"
+    rows = [(k, f"http://h/{k // 2}", page(0, story)[2]) for k in range(12)]  # two rows of each of six urls
+    rows += [page(k, f"<div class=content><div>Tale {k}</div><div>Read on</div><div>Go back</div></div>") for k in range(20, 25)]
+    for most in (1_000_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_templates.extract(
+            spark.createDataFrame(rows, PAGES), most_broadcast=most).collect()}
+        assert got == {k: "Story one\nStory two" for k in range(12)} | {k: f"Tale {k}" for k in range(20, 25)}
+
+
 def test_templates_without_article_tags(spark):
     rows = [page(k, f"<div class=content><p>Story {k} one</p><p>Story {k} two</p><div>Read on</div></div>")
             for k in range(6)]
