@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from temblor.llm import (
-    bpe, html_templates, inner_product, line_crf, line_templates, mixing, outputs, quality_rules, records,
-    simhash, warc,
+    bpe, fill_middle, html_templates, inner_product, line_crf, line_templates, mixing, outputs, quality_rules, records,
+    secret_scan, simhash, warc,
 )
 from temblor.session import share_code
 
@@ -189,3 +189,79 @@ r as (select *, sum(n) over (partition by domain, lang, source order by h) as up
 select doc_id, domain, lang, source, unnest(range(whole))::int as epoch from r
 union all
 select doc_id, domain, lang, source, whole::int from r where whole < 4 and upto <= room"""
+
+
+def _listed(spans, kinds: list[str]):
+    """Spans of the kinds as ``kind:start:end``, joined by commas."""
+    of_kind = F.filter(spans, lambda x: x["kind"].isin(kinds))
+    return F.array_join(F.transform(of_kind, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, by kind and place."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs).select("doc_id", "secrets")
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = [r.kind for r in secret_scan.BASE]
+    return found.select("doc_id", *map(count, base), F.sha2(_listed("secrets", base), 256).alias("base_sha256"),
+                        _listed("secrets", base + [r.kind for r in secret_scan.MORE]).alias("spans"))
+
+
+def _secrets_sql() -> str:
+    """Spans by the texts between the matches of each rule."""
+    parts = []
+    for k, rule in enumerate(secret_scan.BASE + secret_scan.MORE):
+        head = f"(?i:{rule.head})" if rule.any_case else f"(?:{rule.head})"
+        pattern = f"{head}({rule.run})".replace("'", "''")
+        group = 2 if "(" in rule.head else 1
+        parts.append(f"""select doc_id, {k} as k, '{rule.kind}' as kind, {rule.least} as least,
+            string_split_regex(t, '{pattern}') as rest, regexp_extract_all(t, '{pattern}') as hits,
+            regexp_extract_all(t, '{pattern}', {group}) as runs from d where regexp_matches(t, '{pattern}')""")
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.BASE)
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(parts)}),
+x as (select doc_id, k, kind, least, unnest(range(1, len(hits) + 1)) as j, rest, hits, runs from m),
+p as (select doc_id, k, kind, length(hits[j]) as n, length(runs[j]) as run, least,
+  list_sum(list_transform(rest[1:j], lambda y: length(y)))::bigint
+  + coalesce(list_sum(list_transform(hits[1:j - 1], lambda y: length(y))), 0)::bigint as start from x),
+s as (select doc_id, k, kind, start, kind || ':' || start || ':' || (start + n) as said from p where run >= least),
+g as (select doc_id, {counts}, string_agg(said, ',' order by start, k) filter (kind in ({base})) as base,
+  string_agg(said, ',' order by start, k) as spans from s group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
+
+
+ORACLES["op11_secret_scan"] = _secrets_sql()
+
+
+@query
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut and put in another order, and restored from that."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    formed = fill_middle.fill_in_middle(docs)
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+ORACLES["op13_fill_middle"] = """
+with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || doc_id) as h from documents),
+u as (select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w,
+  ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3,
+  ('0x' || h[25:32])::bigint as h4 from d),
+c as (select doc_id, t, w, len(w) as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as a,
+  greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+       when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (select doc_id, t, n::bigint as n, form, array_to_string(w[1:a], '') as x, array_to_string(w[a + 1:b], '') as y,
+  array_to_string(w[b + 1:n], '') as z from c)
+select doc_id, n, form, case when form <> 'plain' then length(x) end as prefix_chars,
+  case when form <> 'plain' then length(y) end as middle_chars,
+  sha256(case form when 'plain' then t when 'spm' then '<S>' || z || '<P>' || x || '<M>' || y
+    else '<P>' || x || '<S>' || z || '<M>' || y end) as output_sha256, sha256(t) as restored_sha256 from p"""
