@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from temblor.llm import (
     bpe, fill_middle, html_templates, inner_product, line_crf, line_templates, mixing, outputs, quality_rules, records,
-    secret_scan, simhash, warc,
+    secret_scan, simhash, spelling, warc,
 )
 from temblor.session import share_code
 
@@ -240,6 +240,38 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 ORACLES["op11_secret_scan"] = _secrets_sql()
 
 
+@query
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with the word it is a variant of."""
+    return spelling.spelling_forms(table(spark, folder, "documents"))
+
+
+ORACLES["op12_spelling"] = """
+with recursive t as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as crc),
+r as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents) group by all),
+b as (select run, n, hex(encode(doc_id || ':' || run)) as said from r where length(run) >= 6),
+h as (select run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(said) // 2),
+  lambda i: ('0x' || said[2 * i + 1:2 * i + 2])::bigint)),
+  lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) as h from b, t),
+w as (select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word,
+  sum(n)::bigint as n from h group by 1 having sum(n) >= 5 and length(word) >= 6),
+d as (select word, n, i, left(word, i) || substr(word, i + 2) as less
+  from (select *, unnest(range(length(word))) as i from w)),
+p as (select a.word, b.word as other, b.n as m from d a join d b using (i, less) where a.word <> b.word
+  union select d.word, w.word, w.n from d join w on d.less = w.word
+  union select w.word, d.word, d.n from d join w on d.less = w.word),
+g as (select word, count(*) as n_near, (min({'m': -m, 'word': other})).word as best, max(m) as best_n from p group by word),
+f as (select word, n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * n then best end as form,
+  case when best_n >= 5 * n then best_n end as form_n from w left join g using (word)),
+c as (select word, coalesce(form, word) as root from f
+  union all select c.word, f.form from c join f on c.root = f.word
+  where f.form is not null and c.root <> f.form and c.word <> c.root),
+x as (select c.word, c.root from c join f on c.root = f.word where f.form is null)
+select word, form, root, n, n_near, form_n from f join x using (word)"""
+
+
 @query
 def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut and put in another order, and restored from that."""
