@@ -47,7 +47,7 @@ def hashed_ngrams(words: Column, orders: tuple[int, ...], buckets: int) -> Colum
             found.append(F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
                                     F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: bucket(a, b)))
         else:
-            found.append(windows(words, order, bucket))
+            found.append(F.coalesce(windows(words, order, lambda part: bucket(part)), F.array().cast("array<int>")))
     return F.concat(*found)
 
 
