@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from temblor.functions.geo import cartesian, haversine_km
+from temblor.operators.boxes import TOTALS, box_totals, in_box
 from temblor.operators.ordered import Ordered, chunked, running
 from temblor.operators.quantiles import fixed
 from temblor.session import materialize
@@ -83,74 +84,15 @@ def _events(df: DataFrame, prefix: str, extra: list[str] = ()) -> DataFrame:
                      *[F.col(c).alias(f"{prefix}{c}") for c in extra])
 
 
-def _own_cell_history(folded: DataFrame, span: int, rows_per_chunk: int | None) -> DataFrame:
-    """Totals of the span before each (cell, instant) inside the own cell.
-
-    The box always covers the own cell, so only time counts and no pairs are
-    needed: the span is the end of one time slot and the start of the next,
-    and both are running totals.
-    """
-    cell = ["b_cx", "b_cy"]
-
-    def slot(column: Column) -> Column:
-        return _bucket(column, span)
-
-    none = {c: F.lit(None).cast(t) for c, t in folded.dtypes if c in ("b_n", "b_sum", "b_max")}
-    data = folded.withColumns({"pos": F.col("b_us"), "at": F.col("b_us"), "back": F.lit(1)})
-    starts = folded.withColumns({"pos": F.col("b_us") - span, "at": F.col("b_us"), "back": F.lit(0), **none})
-    rows = data.unionByName(starts).withColumns({
-        "slot": slot(F.col("pos")), "_data_us": F.when(F.col("back") == 1, F.col("pos"))})
-    totals = {"n": ("sum", F.col("b_n")), "s": ("sum", F.col("b_sum")), "hi": ("max", F.col("b_max")),
-              "last": ("max", F.col("_data_us"))}
-    parts = chunked(rows, ("pos",), rows_per_chunk, split_ties=False)
-    order = ("pos", "back")
-    ahead = running(Ordered(parts.df, order, parts.chunks), [*cell, "slot"],
-                    {f"a_{k}": v for k, v in totals.items()}, exclusive=True, keep_chunk=True)
-    both = running(Ordered(ahead, order, parts.chunks), [*cell, "slot"],
-                   {f"z_{k}": v for k, v in totals.items()}, reverse=True)
-    is_data = F.col("back") == 1
-    picked = both.select(*cell, F.col("at").alias("b_us"),
-                         *[F.when(is_data, F.col(f"a_{k}")).otherwise(F.col(f"z_{k}")).alias(k) for k in totals])
-    return picked.groupBy(*cell, "b_us").agg(F.sum("n").alias("own_n"), F.sum("s").alias("own_sum"),
-                                             F.max("hi").alias("own_max"), F.max("last").alias("own_last"))
-
-
 def _box_pairs(probe: DataFrame, places: DataFrame, span: int, degrees: float) -> DataFrame:
-    """All earlier places in the box of each event, folded per event."""
+    """All earlier places in the box of each event."""
     size = 2.0 * degrees
     axes = [
         Axis(F.col("p_us") - span, F.col("p_us") - 1, F.col("b_us"), span),
         Axis(F.col("p_lat") - degrees, F.col("p_lat") + degrees, F.col("b_lat"), size),
         Axis(F.col("p_lon") - degrees, F.col("p_lon") + degrees, F.col("b_lon"), size),
     ]
-    return _fold_pairs(range_pairs(probe.drop("p_cx", "p_cy"), places.drop("b_cx", "b_cy"), axes,
-                                   _in_box(span, degrees)))
-
-
-def _in_box(span: int, degrees: float) -> Column:
-    return (
-        (F.col("b_us") >= F.col("p_us") - span) & (F.col("b_us") < F.col("p_us"))
-        & F.col("b_lat").between(F.col("p_lat") - degrees, F.col("p_lat") + degrees)
-        & F.col("b_lon").between(F.col("p_lon") - degrees, F.col("p_lon") + degrees)
-    )
-
-
-def _fold_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(F.col("p_seq").alias("seq")).agg(
-        F.sum("b_n").alias("_n"), F.sum("b_sum").alias("_sum"), F.max("b_max").alias("_max"),
-        F.max("b_us").alias("_last"))
-
-
-def _neighbour_pairs(probe: DataFrame, places: DataFrame, span: int, degrees: float) -> DataFrame:
-    """As :func:`_box_pairs`, but only with the eight cells around the own one."""
-    around = F.array(*[F.struct((F.col("p_cx") + i).alias("cx"), (F.col("p_cy") + j).alias("cy"))
-                       for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    slots = F.sequence(_bucket(F.col("p_us") - span, span), _bucket(F.col("p_us") - 1, span))
-    copied = (probe.withColumn("_c", F.explode(around)).withColumn("_slot", F.explode(slots))
-              .select("p_seq", "p_us", "p_lat", "p_lon", "_c.cx", "_c.cy", "_slot"))
-    placed = places.select("b_us", "b_lat", "b_lon", "b_n", "b_sum", "b_max", F.col("b_cx").alias("cx"),
-                           F.col("b_cy").alias("cy"), _bucket(F.col("b_us"), span).alias("_slot"))
-    return _fold_pairs(copied.join(placed.hint("merge"), ["cx", "cy", "_slot"]).where(_in_box(span, degrees)))
+    return range_pairs(probe, places, axes, in_box(span, degrees))
 
 
 def history_in_box(df: DataFrame, days: int = 30, degrees: float = 1.0, empty_days: int = 9999,
@@ -161,47 +103,27 @@ def history_in_box(df: DataFrame, days: int = 30, degrees: float = 1.0, empty_da
     days since the last one. Events of one instant and place are folded before
     the join.
 
-    Where a cell of ``degrees`` holds more than ``crowded`` places in one time
-    slot, own-cell events come from running totals, so that it makes no pairs
-    with itself; only the eight cells around are joined.
+    Where a cell of ``degrees`` holds more than ``crowded`` places in one time slot,
+    its places are not paired but answered by running totals (see ``boxes``).
     """
     span = days * DAY_US
-
-    def cells(prefix: str) -> dict[str, Column]:
-        return {f"{prefix}cx": _bucket(F.col(f"{prefix}lat"), degrees),
-                f"{prefix}cy": _bucket(F.col(f"{prefix}lon"), degrees)}
-
     probe = df.select(F.col("seq").alias("p_seq"), F.unix_micros("time").alias("p_us"),
-                      F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon")).withColumns(cells("p_"))
+                      F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
     places = (df.groupBy(F.unix_micros("time").alias("b_us"), F.col("latitude").alias("b_lat"),
                          F.col("longitude").alias("b_lon"))
-              .agg(F.count(F.lit(1)).alias("b_n"), F.sum("mag").alias("b_sum"), F.max("mag").alias("b_max"))
-              .withColumns(cells("b_")))
-    counts = probe.groupBy("p_cx", "p_cy", _bucket(F.col("p_us"), span)).count()
-    busiest = counts.agg(F.max("count")).first()[0] or 0
-    zero = F.lit(0).cast("bigint")
-    if busiest <= crowded:
-        joined = df.join(_box_pairs(probe, places, span, degrees), "seq", "left")
-        n, total = F.coalesce("_n", zero), F.coalesce("_sum", F.lit(0.0))
-        largest, last = F.col("_max"), F.col("_last")
-    else:
-        folded = places.groupBy("b_cx", "b_cy", "b_us").agg(
-            F.sum("b_n").alias("b_n"), F.sum("b_sum").alias("b_sum"), F.max("b_max").alias("b_max"))
-        own = _own_cell_history(folded, span, rows_per_chunk)
-        keyed = df.withColumns({"b_us": F.unix_micros("time"), "b_cx": _bucket(F.col("latitude"), degrees),
-                                "b_cy": _bucket(F.col("longitude"), degrees)})
-        joined = (keyed.join(own, ["b_cx", "b_cy", "b_us"], "left")
-                  .join(_neighbour_pairs(probe, places, span, degrees), "seq", "left"))
-        n = F.coalesce("own_n", zero) + F.coalesce("_n", zero)
-        total = F.coalesce("own_sum", F.lit(0.0)) + F.coalesce("_sum", F.lit(0.0))
-        largest, last = F.greatest("own_max", "_max"), F.greatest("own_last", "_last")
+              .agg(F.count(F.lit(1)).alias("b_n"), F.sum("mag").alias("b_sum"), F.max("mag").alias("b_max")))
+    found = box_totals(probe, places, lambda p, b: _box_pairs(p, b, span, degrees), span, degrees, crowded,
+                       rows_per_chunk)
+    joined = df.join(found, "seq", "left")
+    n, total = F.coalesce("_n", F.lit(0).cast("bigint")), F.coalesce("_sum", F.lit(0.0))
+    largest, last = F.col("_max"), F.col("_last")
     since = F.floor((F.unix_micros("time") - last) / F.lit(float(DAY_US))).cast("bigint")
     return joined.withColumns({
         f"hist_count_{days}d": n,
         f"hist_mag_mean_{days}d": F.when(n > 0, total / n).otherwise(F.lit(0.0)),
         f"hist_mag_max_{days}d": F.coalesce(largest, F.lit(0.0)),
         "days_since_last": F.coalesce(since, F.lit(empty_days).cast("bigint")),
-    }).drop("_n", "_sum", "_max", "_last", "b_us", "b_cx", "b_cy", "own_n", "own_sum", "own_max", "own_last")
+    }).drop(*TOTALS)
 
 
 def time_steps(span_us: int, densest: int) -> list[tuple[int, int]]:

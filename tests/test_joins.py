@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from temblor.operators import rangejoin, sequences
+from temblor.operators import boxes, rangejoin, sequences
 
 R = 6371.0
 
@@ -148,3 +148,42 @@ def test_missing_ids(spark):
     listed = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
     stored = spark.createDataFrame([("a",)], "id string")
     assert sorted(r["id"] for r in rangejoin.missing_ids(listed, stored).collect()) == ["b", "c"]
+
+
+def test_history_of_two_crowded_neighbours_needs_few_pairs(spark):
+    def made(n):
+        k = F.col("seq")
+        return spark.range(n).select(
+            F.col("id").alias("seq"), F.timestamp_micros(k * 37 % 1009 * 10_000_000 + k).alias("time"),
+            (k * 7919 % 4001 / 4001.0).alias("latitude"),
+            F.when(k % 3 == 0, F.lit(0.25)).otherwise(k * 104_729 % 7993 / 3996.6).alias("longitude"),
+            (k % 50 / 10.0).alias("mag"))
+
+    counted = {}
+    for n in (3000, 6000, 12_000):
+        df = made(n)
+        probe = df.selectExpr("seq as p_seq", "unix_micros(time) as p_us", "latitude as p_lat", "longitude as p_lon")
+        places = df.selectExpr("unix_micros(time) as b_us", "latitude as b_lat", "longitude as b_lon", "1L as b_n",
+                               "mag as b_sum", "mag as b_max")
+        span = 5_000_000_000
+        placed = boxes.with_block(places, span, 1.0)
+        blocks = boxes.crowded_blocks(placed, 100)
+        data, asked = boxes.dense_rows(probe, placed, blocks, span, 1.0, 25)
+        everything = data.select("b_us", "b_lat", "b_lon").crossJoin(probe).where(boxes.in_box(span, 1.0)).count()
+        counted[n] = boxes.edge_pairs(data, asked, span, 1.0).count(), everything
+    assert counted[12_000][1] > 12 * counted[3000][1]  # what pairs would cost
+    assert counted[12_000][0] < 6 * counted[3000][0]
+    assert counted[12_000][0] < counted[12_000][1] / 8
+
+
+@pytest.mark.parametrize("size", [None, 300])
+def test_history_with_places_on_split_points(spark, size):
+    rows = [(k, (k * 37 % 101) * 60_000_000, (k % 4) / 2.0, (k * 5 % 7) / 2.0 - 1.5, k % 9 / 2.0) for k in range(700)]
+    df = spark.createDataFrame(rows, "seq bigint, us bigint, latitude double, longitude double, mag double").withColumn(
+        "time", F.timestamp_micros("us"))
+    found = {r["seq"]: r for r in rangejoin.history_in_box(df, 1, 0.5, crowded=8, rows_per_chunk=size).collect()}
+    for seq, at, lat, lon, _ in rows:
+        past = [x for x in rows if at - 86_400_000_000 <= x[1] < at and abs(x[2] - lat) <= 0.5 and abs(x[3] - lon) <= 0.5]
+        assert found[seq]["hist_count_1d"] == len(past)
+        assert found[seq]["hist_mag_max_1d"] == max((x[4] for x in past), default=0.0)
+        assert found[seq]["hist_mag_mean_1d"] == pytest.approx(sum(x[4] for x in past) / max(1, len(past)))
