@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from temblor.operators.ordered import running
+from temblor.session import materialize
+
+#: Bits by which bins are cut, and the different values of a bin that a task may sort.
+BITS = 16
+MOST_IN_BIN = 65_536
 
 
 def scalars(row: DataFrame) -> dict[str, Column]:
@@ -36,28 +41,77 @@ def value_counts(df: DataFrame, value: str, keys: list[str] = (), **sums: Column
             .agg(F.count(F.lit(1)).alias("n"), *extra))
 
 
+def _order_key(value: Column) -> Column:
+    """A long that sorts like the double; both zeros are one."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2 ** 63 - 1))).otherwise(bits)
+
+
+def _same(left: str, right: str, names: list[str]) -> Column:
+    match = F.lit(True)
+    for c in names:
+        match = match & F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`"))
+    return match
+
+
+def _narrowed(left: DataFrame, bins: DataFrame, group: list[str], shift: int) -> tuple[DataFrame, DataFrame]:
+    """Values and bins after ``BITS`` more bits: only bins that hold a wanted rank stay.
+
+    A bin falls into ``2 ** BITS`` new ones at most, which is what a window here sees.
+    """
+    finer = left.withColumn("_finer", F.shiftright("_key", shift))
+    counted = finer.groupBy(*group, "_bin", "_finer").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    order = Window.partitionBy(*group, "_bin").orderBy("_finer")
+    counted = counted.withColumn("_first", F.sum("_n").over(order) - F.col("_n"))
+    placed = counted.alias("c").join(bins.alias("b"), _same("c", "b", [*group, "_bin"])).select(
+        *[f"c.`{c}`" for c in group], F.col("_finer").alias("_bin"), F.col("c._d").alias("_d"),
+        (F.col("before") + F.col("_first")).alias("before"), F.col("_n"), "ranks")
+    inside = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("_n")))
+    bins = materialize(placed.withColumn("ranks", inside).where(F.size("ranks") > 0).drop("_n"))
+    held = finer.drop("_bin").withColumnRenamed("_finer", "_bin")
+    return materialize(held.alias("v").join(bins.alias("b"), _same("v", "b", [*group, "_bin"]), "left_semi")), bins
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    keys: list[str] = ()) -> DataFrame:
+                    keys: list[str] = (), most: int = MOST_IN_BIN) -> DataFrame:
     """Linear-interpolation quantiles as arrays, one per column (and group).
 
-    Values are counted per distinct value before they meet in one place, so
-    the state grows with the number of distinct values, which the resolution
-    of a measured column bounds. Use :func:`ranked_quantiles` for columns
-    whose values are all different.
+    By selection: copies of a value are counted first. While the bins that hold a
+    wanted rank have more than ``most`` different values, they are cut by the next
+    bits of the values and only those with a wanted rank are kept. In the end a
+    window over each bin finds the values. At most four rounds; no task sees more than a bin.
     """
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    if len(columns) == 1:
-        name = columns[0]
-        return value_counts(df, name, keys).groupBy(*keys).agg(
-            F.percentile(F.col(name).cast("double"), wanted, F.col("n")).alias(name))
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+    keys, group = list(keys), [*keys, "column"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
                       for c in columns])
-    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.column", "_p.value")
-    grouped = value_counts(long, "value", [*keys, "column"])
-    per = grouped.groupBy(*keys).agg(*[
-        F.percentile(F.when(F.col("column") == c, F.col("value")), wanted,
-                     F.col("n")).alias(c) for c in columns])
-    return per
+    long = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(pairs).alias("_p")).select(*keys, "_p.column", "_p.value")
+    left = materialize(value_counts(long, "value", group).withColumns(
+        {"_key": _order_key(F.col("value")), "_bin": F.lit(0).cast("bigint")}))
+    spots = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("total") - 1))
+    ranks = F.array_distinct(F.concat(F.transform("spots", lambda x: F.floor(x)), F.transform("spots", lambda x: F.ceil(x))))
+    sizes = materialize(left.groupBy(*group).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_d"))
+                        .withColumn("spots", spots).withColumn("ranks", ranks))
+    bins = sizes.select(*group, F.lit(0).cast("bigint").alias("_bin"), "_d", F.lit(0).cast("bigint").alias("before"), "ranks")
+    shift = 64
+    while shift and (bins.agg(F.max("_d")).first()[0] or 0) > most:
+        shift -= BITS
+        left, bins = _narrowed(left, bins, group, shift)
+    order = Window.partitionBy(*group, "_bin").orderBy("value")
+    counted = left.withColumn("_upto", F.sum("n").over(order))
+    first, upto = F.col("before") + F.col("_upto") - F.col("n"), F.col("before") + F.col("_upto")
+    hits = counted.alias("v").join(bins.alias("b"), _same("v", "b", [*group, "_bin"])).select(
+        *[f"v.`{c}`" for c in group], "value", F.filter("ranks", lambda r: (r >= first) & (r < upto)).alias("hit"))
+    at_rank = F.flatten(F.collect_list(F.transform("hit", lambda r: F.struct(r.alias("rank"), F.col("value").alias("v")))))
+    found = hits.where(F.size("hit") > 0).groupBy(*group).agg(F.map_from_entries(at_rank).alias("at"))
+
+    def between(x: Column) -> Column:
+        low, high = F.floor(x), F.ceil(x)
+        a, b = F.element_at("at", low), F.element_at("at", high)
+        return F.when(a == b, a).otherwise((high - x) * a + (x - low) * b)
+
+    solved = found.alias("f").join(sizes.alias("s"), _same("f", "s", group)).select(
+        *[f"f.`{c}`" for c in group], F.transform("spots", between).alias("q"))
+    return solved.groupBy(*keys).agg(*[F.first(F.when(F.col("column") == c, F.col("q")), True).alias(c) for c in columns])
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
