@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from temblor.operators import spatial
+from temblor.operators import cleaning, spatial
 from temblor.registered import register
 from temblor.registered.spatial import GRID, r6
 from temblor.sources import geojson, store
@@ -27,14 +27,16 @@ def _catalog_stream(spark, sf_dir):
 select cast(year("time") as bigint) as year, count(*) as n, count(distinct id) as ids, max(mag) as mag_max
 from ev group by 1""")
 def stream_ingest(spark, sf_dir):
-    """Documents arrive twice; every id is stored once."""
-    path = store.scratch_folder(spark, "arrivals")
+    """Half of the documents are stored before, all arrive twice; every id is stored once."""
+    path, root = store.scratch_folder(spark, "arrivals"), store.scratch_folder(spark, "stored")
     events = raw_catalog(spark, sf_dir)
     docs = events.select(geojson.to_document(events).alias("value"))
-    docs.unionByName(docs).write.text(path)
-    stream = jobs.stream_ingest(spark, path, ANY_AGE)
-    stored = jobs.run_available(stream, store.scratch_folder(spark, "stored"), store.scratch_folder(spark, "cp"))
-    return stored.groupBy(F.year("time").cast("bigint").alias("year")).agg(
+    docs.unionByName(docs).repartition(4).write.text(path)
+    old = spark.read.text(path).where(F.crc32(F.col("value").cast("binary")) % 2 == 0).select(F.col("value").alias("document"))
+    jobs.append_new(cleaning.coerce_types(geojson.parse_documents(old).where("supported").drop("supported")), root, -1)
+    stream = jobs.stream_ingest(spark, path, files_per_trigger=2)
+    jobs.store_new(stream, root, store.scratch_folder(spark, "cp")).awaitTermination()
+    return jobs.read_store(spark, root).groupBy(F.year("time").cast("bigint").alias("year")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max("mag").alias("mag_max"))
 
 
@@ -50,15 +52,16 @@ def stream_daily(spark, sf_dir):
 
 
 @register("stream_last_n", GRID + """,
-r as (select region_code, id, us, row_number() over (partition by region_code order by us desc, id desc) as n from grid)
-select region_code, string_agg(id, ',' order by us, id) as ids from r where n <= 6 group by 1""")
+r as (select region_code, id, us, mag, row_number() over (partition by region_code order by us desc, id desc) as n
+      from grid)
+select region_code, string_agg(id, ',' order by us, id) as ids,
+       round(1/(1 + exp(-(-6 + 0.4*avg(mag) + 0.6*max(mag) + 0.1*count(*)))), 6) as score
+from r where n <= 6 group by 1""")
 def stream_last_n(spark, sf_dir):
+    """The last six events of each zone and their score, from the state of a stream."""
     root = store.scratch_folder(spark, "last")
-    query = jobs.stream_last_n(_catalog_stream(spark, sf_dir), root, store.scratch_folder(spark, "cp"))
-    query.awaitTermination()
-    state = jobs.last_state(spark, root, query)
-    ordered = F.array_sort(F.collect_list(F.struct("time", "id")))
-    return state.groupBy("region_code").agg(F.array_join(F.transform(ordered, lambda r: r["id"]), ",").alias("ids"))
+    jobs.stream_last_n(_catalog_stream(spark, sf_dir), root, store.scratch_folder(spark, "cp")).awaitTermination()
+    return jobs.last_state(spark, root).select("region_code", F.array_join("ids", ",").alias("ids"), r6("score", "score"))
 
 
 @register("stream_future_majors", GRID + """

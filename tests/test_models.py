@@ -1,5 +1,7 @@
 """Patterns, metrics, clustering, forecasts and streams."""
 
+import datetime as dt
+import math
 from itertools import combinations
 
 import pytest
@@ -138,19 +140,56 @@ def test_quiet_model_scores_are_probabilities(spark, sf):
     assert all(0.0 <= r["pred_proba_major_next_horizon"] <= 1.0 for r in rows)
 
 
-def test_stream_last_n_equals_batch_and_restarts(spark, events, tmp_path):
-    rows = events.select("id", "time", "mag", "region_code")
-    source = str(tmp_path / "in")
-    rows.orderBy("id").repartition(5).write.parquet(source)
-    root, check = str(tmp_path / "state"), str(tmp_path / "cp")
-    for _ in range(2):
-        stream = jobs.read_parquet_stream(spark, source, rows.schema, files_per_trigger=1)
-        query = jobs.stream_last_n(stream, root, check, n=4)
-        query.awaitTermination()
-        if query.lastProgress and query.lastProgress["numInputRows"]:
-            state = jobs.last_state(spark, root, query)
-    want = jobs.keep_last_n(rows, None, ["region_code"], 4)
-    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, want.collect()))
+def test_stream_last_n_keeps_state_over_restarts(spark, events, tmp_path):
+    source, root, check = f"{tmp_path}/src", f"{tmp_path}/state", f"{tmp_path}/cp"
+    rows = events.select("id", "time", "region_code", "mag")
+    parts = [rows.where("region_code <> 'z0'"), rows.where("region_code = 'z0'"), rows.where("region_code is null"),
+             rows.where("region_code = 'z1'")]  # the last one repeats events
+    seen = []
+    for part in parts:  # one start per part, from the same checkpoint
+        part.coalesce(2).write.mode("append").parquet(source)
+        stream = jobs.read_parquet_stream(spark, source, rows.schema)
+        jobs.stream_last_n(stream, root, check, n=4, on_update=lambda batch, number: seen.append(
+            {r["region_code"] for r in batch.collect()})).awaitTermination()
+    zones = {r["region_code"] for r in rows.collect()}
+    assert seen == [zones - {"z0", None}, {"z0"}, {None}, {"z1"}]  # a batch touches its own zones
+    data = [r.asDict() for r in rows.collect()]
+    state = {r["region_code"]: r for r in jobs.last_state(spark, root).collect()}
+    assert set(state) == zones
+    for zone, row in state.items():
+        last = sorted((r["time"], r["id"], r["mag"]) for r in data if r["region_code"] == zone)[-4:]
+        assert row["ids"] == [r[1] for r in last]
+        mags = [r[2] for r in last]
+        value = -6 + 0.4 * sum(mags) / len(mags) + 0.6 * max(mags) + 0.1 * len(last)
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-value)))
+
+
+def test_busy_zones_send_few_rows(spark, events):
+    rows = events.select("region_code", "id", F.unix_micros("time").alias("us"), "mag").repartition(3)
+    sent = jobs.newest(rows, ["region_code"], 4)
+    assert sent.count() <= 3 * 4 * rows.select("region_code").distinct().count()
+
+
+def test_store_takes_each_id_once(spark, events, tmp_path):
+    root = f"{tmp_path}/store"
+    rows = events.select("id", "time", "mag")
+    jobs.append_new(rows.where("seq < 150"), root, -1, buckets=2)
+    first, second = rows.where("seq < 250").unionByName(rows.where("seq between 200 and 240")), rows.where("seq >= 100")
+    nameless = rows.limit(1).withColumn("id", F.lit(None).cast("string"))
+
+    def stored():
+        return sorted((r["id"], r["time"], r["mag"], r["batch"]) for r in jobs.read_store(spark, root).collect())
+
+    for number, part in ((0, first), (1, second.unionByName(nameless)), (2, rows)):
+        jobs.append_new(part, root, number, buckets=2)
+    want = sorted((r["id"], r["time"], r["mag"], -1 if r["seq"] < 150 else 0 if r["seq"] < 250 else 1)
+                  for r in events.collect())
+    assert stored() == want
+    jobs.append_new(second, root, 1, buckets=2)  # a repeated batch
+    assert stored() == want
+    latest = rows.where("seq = 7").withColumn("id", F.lit("new")).withColumn("mag", F.lit(1.0))
+    jobs.append_new(latest.unionByName(latest.withColumn("time", F.expr("time + interval 1 day"))), root, 3, buckets=2)
+    assert [r[1:3] for r in stored() if r[0] == "new"] == [(latest.first()["time"] + dt.timedelta(days=1), 1.0)]
 
 
 def test_stream_majors_equal_batch(spark, events, tmp_path):
