@@ -158,7 +158,8 @@ def region_codes(df: DataFrame, column: str = "region_code") -> DataFrame:
 
 
 def region_encode(df: DataFrame, codes: DataFrame, column: str = "region_code") -> DataFrame:
-    return df.join(codes, column, "left")
+    """Add the number of the region; codes that a grid bounds are broadcast."""
+    return attach(df, codes, [column], codes.count())
 
 
 def sequence_windows(df: DataFrame, columns: list[str], target: str, n: int = 5,
