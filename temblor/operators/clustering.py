@@ -10,7 +10,6 @@ import math
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -64,27 +63,87 @@ def _training_rows(df: DataFrame, columns: list[str], rows: int | None, key: str
 def k_sweep(df: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 8, train_rows: int | None = None,
             eval_rows: int | None = None, seed: int = 42, key: str = "id") -> DataFrame:
     """Silhouette, inertia and between/within ratio for every k, on all rows unless sizes are given."""
+    return sweep_models(df, columns, k_min, k_max, train_rows, eval_rows, seed, key)[0]
+
+
+def sweep_models(df: DataFrame, columns: list[str], k_min: int = 2, k_max: int = 8, train_rows: int | None = None,
+                 eval_rows: int | None = None, seed: int = 42, key: str = "id") -> tuple[DataFrame, dict[int, KMeansModel]]:
+    """:func:`k_sweep` and the models it fitted, so that the best need not be fitted again.
+
+    The silhouettes of all k come from two passes over the rows.
+    """
     spark = df.sparkSession
     train = _training_rows(df, columns, train_rows, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
     test = train if eval_rows is None else seeded_sample(train, eval_rows, key, seed).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
         n_train, n_test = train.count(), test.count()
-        rows = []
+        models = {}
         for k in range(k_min, k_max + 1):
             if k >= n_train and k > k_min:  # more clusters than rows tell nothing
                 break
-            model = KMeans(k=k, seed=seed, maxIter=50).fit(train)
-            labels = model.transform(test)
-            kinds = labels.select("prediction").distinct().count()
-            score = ClusteringEvaluator().evaluate(labels) if kinds > 1 else None
+            models[k] = KMeans(k=k, seed=seed, maxIter=50, predictionCol=f"_k{k}").fit(train)
+        labels = test
+        for model in models.values():
+            labels = model.transform(labels)
+        scores = silhouettes(labels.withColumn("_x", vector_to_array("features")), "_x", [f"_k{k}" for k in models])
+        rows = []
+        for k, model in models.items():
             within = float(model.summary.trainingCost)
-            rows.append((k, score, within, _between(model) / (within + EPS), n_train, n_test))
+            rows.append((k, scores[f"_k{k}"], within, _between(model) / (within + EPS), n_train, n_test))
     finally:
         train.unpersist()
         test.unpersist()
     return spark.createDataFrame(rows, "k bigint, silhouette double, inertia double, separation double, "
-                                       "train_rows bigint, eval_rows bigint")
+                                       "train_rows bigint, eval_rows bigint"), models
+
+
+def silhouettes(df: DataFrame, point: str, labels: list[str]) -> dict[str, float | None]:
+    """Mean silhouette of squared distances for each label column; None where there is one cluster.
+
+    ``point`` is an array of numbers. Mean squared distances to a cluster follow
+    from its count, sum and sum of squares, so one pass gathers those of all
+    labels (a row per cluster on the driver) and another one adds up the scores.
+    Rows alone in their cluster score 0.
+    """
+    square = F.aggregate(point, F.lit(0.0), lambda a, x: a + x * x)
+    pairs = F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("bigint").alias("label")) for c in labels])
+    size = len((df.select(point).first() or [[]])[0])
+    stats = (df.select(F.col(point), square.alias("_s"), F.explode(pairs).alias("_p")).groupBy("_p.by", "_p.label")
+             .agg(F.count(F.lit(1)).alias("n"), F.sum("_s").alias("squares"),
+                  F.array(*[F.sum(F.get(point, F.lit(i))) for i in range(size)]).alias("sums")).collect())
+    found = {c: [r for r in stats if r["by"] == c] for c in labels}
+    several = [c for c in labels if len(found[c]) > 1]
+    if not several:
+        return dict.fromkeys(labels)
+
+    def distances(c: str) -> Column:
+        """Mean squared distance to each cluster of a label; to the own one without the row itself."""
+        clusters = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(float(r["n"])).alias("n"),
+                                      F.lit(r["squares"]).alias("squares"),
+                                      F.array(*[F.lit(x) for x in r["sums"]]).alias("sums")) for r in found[c]])
+
+        def one(r: Column) -> Column:
+            dot = F.aggregate(F.zip_with(point, r["sums"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+            own = r["label"] == F.col(c).cast("bigint")
+            others = F.nullif(F.when(own, r["n"] - 1).otherwise(r["n"]), F.lit(0.0))
+            mean = (r["n"] * F.col("_s") + r["squares"] - F.lit(2.0) * dot) / others
+            return F.struct(own.alias("own"), F.when(mean < 0, F.lit(0.0)).otherwise(mean).alias("d"))
+
+        return F.transform(clusters, one)
+
+    def nearest(c: str, own: bool) -> Column:
+        return F.array_min(F.transform(F.filter(f"_d_{c}", lambda x: x["own"] == F.lit(own)), lambda x: x["d"]))
+
+    def score(c: str) -> Column:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        # A row alone has no mean distance in its cluster.
+        return F.avg(F.when(a.isNull() | (F.greatest(a, b) == 0), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b)))
+
+    apart = df.withColumn("_s", square).select(*[distances(c).alias(f"_d_{c}") for c in several])
+    near = apart.select(*[nearest(c, own).alias(f"_{n}_{c}") for c in several for n, own in (("a", True), ("b", False))])
+    row = near.agg(*[score(c).alias(c) for c in several]).first()
+    return {c: row[c] if c in several else None for c in labels}
 
 
 def _between(model: KMeansModel) -> float:
@@ -149,21 +208,35 @@ def cluster_profile(df: DataFrame, label: str, region: str = "region_code") -> D
 def region_clusters(profile: DataFrame, k: int, min_events: int = 25, seed: int = 42,
                     key: str = "region_code") -> DataFrame:
     """Cluster regions with enough events; the others get -1."""
+    return fit_regions(profile, k, min_events, seed, key)[0]
+
+
+def fit_regions(profile: DataFrame, k: int, min_events: int = 25, seed: int = 42,
+                key: str = "region_code") -> tuple[DataFrame, KMeansModel]:
+    """:func:`region_clusters` and the fitted model."""
     filled = profile.na.fill(0.0, REGION_FEATURES)
     eligible = robust_scale(filled.where(F.col("event_count") >= min_events), REGION_FEATURES)
     scaled = [c + "_scaled" for c in REGION_FEATURES]
-    labeled, _ = fit_clusters(eligible, scaled, k, seed=seed, key=key, label="region_cluster")
+    labeled, model = fit_clusters(eligible, scaled, k, seed=seed, key=key, label="region_cluster")
     found = labeled.select(key, "region_cluster")
     return profile.join(found, key, "left").withColumn(
-        "region_cluster", F.coalesce("region_cluster", F.lit(-1).cast("bigint")))
+        "region_cluster", F.coalesce("region_cluster", F.lit(-1).cast("bigint"))), model
+
+
+def region_centroids(spark, model: KMeansModel, eligible: DataFrame) -> DataFrame:
+    """Centroids of fitted region clusters in the units of the columns, by the scaling of the clustered regions."""
+    scales = scaling(eligible.na.fill(0.0, REGION_FEATURES), REGION_FEATURES)
+    return restore_centroids(spark, [c.tolist() for c in model.clusterCenters()], REGION_FEATURES, scales, "region_cluster")
 
 
-def region_cluster_profile(labeled: DataFrame) -> DataFrame:
+def region_cluster_profile(labeled: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
+    """Counts and means per cluster; ``centroids`` (a row per cluster) add their columns."""
     means = ["mag_mean", "mag_p90", "mag_max", "depth_mean", "depth_p90", "sig_mean", "major_quake_ratio",
              "shallow_ratio", "deep_ratio", "tsunami_rate"]
-    return (labeled.where("region_cluster >= 0").groupBy("region_cluster")
-            .agg(F.count(F.lit(1)).alias("region_count"), F.sum("event_count").alias("total_events"),
-                 *[F.avg(c).alias(f"profile_{c}") for c in means]))
+    found = (labeled.where("region_cluster >= 0").groupBy("region_cluster")
+             .agg(F.count(F.lit(1)).alias("region_count"), F.sum("event_count").alias("total_events"),
+                  *[F.avg(c).alias(f"profile_{c}") for c in means]))
+    return found if centroids is None else found.join(centroids, "region_cluster", "left")
 
 
 def pca_2d(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -187,6 +260,12 @@ def _mixed_distance(columns: list[str], center: dict, scale: float) -> Column:
     return total
 
 
+def label_rows(df: DataFrame, columns: list[str], model: KMeansModel, label: str) -> DataFrame:
+    """Cluster numbers of all rows by a fitted model."""
+    labeled = model.copy({model.predictionCol: label}).transform(_vectors(df, columns)).drop("features")
+    return labeled.withColumn(label, F.col(label).cast("bigint"))
+
+
 def nearest_centroid(df: DataFrame, columns: list[str], centers: list[dict], scale: float) -> DataFrame:
     """Add ``cluster`` and ``distance2`` of the nearest given centroid; gaps in a row give -1 and null.
 
@@ -230,7 +309,11 @@ def mixed_kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, max_
     round is one aggregation to k rows; a centroid without rows moves to the
     next of the spare rows, which are taken in hashed order.
     """
-    points = materialize(df)
+    return _mixed_fit(materialize(df), columns, k, seed, max_iter, tol, key)
+
+
+def _mixed_fit(points: DataFrame, columns: list[str], k: int, seed: int, max_iter: int, tol: float,
+               key: str) -> tuple[DataFrame, list[dict], float]:
     whole = points.na.drop(subset=[*columns, "latitude", "longitude"])
     scale = float(geo_scale(whole).first()["geo_scale_km"])
     first = whole.orderBy(sample_order(key, seed), key).limit(3 * k).select(
@@ -261,9 +344,9 @@ def mixed_k_sweep(df: DataFrame, columns: list[str], k_min: int = 3, k_max: int
     middle = spherical_centroid(df).first()
     whole.update(lat=middle["centroid_latitude"], lon=middle["centroid_longitude"])
     scale = float(geo_scale(df).first()["geo_scale_km"])
-    rows = []
+    rows, points = [], materialize(df)
     for k in range(k_min, k_max + 1):
-        labeled, centers, within = mixed_kmeans(df, columns, k, seed, max_iter)
+        labeled, centers, within = _mixed_fit(points, columns, k, seed, max_iter, 1e-4, "id")
         sizes = {r["cluster"]: r["count"] for r in labeled.groupBy("cluster").count().collect()}
         between = sum(sizes.get(i, 0) * (sum((c[n] - whole[n]) ** 2 for n in columns)
                                          + (_arc_km(c, whole) / scale) ** 2) for i, c in enumerate(centers))

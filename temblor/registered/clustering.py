@@ -41,8 +41,10 @@ def event_k_eval(spark, sf_dir):
 
 
 def _best_fit(matrix):
-    k = clustering.best_k(clustering.k_sweep(matrix, SCALED))
-    return clustering.fit_clusters(matrix, SCALED, k)
+    """Labels by the sweep's model of the best silhouette, and that model."""
+    sweep, models = clustering.sweep_models(matrix, SCALED)
+    model = models[clustering.best_k(sweep)]
+    return clustering.label_rows(matrix, SCALED, model, "event_cluster"), model
 
 
 @register("event_clusters")
@@ -129,7 +131,7 @@ def nearest_centroid(spark, sf_dir):
 @register("mixed_k_sweep")
 def mixed_k_sweep(spark, sf_dir):
     scaled = features.standardize(catalog(spark, sf_dir).na.drop(subset=PHYSICAL), PHYSICAL)
-    return clustering.mixed_k_sweep(scaled, [c + "_std" for c in PHYSICAL], 3, 5)
+    return clustering.mixed_k_sweep(scaled, [c + "_std" for c in PHYSICAL])
 
 
 @register("physical_clusters")
@@ -138,8 +140,8 @@ def physical_clusters(spark, sf_dir):
     events = catalog(spark, sf_dir)
     scaled = features.standardize(events.na.drop(subset=PHYSICAL), PHYSICAL)
     columns = [c + "_std" for c in PHYSICAL]
-    k = clustering.best_k(clustering.k_sweep(scaled, columns, 3, 8), "separation")
-    labeled, _ = clustering.fit_clusters(scaled, columns, k, label="cluster_physical")
+    sweep, models = clustering.sweep_models(scaled, columns, 3, 8)
+    labeled = clustering.label_rows(scaled, columns, models[clustering.best_k(sweep, "separation")], "cluster_physical")
     return (events.select("id").join(labeled.select("id", "cluster_physical"), "id", "left")
             .withColumn("cluster_physical", F.coalesce("cluster_physical", F.lit(-1).cast("bigint"))))
 
@@ -162,18 +164,21 @@ def _clustered_regions(spark, sf_dir):
     columns = clustering.REGION_FEATURES
     scaled = clustering.robust_scale(regions.where(F.col("event_count") >= 25), columns)
     sweep = clustering.k_sweep(scaled, [c + "_scaled" for c in columns], key="region_code")
-    return clustering.region_clusters(regions, clustering.best_k(sweep))
+    return clustering.fit_regions(regions, clustering.best_k(sweep))
 
 
 @register("region_clusters")
 def region_clusters(spark, sf_dir):
-    labeled = _clustered_regions(spark, sf_dir)
+    labeled, _ = _clustered_regions(spark, sf_dir)
     return labeled.select("region_code", "event_count", "region_cluster")
 
 
 @register("region_cluster_profile")
 def region_cluster_profile(spark, sf_dir):
-    return clustering.region_cluster_profile(_clustered_regions(spark, sf_dir))
+    """Means of the regions of a cluster beside its centroid in the columns' own units."""
+    labeled, model = _clustered_regions(spark, sf_dir)
+    centroids = clustering.region_centroids(spark, model, labeled.where("region_cluster >= 0"))
+    return clustering.region_cluster_profile(labeled, centroids)
 
 
 @register("hotspot_kmeans")
@@ -187,4 +192,53 @@ def hotspot_kmeans(spark, sf_dir):
 
 @register("pca_2d")
 def pca_2d(spark, sf_dir):
-    return clustering.pca_2d(_matrix(spark, sf_dir), SCALED).select("id", r6("pc1", "pc1"), r6("pc2", "pc2"))
+    """Two components of all events beside their cluster."""
+    labeled, _ = _best_fit(materialize(_matrix(spark, sf_dir)))
+    return clustering.pca_2d(labeled, SCALED).select("id", "event_cluster", r6("pc1", "pc1"), r6("pc2", "pc2"))
+
+
+@register("pca_two_columns", """
+c as (select id, mag - avg(mag) over () as x, (depth - avg(depth) over ())/100 as y from eq),
+m as (select var_samp(x) a, covar_samp(x, y) b, var_samp(y) c from c),
+e as (select *, (a + c)/2 + sqrt((a - c)*(a - c)/4 + b*b) as l from m),
+v as (select b/sqrt(b*b + (l - a)*(l - a)) as p, (l - a)/sqrt(b*b + (l - a)*(l - a)) as q from e)
+select id, round(abs(x*p + y*q), 6) as pc1, round(abs(y*p - x*q), 6) as pc2 from c, v""")
+def pca_two_columns(spark, sf_dir):
+    """Components of two columns, which have a closed form; their signs are free."""
+    events = catalog(spark, sf_dir).select("id", "mag", (F.col("depth") / 100).alias("d"))
+    found = clustering.pca_2d(events, ["mag", "d"])
+    return found.select("id", r6(F.abs("pc1"), "pc1"), r6(F.abs("pc2"), "pc2"))
+
+
+@register("silhouette_given", """
+p as (select seq % 3 as label, mag as x, depth/100 as y from eq),
+s as (select label, count(*) as n, sum(x) sx, sum(y) sy, sum(x*x + y*y) q from p group by 1),
+d as (select p.label, row_number() over () as id, x, y from p),
+t as (select d.id, d.label = s.label as own, (s.n*(x*x + y*y) + s.q - 2*(x*sx + y*sy))
+        /(case when d.label = s.label then s.n - 1 else s.n end) as v from d, s),
+m as (select id, max(v) filter (own) as a, min(v) filter (not own) as b from t group by 1)
+select round(avg((b - a)/greatest(a, b)), 6) as silhouette, count(*) as n from m""")
+def silhouette_given(spark, sf_dir):
+    """Mean silhouette of given labels."""
+    events = catalog(spark, sf_dir).select((F.col("seq") % 3).alias("label"), F.array("mag", F.col("depth") / 100).alias("x"))
+    found = clustering.silhouettes(events, "x", ["label"])["label"]
+    return events.agg(F.round(F.lit(found), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
+@register("centroid_update", """
+c as (select * from (values (0, 2e0, 30e0, 10e0, 20e0), (1, 5e0, 200e0, -40e0, 150e0), (2, 35e-1, 90e0, 55e0, -120e0))
+      t(i, m, d, la, lo)),
+h as (select id, mag, depth, latitude, longitude, i, (mag - m)*(mag - m) + (depth - d)*(depth - d) as p,
+             sin(radians(la - latitude)/2)**2 + cos(radians(latitude))*cos(radians(la))*sin(radians(lo - longitude)/2)**2 as h
+      from eq, c),
+n as (select *, row_number() over (partition by id order by p + (2*6371*asin(sqrt(h))/1000)**2, i) as r from h),
+a as (select i, avg(mag) mag, avg(depth) depth, avg(cos(radians(latitude))*cos(radians(longitude))) x,
+             avg(cos(radians(latitude))*sin(radians(longitude))) y, avg(sin(radians(latitude))) z from n where r = 1 group by 1)
+select i::bigint as cluster, round(mag, 6) as mag, round(depth, 6) as depth,
+       round(degrees(atan2(z, sqrt(x*x + y*y))), 6) as lat, round(degrees(atan2(y, x)), 6) as lon from a""")
+def centroid_update(spark, sf_dir):
+    """One update of given centroids by the rows nearest to them."""
+    found = clustering.centroid_step(catalog(spark, sf_dir), ["mag", "depth"], CENTERS, 1000.0)
+    rows = [(i, *[float(c[x]) for x in ("mag", "depth", "lat", "lon")]) for i, c in found.items()]
+    made = spark.createDataFrame(rows, "cluster bigint, mag double, depth double, lat double, lon double")
+    return made.select("cluster", *[r6(c, c) for c in ("mag", "depth", "lat", "lon")])

@@ -125,6 +125,19 @@ def test_mixed_kmeans_finds_far_groups(events):
         clustering.mixed_kmeans(scaled, ["mag_std"], 1)
 
 
+def test_silhouettes_of_several_labels_at_once(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [([float(k % 7), float(k % 11)], k % 3, int(k % 7 > 3), 0, int(k == 5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "x array<double>, a bigint, b int, one int, alone int")
+    found = clustering.silhouettes(df, "x", ["a", "b", "one", "alone"])
+    assert found["one"] is None
+    for c in ("a", "b", "alone"):
+        rows = df.select(array_to_vector("x").alias("features"), F.col(c).cast("double").alias("prediction"))
+        assert found[c] == pytest.approx(ClusteringEvaluator().evaluate(rows))
+
+
 def test_small_regions_get_no_cluster(spark, sf):
     profile = summary.region_profile(catalog(spark, sf).withColumn("tsunami", F.lit(0.0)))
     labeled = clustering.region_clusters(profile, 2, min_events=15)
