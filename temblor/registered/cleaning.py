@@ -47,13 +47,14 @@ def json_scan(spark, sf_dir):
     docs = events.select("seq", F.year("time").alias("year"),
                          F.when(F.col("seq") % 50 == 0, broken).otherwise(text).alias("value"))
     root = store.scratch_folder(spark, "documents")
-    # A year's good documents go into one list per batch over several lines; each broken one is a file of its own.
-    batch = F.when(F.col("seq") % 50 == 0, F.col("seq")).otherwise(-1 - F.col("seq") % 4)
+    # A year's good documents go into lists of some hundred; each broken one is a file of its own. Files of
+    # more than 32 KB are read by ranges of 8 KB here.
+    batch = F.when(F.col("seq") % 50 == 0, F.col("seq")).otherwise(-1 - F.floor(F.col("seq") / 1000))
     files = docs.groupBy("year", batch.alias("batch")).agg(F.collect_list("value").alias("texts")).select(
         "year", "batch", F.when(F.col("batch") >= 0, F.col("texts")[0]).otherwise(
             F.concat(F.lit("[\n"), F.array_join("texts", ",\n"), F.lit("\n]"))).alias("value"))
     files.repartition("year", "batch").write.partitionBy("year", "batch").format("text").save(root)
-    parsed = geojson.scan_json(spark, root, pattern="*.txt").withColumn(
+    parsed = geojson.scan_json(spark, root, "*.txt", 32 << 10, 8 << 10).withColumn(
         "year", F.regexp_extract("path", "/year=([0-9]+)/", 1))
     return (parsed.groupBy(F.col("year").cast("bigint").alias("year"))
             .agg(F.count_if("supported").alias("events"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from temblor.schemas import DOCUMENT, FEATURE
+from temblor.session import materialize, share_code
+from temblor.sources.collections import RANGE_BYTES, read_features
 
 _FIELDS = ["time", "place", "mag", "magType", "sig", "gap", "rms", "nst", "dmin", "tsunami",
            "mmi", "cdi", "felt", "status", "type", "net"]
@@ -55,19 +57,33 @@ def flatten(df: DataFrame, keep: list[str] = ()) -> DataFrame:
                      *[properties.getField(n).alias(n) for n in _FIELDS])
 
 
-def read_documents(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """Every JSON file below ``root`` as (path, document text), one row each.
+#: Files above this many bytes are read by byte ranges, feature by feature.
+LARGE_FILE = 64 << 20
 
-    One scan covers all year folders.
-    """
-    return (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-            .text(root, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document")))
 
+def read_documents(spark: SparkSession, root: str, pattern: str = "*.json", large: int = LARGE_FILE,
+                   range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Every JSON file below ``root`` as (path, document text).
 
-def scan_json(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    A file is one row; of a file above ``large`` bytes each feature is one, read
+    by several tasks. One listing covers all year folders.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", pattern).load(root).select("path", "length"))
+    small = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+             .text(root, wholetext=True).where(F.col("_metadata.file_size") <= large)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document")))
+    big = materialize(files.where(F.col("length") > large))
+    if big.isEmpty():
+        return small
+    share_code(spark)
+    return small.unionByName(read_features(big, range_bytes))
+
+
+def scan_json(spark: SparkSession, root: str, pattern: str = "*.json", large: int = LARGE_FILE,
+              range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All features below ``root``; broken documents stay as unsupported rows."""
-    return parse_documents(read_documents(spark, root, pattern), keep=["path"])
+    return parse_documents(read_documents(spark, root, pattern, large, range_bytes), keep=["path"])
 
 
 def scan_lines(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
