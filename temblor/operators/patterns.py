@@ -99,28 +99,39 @@ def transactions(df: DataFrame, hot_cells: DataFrame, size: float = 5.0) -> Data
 def frequent_itemsets(baskets: DataFrame, max_len: int = 3, min_support: float = 0.01) -> DataFrame:
     """All item sets up to ``max_len`` with their support; exact.
 
-    Equal baskets are counted first, so subsets are built once per distinct
-    basket and not per event. Baskets hold sorted items, as many as they like.
+    Level by level: only frequent sets are prolonged, and only by items that are
+    frequent themselves, so the work follows the frequent sets and not the
+    subsets of a basket. Equal baskets are counted first, and again once their
+    rare items are gone. Baskets hold sorted items, as many as they like.
     """
-    distinct = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
-    # Each round prolongs every set by each item that stands after its last one.
-    empty = F.array(F.struct(F.array().cast("array<string>").alias("set"), F.lit(0).alias("last")))
-    level, subsets = empty, F.array(F.array().cast("array<string>"))
-    for size in range(max_len):
-        name = f"_level{size}"
-        longer = F.flatten(F.transform(level, lambda s: F.transform(
-            F.slice("items", s["last"] + 1, F.size("items")),
-            lambda item, k: F.struct(F.concat(s["set"], F.array(item)).alias("set"),
-                                     (s["last"] + k + 1).alias("last")))))
-        distinct = distinct.withColumn(name, longer)
-        level = F.col(name)
-        subsets = F.concat(subsets, F.transform(level, lambda s: s["set"]))
-    counts = (distinct.select(F.explode(subsets).alias("itemset"), "n")
-              .groupBy("itemset").agg(F.sum("n").alias("n")))
-    # The empty set counts all baskets. The vocabulary bounds this small table.
-    total = F.max(F.when(F.size("itemset") == 0, F.col("n"))).over(Window.partitionBy())
-    return (counts.withColumn("support", F.col("n") / total)
-            .where((F.size("itemset") > 0) & (F.col("support") >= min_support)))
+    distinct = materialize(baskets.groupBy("items").agg(F.count(F.lit(1)).alias("n")))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+
+    def frequent(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("itemset").agg(F.sum("n").alias("n"))
+        return materialize(counts.withColumn("support", F.col("n") / F.lit(float(max(1, total))))
+                           .where(F.col("support") >= min_support))
+
+    def prolonged(rows: DataFrame) -> DataFrame:
+        """Every set longer by each item that stands after its last one."""
+        after = F.slice("items", F.col("last") + 1, F.size("items"))
+        return rows.select("items", "n", "last", "itemset", F.posexplode(after).alias("k", "item")).select(
+            "items", "n", (F.col("last") + F.col("k") + 1).alias("last"),
+            F.concat("itemset", F.array("item")).alias("itemset"))
+
+    none = {"last": F.lit(0), "itemset": F.array().cast("array<string>")}
+    ones = prolonged(distinct.withColumns(none))
+    found = [frequent(ones)]
+    if max_len > 1:
+        left = ones.join(found[0].select("itemset"), "itemset", "left_semi").groupBy("items", "n").agg(
+            F.array_sort(F.collect_list(F.struct("last", F.col("itemset")[0].alias("item")))).alias("kept"))
+        small = materialize(left.groupBy(F.col("kept.item").alias("items")).agg(F.sum("n").alias("n")))
+        rows = prolonged(small.withColumns(none))
+    for _ in range(1, max_len):
+        rows = prolonged(rows)
+        found.append(frequent(rows))
+        rows = rows.join(found[-1].select("itemset"), "itemset", "left_semi")
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def location_rules(itemsets: DataFrame, min_confidence: float = 0.35,

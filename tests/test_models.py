@@ -38,6 +38,20 @@ def test_itemsets_read_whole_baskets(spark, size):
     assert got == {c for n in (1, 2, 3) for c in combinations(basket, n)}
 
 
+def test_itemsets_of_long_baskets_follow_the_frequent_sets(spark):
+    rows = [(str(b), sorted([f"rare{b}_{k:03d}" for k in range(200)] + [x for i, x in enumerate("abcd") if b % (i + 1) == 0]))
+            for b in range(120)]
+    df = spark.createDataFrame(rows, "id string, items array<string>")
+    counts = {}
+    for _, items in rows:
+        for n in (1, 2, 3):
+            for c in combinations([x for x in items if len(x) == 1], n):
+                counts[c] = counts.get(c, 0) + 1
+    got = {tuple(r["itemset"]): r["n"] for r in patterns.frequent_itemsets(df, 3, 0.05).collect()}
+    assert got == {c: n for c, n in counts.items() if n / 120 >= 0.05}
+    assert patterns.frequent_itemsets(df.limit(0)).count() == 0
+
+
 def test_sweep_has_all_thresholds(spark):
     df = spark.createDataFrame([(1, 0.3), (0, 0.35), (1, 0.05)], "label bigint, score double")
     rows = metrics.threshold_sweep(df).collect()
