@@ -7,6 +7,7 @@ import re
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from temblor.llm import bpe, components, line_templates, quality_rules, queries, simhash
@@ -181,9 +182,11 @@ def test_quality_rules_without_trusted_or_documents(spark, docs):
 
 
 def test_higher_orders_of_ngrams(spark, docs):
-    found = docs(["a b c d"]).select(quality_rules.hashed_ngrams(
-        quality_rules.words_of(docs([]).text), (1, 2, 3), 1 << 16).alias("g")).first()["g"]
-    assert len(found) == 4 + 3 + 2
+    frame = docs(["a b c d", "a b", "a", "", None])
+    grams = quality_rules.hashed_ngrams(quality_rules.words_of(F.col("text")), (1, 2, 3), 1 << 16)
+    found = {r["doc_id"]: r["g"] for r in frame.select("doc_id", grams.alias("g")).collect()}
+    assert [len(found[k]) for k in range(5)] == [4 + 3 + 2, 2 + 1, 1, 0, 0]
+    assert found[1] == [*found[0][:2], found[0][4]]
 
 
 @pytest.fixture(scope="module")
