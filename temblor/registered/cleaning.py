@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from temblor.functions.scalars import positive_or
 from temblor.operators import cleaning as op
 from temblor.registered import register
 from temblor.sources import geojson, store
@@ -91,6 +92,18 @@ def filename_keys(spark, sf_dir):
     return geojson.filename_keys(names, low=2.0, with_unknown=True).select("file_id", "file_mag")
 
 
+@register("unknown_magnitudes", """
+select cast(year("time") as bigint) as year, count(*) as files, count(*) filter (seq % 10 = 3) as unknown
+from ev where seq % 21 <> 0 group by 1""")
+def unknown_magnitudes(spark, sf_dir):
+    """Event files without a magnitude in their name, by year; other files do not count."""
+    mag = F.when(F.col("seq") % 10 == 3, "None").otherwise(F.col("mag").cast("decimal(12,4)").cast("string"))
+    kind = F.when(F.col("seq") % 21 == 0, "notes_").otherwise("event_")
+    names = raw_catalog(spark, sf_dir).select(
+        F.year("time").cast("bigint").alias("year"), F.concat(kind, mag, F.lit("_"), "id", F.lit(".json")).alias("file_name"))
+    return geojson.unknown_magnitudes(names, keys=["year"])
+
+
 @register("available_years", "select distinct cast(year(\"time\") as bigint) as year from ev")
 def available_years(spark, sf_dir):
     return store.available_years(raw_catalog(spark, sf_dir))
@@ -285,6 +298,12 @@ def time_geo_points(spark, sf_dir):
     return op.time_geo_points(catalog(spark, sf_dir)).select("id", "month", "weight")
 
 
+@register("marker_weight", "select id, case when mag > 0 then mag else 0.1e0 end as weight from eq")
+def marker_weight(spark, sf_dir):
+    """Weight of a map marker; events without a positive magnitude get a small one."""
+    return catalog(spark, sf_dir).select("id", positive_or("mag", 0.1).alias("weight"))
+
+
 @register("recent_fraction", """
 select id from (select id, row_number() over (order by us, seq) - 1 as idx, count(*) over () as n from eq)
 where idx >= n - cast(floor(n*3e-1) as bigint)""")

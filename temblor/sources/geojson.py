@@ -113,6 +113,12 @@ def filename_keys(df: DataFrame, name: str = "file_name", low: float | None = No
     return out.where((~unknown & keep) | unknown if with_unknown else ~unknown & keep)
 
 
+def unknown_magnitudes(names: DataFrame, name: str = "file_name", keys: list[str] = ()) -> DataFrame:
+    """How many event files there are, and of how many the name has no magnitude."""
+    return filename_keys(names, name, with_unknown=True).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("file_mag").isNull()).alias("unknown"))
+
+
 def list_event_files(spark: SparkSession, root: str) -> DataFrame:
     """Names of the stored event files; contents are not read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")

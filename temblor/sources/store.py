@@ -68,7 +68,8 @@ class StageStore:
     A finished stage is read back instead of computed again if it was made with
     the same parameters from the same input. Its number, row count, columns and
     parameters go to a small ``_stages`` table written after the data, so a stage
-    that died half-way is not taken as finished.
+    that died half-way is not taken as finished. A number is taken by creating a
+    file that only one run can create, so two runs at once never share one.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -78,7 +79,7 @@ class StageStore:
     def stages(self) -> DataFrame:
         schema = "version bigint, step string, path string, row_count bigint, columns array<string>, made_with string"
         try:
-            return self.spark.read.schema(schema).parquet(self._path)
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self._path)
         except Exception as error:
             if "PATH_NOT_FOUND" in str(error):
                 return self.spark.createDataFrame([], schema)
@@ -104,14 +105,30 @@ class StageStore:
             return self.spark.read.parquet(done["path"])
         newest = self.latest()
         version = (newest["version"] if newest else 0) + 1
+        while not self._claim(version):
+            version += 1
         path = f"{self.root}/v{version:02d}_{step}"
         write_table(make(), path, mode="overwrite")
         out = self.spark.read.parquet(path)
         note = [(version, step, path, out.count(), out.columns, key)]
         (self.spark.createDataFrame(note, self.stages().schema).coalesce(1)
-         .write.mode("append").parquet(self._path))
+         .write.parquet(f"{self._path}/v{version:02d}"))
         return out
 
+    def _claim(self, version: int) -> bool:
+        """Take a version number; false where another run has it."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/v{version:02d}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(path.getParent())
+        if files.getScheme() == "file":  # the local file system of Hadoop looks first and creates then
+            try:
+                open(path.toUri().getPath(), "x").close()
+                return True
+            except FileExistsError:
+                return False
+        return files.createNewFile(path)
+
 
 def fingerprint(df: DataFrame) -> str:
     """Row count and an order-free hash of all values, by one pass over the data."""

@@ -231,3 +231,22 @@ def test_stream_majors_equal_batch(spark, events, tmp_path):
     batch = future_majors(events, keys=["region_code"])
     assert sorted((r["id"], r["major_id"]) for r in pairs.collect()) == sorted(
         (r["id"], r["major_id"]) for r in batch.collect())
+
+
+def test_a_boosted_model_is_fitted_once_and_read_back(spark, sf):
+    from functools import partial
+
+    from temblor.registered import forecast as registered
+
+    calls = []
+
+    def fit(lookback):
+        calls.append(1)
+        return partial(forecast.fit_next_mag, trees=2, depth=2)(lookback)
+
+    model, scored = registered._boosted(spark, sf, "test_mag", fit)
+    again, _ = registered._boosted(spark, sf, "test_mag", fit)
+    assert calls == [1] and scored.count() > 0
+    importance = forecast.feature_importance(again, forecast.lookback_names(), spark).collect()
+    assert model.toDebugString == again.toDebugString
+    assert sum(r["importance"] for r in importance) == pytest.approx(1.0)

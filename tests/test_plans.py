@@ -29,3 +29,29 @@ def test_exploration_job(spark, sf, tmp_path):
     assert sum(r["event_count"] for r in tables["regions"].collect()) == total
     assert sum(r["event_count"] for r in tables["yearly"].collect()) == total
     assert tables["numeric_summary"].count() == 7
+
+
+def test_two_runs_at_once_get_two_versions(spark, tmp_path):
+    from threading import Barrier, Thread
+
+    together, failed = Barrier(2), []
+
+    def run(name):
+        def make():
+            return spark.range(3)
+        stages = StageStore(spark, str(tmp_path))
+        latest = stages.latest
+        stages.latest = lambda step=None: (latest(step), together.wait(60))[0]  # both look before either writes
+        try:
+            stages.run(name, make)
+        except Exception as error:
+            failed.append(error)
+
+    threads = [Thread(target=run, args=(name,)) for name in ("left", "right")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    rows = StageStore(spark, str(tmp_path)).stages().collect()
+    assert not failed and sorted(r["version"] for r in rows) == [1, 2]
+    assert {r["step"] for r in rows} == {"left", "right"} and len({r["path"] for r in rows}) == 2
