@@ -307,10 +307,43 @@ def since_last(df: DataFrame, mag_min: float = 5.0, default_s: int = 31_536_000,
             .drop("_us", "_last"))
 
 
-def future_majors(df: DataFrame, mag_min: float = 5.0, days: int = 7, keys: list[str] = ()) -> DataFrame:
+def majors_ahead(df: DataFrame, mag_min: float = 5.0, days: int = 7, keys: list[str] = (),
+                 rows_per_chunk: int | None = None) -> DataFrame:
+    """Count, seconds to the first and magnitude of the largest of the large events in the next ``days`` of the zone.
+
+    Adds ``majors_ahead, first_major_s, largest_major`` (0 and nulls without any). No pairs are made:
+    the span is the rest of one time slot and the beginning of the next, both from running totals.
+    """
+    keys, span = list(keys), days * DAY_US
+    us = F.unix_micros("time")
+    base = df.select(*keys, "seq", us.alias("pos"), "mag")
+    none = {"at": F.lit(None).cast("bigint"), "size": F.lit(None).cast("double")}
+    majors = base.where(F.col("mag") >= mag_min).withColumns(
+        {"tie": F.col("seq"), "kind": F.lit(0), "at": F.col("pos"), "size": F.col("mag")})
+    begins = base.withColumns({"tie": F.col("seq"), "kind": F.lit(1), **none})
+    ends = base.withColumns({"pos": F.col("pos") + span, "tie": F.lit(2 ** 62), "kind": F.lit(2), **none})
+    rows = majors.unionByName(begins).unionByName(ends).withColumn("slot", _bucket(F.col("pos"), span)).drop("mag")
+    totals = {"n": ("sum", F.when(F.col("kind") == 0, F.lit(1).cast("bigint"))), "first": ("min", F.col("at")),
+              "big": ("max", F.col("size"))}
+    found = []
+    for asked, reverse in ((1, True), (2, False)):
+        ran = running(rows.where(F.col("kind").isin(0, asked)), [*keys, "slot"], totals, ("pos", "tie", "kind"),
+                      reverse=reverse, exclusive=True, rows_per_chunk=rows_per_chunk)
+        found.append(ran.where(F.col("kind") == asked).select("seq", "n", "first", "big"))
+    both = found[0].unionAll(found[1]).groupBy("seq").agg(
+        F.sum("n").alias("majors_ahead"), F.min("first").alias("_first"), F.max("big").alias("largest_major"))
+    return df.join(both, "seq", "left").withColumns({
+        "majors_ahead": F.coalesce("majors_ahead", F.lit(0).cast("bigint")),
+        "first_major_s": F.floor((F.col("_first") - us) / F.lit(1e6)).cast("bigint")}).drop("_first")
+
+
+def future_majors(df: DataFrame, mag_min: float = 5.0, days: int = 7, keys: list[str] = (),
+                  asked: DataFrame | None = None) -> DataFrame:
     """All large events of the next ``days`` of the same zone, with the delay.
 
-    Large events, the few, are copied into two time buckets.
+    A row per event and large event; ``asked`` (rows with ``id``) names the events
+    wanted. For the whole of a busy catalog see :func:`majors_ahead`. Large events,
+    the few, are copied into two time buckets.
     """
     keys, span = list(keys), days * DAY_US
     majors = df.where(F.col("mag") >= mag_min).select(
@@ -319,6 +352,8 @@ def future_majors(df: DataFrame, mag_min: float = 5.0, days: int = 7, keys: list
     slots = F.sequence(_bucket(F.col("major_us") - span, span), _bucket(F.col("major_us"), span))
     copied = majors.withColumn("_slot", F.explode(slots))
     events = df.select(*keys, "id", "seq", F.unix_micros("time").alias("us"))
+    if asked is not None:
+        events = events.join(asked.select("id").distinct(), "id", "left_semi")
     placed = events.withColumn("_slot", _bucket(F.col("us"), span))
     gap = F.col("major_us") - F.col("us")
     after = (gap > 0) | ((gap == 0) & (F.col("major_seq") > F.col("seq")))

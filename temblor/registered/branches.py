@@ -62,6 +62,12 @@ def since_last_m5(spark, sf_dir):
     return rangejoin.since_last(catalog(spark, sf_dir), rows_per_chunk=ROWS).select("id", "time_since_last_M5")
 
 
+@twin("majors_ahead")
+def majors_ahead(spark, sf_dir):
+    return rangejoin.majors_ahead(_grid(spark, sf_dir), 4.5, keys=["region_code"], rows_per_chunk=ROWS).select(
+        "id", "majors_ahead", "first_major_s", "largest_major")
+
+
 @twin("aftershock_flag_days")
 def aftershock_flag_days(spark, sf_dir):
     return rangejoin.larger_follows(catalog(spark, sf_dir), unit=86400, rows_per_chunk=ROWS).select(

@@ -158,6 +158,27 @@ def future_majors(spark, sf_dir):
     return rangejoin.future_majors(spatial.add_grid(catalog(spark, sf_dir)), keys=["region_code"])
 
 
+@register("majors_ahead", GRID + """,
+j as (select a.id, count(*) as n, min(b.us - a.us)//1000000 as first_s, max(b.mag) as big
+      from grid a join grid b on a.region_code = b.region_code and b.mag >= 4.5 and b.us <= a.us + 604800000000
+        and (b.us > a.us or (b.us = a.us and b.seq > a.seq)) group by 1)
+select id, coalesce(n, 0) as majors_ahead, first_s as first_major_s, big as largest_major from grid left join j using (id)""")
+def majors_ahead(spark, sf_dir):
+    return rangejoin.majors_ahead(spatial.add_grid(catalog(spark, sf_dir)), 4.5, keys=["region_code"]).select(
+        "id", "majors_ahead", "first_major_s", "largest_major")
+
+
+@register("future_majors_asked", GRID + """
+select a.id, b.id as major_id, (b.us - a.us)//1000000//86400 as days_after
+from grid a join grid b on a.region_code = b.region_code and b.mag >= 4.5 and b.us <= a.us + 604800000000
+     and (b.us > a.us or (b.us = a.us and b.seq > a.seq)) where a.mag >= 4""")
+def future_majors_asked(spark, sf_dir):
+    """The list for the events asked for: those of magnitude 4 and more."""
+    events = spatial.add_grid(catalog(spark, sf_dir))
+    return rangejoin.future_majors(events, 4.5, keys=["region_code"], asked=events.where("mag >= 4")).select(
+        "id", "major_id", "days_after")
+
+
 @register("missing_events", "select id from ev where status <> 'reviewed'")
 def missing_events(spark, sf_dir):
     """The list names every event twice; the store holds the reviewed ones."""

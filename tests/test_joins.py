@@ -187,3 +187,20 @@ def test_history_with_places_on_split_points(spark, size):
         assert found[seq]["hist_count_1d"] == len(past)
         assert found[seq]["hist_mag_max_1d"] == max((x[4] for x in past), default=0.0)
         assert found[seq]["hist_mag_mean_1d"] == pytest.approx(sum(x[4] for x in past) / max(1, len(past)))
+
+
+@pytest.mark.parametrize("size", [None, 40])
+def test_majors_ahead_equal_their_list(events, size):
+    listed = {}
+    named = events.where("region_code is not null")
+    for r in rangejoin.future_majors(named, 4.0, keys=["region_code"]).collect():
+        listed.setdefault(r["id"], []).append(r)
+    found = local(rangejoin.majors_ahead(named, 4.0, keys=["region_code"], rows_per_chunk=size))
+    assert len(found) == named.count()
+    for e in found:
+        rows = listed.get(e["id"], [])
+        assert e["majors_ahead"] == len(rows)
+        assert e["largest_major"] == max((r["major_mag"] for r in rows), default=None)
+        first = min((r["days_after"] * 86400 + r["hours"] * 3600 + r["minutes"] * 60 for r in rows), default=None)
+        assert (e["first_major_s"] is None) == (first is None)
+        assert first is None or first == e["first_major_s"] // 60 * 60
