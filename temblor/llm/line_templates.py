@@ -6,15 +6,19 @@ enough places share a template, in which the other places are variable. A
 template that recurs across documents is boilerplate, and its lines go.
 
 A document that was copied repeats all of its lines. What counts is therefore
-how many kinds of documents have a template, told apart by what else they say:
-of a document's ``MARKS`` least hashes of word pairs those are its own that under
-half as many documents have as have the template. The least of these is its kind.
-Documents with less than the share ``own`` of them are near copies of each other
-and one kind together. A template recurs if it has enough kinds. Copies are left
-to the near-duplicate stage, whole.
-
-Only lines in leaves with enough lines are moved. Equal lines are counted before
-they reach a tree; a crowded leaf is parsed in salted shares whose templates
+how many kinds of documents have a template, told apart by what else they say.
+The ``MARKS`` least hashes of word pairs stand for a document's lines, apart for
+lines of rare and of frequent templates. A mark is the document's own if under half as
+many documents have it, in marks or in frequent templates, as have the template.
+Documents with less than the share ``own`` of their own are near copies and one
+kind together, unless their lines outside templates as frequent as this one are
+mostly (``foreign``) their own, with ``least_own`` marks at least: a page that is mostly
+boilerplate is no copy. Other documents are the kind of their least own mark. A template
+recurs if it has enough kinds. Copies are left to the near-duplicate stage, whole.
+
+Texts are split and masked once and written, a row per document. Equal lines are
+counted before they are dealt to a tree; only lines of leaves with enough lines
+reach one. A crowded leaf is parsed in salted shares whose templates
 are merged afterwards. Templates in a leaf are found by blocks of places, of
 which similar lines have one in common, never by comparing all pairs.
 
@@ -33,13 +37,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from temblor.llm import outputs
 from temblor.llm.quality_rules import BLANKS, let
 from temblor.session import materialize
 
 VARIABLE = "<*>"
 #: Shares a leaf is parsed in before its templates are merged.
 SALTS = 16
-#: Least hashes of word pairs that stand for a document.
+#: Least hashes of word pairs that stand for a document's lines of one class.
 MARKS = 32
 
 
@@ -147,56 +152,113 @@ def parse(lines: DataFrame, keys: list[str], depth: int, similarity: float) -> D
     return dealt.mapInPandas(run, "leaf bigint, line string, template string")
 
 
+def word_pairs(line: Column) -> Column:
+    """Hashes of the pairs of neighbouring words of a line, the last word with none."""
+    return let(F.split(line, " "), lambda words: F.zip_with(
+        words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+
+
+def least_marks(marks: Column) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(marks)), 1, MARKS)
+
+
+def wanted_kinds(tokens: Column, least_docs: int, longer: dict[int, int]) -> Column:
+    """Kinds of documents a template of so many tokens must have."""
+    wanted = F.lit(least_docs)
+    for length, docs in sorted(longer.items()):
+        wanted = F.when(tokens >= length, F.lit(docs)).otherwise(wanted)
+    return wanted
+
+
+def templates_of(stored: DataFrame, least: int, depth: int, similarity: float) -> DataFrame:
+    """``leaf, line, final, t, n``: the template of each different line of leaves with enough lines."""
+    full = stored.select(F.explode("lines.leaf").alias("leaf")).groupBy("leaf").count().where(F.col("count") >= least)
+    shares = full.where(F.col("leaf").isNotNull()).select(
+        "leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    each = (stored.select(F.explode("lines").alias("x")).select("x.leaf", "x.line").where("leaf IS NOT NULL").distinct()
+            .withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")))
+    # Two rounds: shares of a leaf, then their templates.
+    first = materialize(parse(each.join(shares.hint("merge"), ["leaf", "salt"], "left_semi"), ["leaf", "salt"],
+                              depth, similarity))
+    second = parse(first.select("leaf", F.col("template").alias("line")).distinct(), ["leaf"], depth, similarity)
+    return materialize(first.join(second.select("leaf", F.col("line").alias("template"),
+                                                F.col("template").alias("final")), ["leaf", "template"])
+                       .select("leaf", "line", "final", F.xxhash64("leaf", "final").alias("t"),
+                               n_tokens(F.col("final")).alias("n")))
+
+
+def kind_of(docs: Column, marks: Column, own: float, foreign: float, least_own: int) -> Column:
+    """The least own mark of a document beside a template that ``docs`` documents have, 0 for copies."""
+    def own_ones(some: Column) -> Column:
+        return F.filter(some, lambda x: 2 * x["held"] < docs)
+
+    # ``marks`` come in order. Class c holds lines whose templates under 2^(c+1) documents have.
+    some = F.slice(marks, 1, MARKS)
+    outside = F.filter(marks, lambda x: 2 * (F.pow(F.lit(2), x["class"] + 1) - 1) < docs)
+    return F.coalesce(let(own_ones(some), lambda mine: F.when(
+        (F.size(mine) > 0) & (F.size(mine) >= own * F.size(some)), mine[0]["mark"])), let(outside, lambda rest: let(
+            own_ones(rest), lambda mine: F.when(
+                (F.size(mine) >= least_own) & (F.size(mine) >= foreign * F.size(rest)), mine[0]["mark"]))), F.lit(0))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = 3,
-                    similarity: float = 0.8, least_docs: int = 10, long_tokens: int = 20, long_docs: int = 5,
-                    least_tokens: int = 3, own: float = 0.25) -> DataFrame:
+                    similarity: float = 0.8, least_docs: int = 10, longer: dict[int, int] | None = None,
+                    least_tokens: int = 3, own: float = 0.25, foreign: float = 0.5,
+                    least_own: int = 10) -> DataFrame:
     """``id, hash, places, templates``: which lines of which documents recur.
 
-    A template recurs in ``least_docs`` kinds of documents, or in ``long_docs`` where
-    it has ``long_tokens`` tokens.
+    A template recurs in ``least_docs`` kinds of documents; ``longer`` names fewer
+    from a number of tokens on: five from 20 and three from 50 where it is not given.
     """
+    longer = {20: 5, 50: 3} if longer is None else longer
+    least = min([least_docs, *longer.values()])
     body = F.coalesce(F.col(text), F.lit(""))
-    pairs = let(F.col("w"), lambda words: F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))),
-                                                     lambda a, b: F.xxhash64(a, b)))
-    least = F.slice(F.array_sort(F.array_distinct(pairs)), 1, MARKS)
-    base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("hash"),
-                       body.alias("body"))
-    parsed = F.transform(F.split("body", "\n"), lambda raw, i: let(masked(raw), lambda line: F.struct(
-        i.alias("place"), leaf_of(line, depth).alias("leaf"), n_tokens(line).alias("n"), line.alias("line"))))
-    lines = (base.select("id", "hash", F.explode(F.filter(
-        parsed, lambda x: (x["n"] >= least_tokens) & (2 * n_variables(x["line"]) <= x["n"]))).alias("x"))
-             .select("id", "hash", "x.place", "x.leaf", "x.line"))
-    full = lines.groupBy("leaf").count().where(F.col("count") >= min(least_docs, long_docs)).select("leaf")
-    found = materialize(lines.join(full.hint("merge"), "leaf", "left_semi"))
-
-    # Two rounds: shares of a leaf, then their templates.
-    each = found.select("leaf", "line").distinct().withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)))
-    first = materialize(parse(each, ["leaf", "salt"], depth, similarity))
-    second = parse(first.select("leaf", F.col("template").alias("line")).distinct(), ["leaf"], depth, similarity)
-    named = first.join(second.select("leaf", F.col("line").alias("template"), F.col("template").alias("final")),
-                       ["leaf", "template"]).select("leaf", "line", "final")
-    placed = materialize(found.join(named, ["leaf", "line"]).select("id", "hash", "place", "leaf", "final"))
-    who = placed.select("leaf", "final", "id", "hash").distinct()
-    count = who.groupBy("leaf", "final").agg(F.count("*").alias("docs"))
-    long_line = F.size(F.split("final", " ")) >= long_tokens
-    wanted = F.when(long_line, F.lit(long_docs)).otherwise(F.lit(least_docs))
-    many = count.where(F.col("docs") >= wanted)
-    several = materialize(who.join(many, ["leaf", "final"]))
-    sharing = several.select("id", "hash").distinct()
-    marks = materialize(base.withColumn("w", F.split("body", "[ \n]")).select("id", "hash", least.alias("least"))
-                        .join(sharing, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
-                        .select("id", "hash", F.explode("least").alias("mark")))
-    # Marks of fewer documents than half the least number are own ones whatever the template.
-    common = marks.groupBy("mark").agg(F.count("*").alias("held")).where(2 * F.col("held") >= min(least_docs, long_docs))
-    marked = (marks.join(common, "mark", "left").groupBy("id", "hash")
-              .agg(F.collect_list(F.struct("mark", F.coalesce("held", F.lit(1)).alias("held"))).alias("marks")))
-    mine = F.filter("marks", lambda x: 2 * x["held"] < F.col("docs"))
-    kind = F.when(F.size(mine) >= own * F.size("marks"), F.array_min(mine)["mark"])
-    kinds = several.join(marked, ["id", "hash"], "left").select(
-        "leaf", "final", "docs", F.coalesce(kind, F.lit(0).cast("bigint")).alias("kind"))
-    recur = (kinds.groupBy("leaf", "final").agg(F.countDistinct("kind").alias("kinds"))
-             .where(F.col("kinds") >= wanted).select("leaf", "final"))
-    return (placed.join(recur, ["leaf", "final"]).groupBy("id", "hash")
+    # ``raw`` only where masking changed the line.
+    parsed = F.transform(F.split("body", "\n"), lambda raw: let(masked(raw), lambda line: F.struct(
+        F.when((n_tokens(line) >= least_tokens) & (2 * n_variables(line) <= n_tokens(line)), leaf_of(line, depth))
+        .alias("leaf"), line.alias("line"), F.when(raw != line, raw).alias("raw"))))
+    folder = outputs.new_folder(docs.sparkSession, "lines")
+    (docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("hash"),
+                 body.alias("body")).select("id", "hash", parsed.alias("lines")).write.parquet(folder))
+    stored = docs.sparkSession.read.parquet(folder)
+
+    named = templates_of(stored, least, depth, similarity)
+    lines = stored.select("id", "hash", F.posexplode("lines").alias("place", "x"))
+    placed = materialize(
+        lines.where("x.leaf IS NOT NULL").select("id", "hash", "place", "x.leaf", F.xxhash64("x.line").alias("same"))
+        .join(named.select("leaf", F.xxhash64("line").alias("same"), "t", "n").hint("merge"), ["leaf", "same"])
+        .select("id", "hash", "place", "t", "n"))
+    count = (placed.select("t", "n", "id", "hash").distinct().groupBy("t", "n").agg(F.count("*").alias("docs"))
+             .withColumn("wanted", wanted_kinds(F.col("n"), least_docs, longer)).drop("n"))
+    many = materialize(count.where("docs > 1"))
+    hits = materialize(placed.drop("n").join(many, "t"))
+    several = hits.where("docs >= wanted").select("id", "hash", "t", "docs", "wanted").distinct()
+
+    # Marks of all lines of the documents that have a frequent template, apart by how many documents have the line's.
+    sharing = hits.where("docs >= wanted").select("id", "hash").distinct()
+    marked = (stored.join(sharing.hint("merge"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+              .select("id", "hash", F.posexplode("lines").alias("place", "x")).where("x.line <> ''")
+              .select("id", "hash", "place",
+                      least_marks(word_pairs(F.coalesce("x.raw", "x.line"))).alias("marks"))
+              .join(hits.select("id", "hash", "place", "docs").distinct().hint("merge"), ["id", "hash", "place"], "left"))
+    sketch = (marked.groupBy("id", "hash", F.floor(F.log2(F.coalesce("docs", F.lit(1)))).cast("int").alias("class"))
+              .agg(least_marks(F.flatten(F.collect_list("marks"))).alias("marks")))
+    marks = materialize(sketch.select("id", "hash", "class", F.explode("marks").alias("mark")))
+    who = F.xxhash64("id", "hash")
+    told = marks.groupBy("mark").agg(
+        F.when(F.min(who) == F.max(who), F.lit(1)).otherwise(F.count("*")).alias("held"))
+    frequent = (named.join(many.where("docs >= wanted").select("t", "docs").hint("merge"), "t")
+                .select(F.explode(F.array_distinct(word_pairs(F.col("line")))).alias("mark"),
+                        F.col("docs").alias("held")))
+    common = told.where("held > 1").unionAll(frequent).groupBy("mark").agg(F.max("held").alias("held"))
+    known = (marks.join(common.hint("merge"), "mark", "left").groupBy("id", "hash")
+             .agg(F.array_sort(F.collect_list(F.struct("mark", "class", F.coalesce("held", F.lit(1)).alias("held"))))
+                  .alias("marks")))
+    kinds = several.join(known.hint("merge"), ["id", "hash"], "left").select(
+        "t", "wanted", kind_of(F.col("docs"), F.col("marks"), own, foreign, least_own).alias("kind"))
+    recur = kinds.groupBy("t", "wanted").agg(F.countDistinct("kind").alias("kinds")).where("kinds >= wanted")
+    finals = named.select("t", "final").distinct().join(recur.select("t").hint("merge"), "t")
+    return (placed.join(finals.hint("merge"), "t").groupBy("id", "hash")
             .agg(F.collect_set("place").alias("places"), F.collect_set("final").alias("templates")))
 
 
