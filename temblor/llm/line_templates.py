@@ -7,18 +7,18 @@ template that recurs across documents is boilerplate, and its lines go.
 
 A document that was copied repeats all of its lines. What counts is therefore
 how many kinds of documents have a template, told apart by what else they say.
-The ``MARKS`` least hashes of word pairs stand for a document's lines, apart for
-lines of rare and of frequent templates. A mark is the document's own if under half as
-many documents have it, in marks or in frequent templates, as have the template.
-Documents with less than the share ``own`` of their own are near copies and one
-kind together, unless their lines outside templates as frequent as this one are
-mostly (``foreign``) their own, with ``least_own`` marks at least: a page that is mostly
-boilerplate is no copy. Other documents are the kind of their least own mark. A template
-recurs if it has enough kinds. Copies are left to the near-duplicate stage, whole.
-
-Texts are split and masked once and written, a row per document. Equal lines are
-counted before they are dealt to a tree; only lines of leaves with enough lines
-reach one. A crowded leaf is parsed in salted shares whose templates
+The ``MARKS`` least hashes of word pairs stand for a document. A mark is the document's
+own if under half as many documents have it as have the template. The least of
+them is the document's kind if they are the share ``own`` of all; other documents are
+near copies. Where that leaves a template without enough kinds, these documents are judged
+again by their lines outside templates as frequent as this one: if those
+are mostly (``foreign``) their own, found in no frequent template either, with ``least_own``
+marks at least, they have a kind by them, for a page that is mostly boilerplate is no copy.
+The others are one kind together. A template recurs if it has enough kinds. Copies are
+left to the near-duplicate stage, whole.
+
+Texts are split and masked once and written, a row per document. Only lines of leaves
+with enough lines reach a tree, equal ones once. A crowded leaf is parsed in salted shares whose templates
 are merged afterwards. Templates in a leaf are found by blocks of places, of
 which similar lines have one in common, never by comparing all pairs.
 
@@ -44,7 +44,7 @@ from temblor.session import materialize
 VARIABLE = "<*>"
 #: Shares a leaf is parsed in before its templates are merged.
 SALTS = 16
-#: Least hashes of word pairs that stand for a document's lines of one class.
+#: Least hashes of word pairs that stand for a document, or for its lines of one class.
 MARKS = 32
 
 
@@ -175,11 +175,11 @@ def templates_of(stored: DataFrame, least: int, depth: int, similarity: float) -
     full = stored.select(F.explode("lines.leaf").alias("leaf")).groupBy("leaf").count().where(F.col("count") >= least)
     shares = full.where(F.col("leaf").isNotNull()).select(
         "leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = (stored.select(F.explode("lines").alias("x")).select("x.leaf", "x.line").where("leaf IS NOT NULL").distinct()
-            .withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")))
+    each = (stored.select(F.explode("lines").alias("x")).select("x.leaf", "x.line").where("leaf IS NOT NULL")
+            .withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int"))
+            .join(shares.hint("merge"), ["leaf", "salt"], "left_semi").distinct())
     # Two rounds: shares of a leaf, then their templates.
-    first = materialize(parse(each.join(shares.hint("merge"), ["leaf", "salt"], "left_semi"), ["leaf", "salt"],
-                              depth, similarity))
+    first = materialize(parse(each, ["leaf", "salt"], depth, similarity))
     second = parse(first.select("leaf", F.col("template").alias("line")).distinct(), ["leaf"], depth, similarity)
     return materialize(first.join(second.select("leaf", F.col("line").alias("template"),
                                                 F.col("template").alias("final")), ["leaf", "template"])
@@ -187,18 +187,21 @@ def templates_of(stored: DataFrame, least: int, depth: int, similarity: float) -
                                n_tokens(F.col("final")).alias("n")))
 
 
-def kind_of(docs: Column, marks: Column, own: float, foreign: float, least_own: int) -> Column:
-    """The least own mark of a document beside a template that ``docs`` documents have, 0 for copies."""
-    def own_ones(some: Column) -> Column:
-        return F.filter(some, lambda x: 2 * x["held"] < docs)
+def own_marks(marks: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+    """``who, marks``: the marks ``who, class, mark`` of a document in order, each with the documents that hold it."""
+    told = marks.groupBy("mark").agg(
+        F.when(F.min("who") == F.max("who"), F.lit(1)).otherwise(F.count("*")).alias("held")).where("held > 1")
+    if frequent is not None:
+        told = told.unionAll(frequent).groupBy("mark").agg(F.max("held").alias("held"))
+    return (marks.join(told.hint("merge"), "mark", "left").groupBy("who")
+            .agg(F.array_sort(F.collect_list(F.struct("mark", "class", F.coalesce("held", F.lit(1)).alias("held"))))
+                 .alias("marks")))
+
 
-    # ``marks`` come in order. Class c holds lines whose templates under 2^(c+1) documents have.
-    some = F.slice(marks, 1, MARKS)
-    outside = F.filter(marks, lambda x: 2 * (F.pow(F.lit(2), x["class"] + 1) - 1) < docs)
-    return F.coalesce(let(own_ones(some), lambda mine: F.when(
-        (F.size(mine) > 0) & (F.size(mine) >= own * F.size(some)), mine[0]["mark"])), let(outside, lambda rest: let(
-            own_ones(rest), lambda mine: F.when(
-                (F.size(mine) >= least_own) & (F.size(mine) >= foreign * F.size(rest)), mine[0]["mark"]))), F.lit(0))
+def kind_of(some: Column, share: float, least: int) -> Column:
+    """The least mark that is the document's own beside a template of ``docs`` documents; null for a copy."""
+    return let(some, lambda x: let(F.filter(x, lambda y: 2 * y["held"] < F.col("docs")), lambda mine: F.when(
+        (F.size(mine) >= least) & (F.size(mine) >= share * F.size(x)), F.get(mine, F.lit(0))["mark"])))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = 3,
@@ -232,32 +235,43 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              .withColumn("wanted", wanted_kinds(F.col("n"), least_docs, longer)).drop("n"))
     many = materialize(count.where("docs > 1"))
     hits = materialize(placed.drop("n").join(many, "t"))
-    several = hits.where("docs >= wanted").select("id", "hash", "t", "docs", "wanted").distinct()
-
-    # Marks of all lines of the documents that have a frequent template, apart by how many documents have the line's.
-    sharing = hits.where("docs >= wanted").select("id", "hash").distinct()
-    marked = (stored.join(sharing.hint("merge"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
-              .select("id", "hash", F.posexplode("lines").alias("place", "x")).where("x.line <> ''")
-              .select("id", "hash", "place",
-                      least_marks(word_pairs(F.coalesce("x.raw", "x.line"))).alias("marks"))
-              .join(hits.select("id", "hash", "place", "docs").distinct().hint("merge"), ["id", "hash", "place"], "left"))
-    sketch = (marked.groupBy("id", "hash", F.floor(F.log2(F.coalesce("docs", F.lit(1)))).cast("int").alias("class"))
+    who = F.xxhash64("id", "hash").alias("who")
+    several = materialize(hits.where("docs >= wanted").select(who, "t", "docs", "wanted").distinct())
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        return (stored.select(who, "lines").join(some.select("who").distinct().hint("merge"), "who", "left_semi")
+                .dropDuplicates(["who"]))
+
+    # First by the marks of whole documents.
+    every = F.flatten(F.transform("lines", lambda x: F.when(
+        x["line"] != "", word_pairs(F.coalesce(x["raw"], x["line"]))).otherwise(F.array().cast("array<bigint>"))))
+    whole = materialize(texts_of(several).select("who", F.lit(0).alias("class"), F.explode(least_marks(every)).alias("mark")))
+    kinds = materialize(several.join(own_marks(whole).hint("merge"), "who", "left").select(
+        "who", "t", "docs", "wanted", kind_of(F.col("marks"), own, 1).alias("kind")))
+
+    def enough(some: DataFrame) -> DataFrame:
+        return (some.groupBy("t", "wanted").agg(F.countDistinct(F.coalesce("kind", F.lit(0))).alias("kinds"))
+                .where("kinds >= wanted").select("t"))
+
+    # Then, for templates without enough kinds, copies by their lines in less frequent templates.
+    recur = materialize(enough(kinds))
+    open_kinds = materialize(kinds.join(recur.hint("merge"), "t", "left_anti"))
+    alike = open_kinds.where("kind IS NULL").drop("kind")
+    marked = (texts_of(alike).select("who", F.posexplode("lines").alias("place", "x")).where("x.line <> ''")
+              .select("who", "place", least_marks(word_pairs(F.coalesce("x.raw", "x.line"))).alias("marks"))
+              .join(hits.select(who, "place", "docs").distinct().hint("merge"), ["who", "place"], "left"))
+    sketch = (marked.groupBy("who", F.floor(F.log2(F.coalesce("docs", F.lit(1)))).cast("int").alias("class"))
               .agg(least_marks(F.flatten(F.collect_list("marks"))).alias("marks")))
-    marks = materialize(sketch.select("id", "hash", "class", F.explode("marks").alias("mark")))
-    who = F.xxhash64("id", "hash")
-    told = marks.groupBy("mark").agg(
-        F.when(F.min(who) == F.max(who), F.lit(1)).otherwise(F.count("*")).alias("held"))
+    marks = materialize(sketch.select("who", "class", F.explode("marks").alias("mark")))
     frequent = (named.join(many.where("docs >= wanted").select("t", "docs").hint("merge"), "t")
                 .select(F.explode(F.array_distinct(word_pairs(F.col("line")))).alias("mark"),
                         F.col("docs").alias("held")))
-    common = told.where("held > 1").unionAll(frequent).groupBy("mark").agg(F.max("held").alias("held"))
-    known = (marks.join(common.hint("merge"), "mark", "left").groupBy("id", "hash")
-             .agg(F.array_sort(F.collect_list(F.struct("mark", "class", F.coalesce("held", F.lit(1)).alias("held"))))
-                  .alias("marks")))
-    kinds = several.join(known.hint("merge"), ["id", "hash"], "left").select(
-        "t", "wanted", kind_of(F.col("docs"), F.col("marks"), own, foreign, least_own).alias("kind"))
-    recur = kinds.groupBy("t", "wanted").agg(F.countDistinct("kind").alias("kinds")).where("kinds >= wanted")
-    finals = named.select("t", "final").distinct().join(recur.select("t").hint("merge"), "t")
+    # Class c holds lines whose templates under 2^(c+1) documents have.
+    outside = F.filter("marks", lambda x: 2 * (F.pow(F.lit(2), x["class"] + 1) - 1) < F.col("docs"))
+    later = alike.join(own_marks(marks, frequent).hint("merge"), "who", "left").select(
+        "t", "wanted", kind_of(outside, foreign, least_own).alias("kind"))
+    recur = recur.unionAll(enough(later.unionAll(open_kinds.where("kind IS NOT NULL").select("t", "wanted", "kind"))))
+    finals = named.select("t", "final").distinct().join(recur.hint("merge"), "t")
     return (placed.join(finals.hint("merge"), "t").groupBy("id", "hash")
             .agg(F.collect_set("place").alias("places"), F.collect_set("final").alias("templates")))
 
