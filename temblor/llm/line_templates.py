@@ -18,7 +18,8 @@ The others are one kind together. A template recurs if it has enough kinds. Copi
 left to the near-duplicate stage, whole.
 
 Texts are split and masked once and written, a row per document. Only lines of leaves
-with enough lines reach a tree, equal ones once. A crowded leaf is parsed in salted shares whose templates
+with enough lines reach a tree, equal ones once; a bitmap of fixed size holds back
+most others before the exact join. A crowded leaf is parsed in salted shares whose templates
 are merged afterwards. Templates in a leaf are found by blocks of places, of
 which similar lines have one in common, never by comparing all pairs.
 
@@ -48,6 +49,25 @@ SALTS = 16
 MARKS = 32
 
 
+#: Bits of the filter that spares rows the way to an exact join: 524,288 numbers of 32 bits at most.
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``key``, a hash, is not among ``keys``.
+
+    A broadcast bitmap of fixed size: it lets through all rows that count at any
+    number of keys, and more of the others the fuller it is. An exact join has to follow.
+    """
+    def split(at: Column) -> tuple[Column, Column]:
+        bit = F.pmod(at, F.lit(FILTER_BITS))
+        return F.floor(bit / 32), F.pow(F.lit(2.0), F.pmod(bit, F.lit(32))).cast("bigint")
+
+    word, mask = split(F.col(key))
+    bits = keys.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    return rows.join(F.broadcast(bits), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(mask) != 0), "left_semi")
+
+
 def masked(line: Column) -> Column:
     """Tokens of a line joined by spaces, those with a digit as variables."""
     def plain(x: Column) -> Column:
@@ -172,10 +192,11 @@ def wanted_kinds(tokens: Column, least_docs: int, longer: dict[int, int]) -> Col
 
 def templates_of(stored: DataFrame, least: int, depth: int, similarity: float) -> DataFrame:
     """``leaf, line, final, t, n``: the template of each different line of leaves with enough lines."""
-    full = stored.select(F.explode("lines.leaf").alias("leaf")).groupBy("leaf").count().where(F.col("count") >= least)
-    shares = full.where(F.col("leaf").isNotNull()).select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = (stored.select(F.explode("lines").alias("x")).select("x.leaf", "x.line").where("leaf IS NOT NULL")
+    full = materialize(stored.select(F.explode("lines.leaf").alias("leaf")).where("leaf IS NOT NULL")
+                       .groupBy("leaf").count().where(F.col("count") >= least).select("leaf"))
+    shares = full.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    lines = stored.select(F.explode("lines").alias("x")).select("x.leaf", "x.line").where("leaf IS NOT NULL")
+    each = (maybe_in(lines, "leaf", full)
             .withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int"))
             .join(shares.hint("merge"), ["leaf", "salt"], "left_semi").distinct())
     # Two rounds: shares of a leaf, then their templates.
@@ -227,9 +248,9 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     named = templates_of(stored, least, depth, similarity)
     lines = stored.select("id", "hash", F.posexplode("lines").alias("place", "x"))
+    lines = lines.where("x.leaf IS NOT NULL").select("id", "hash", "place", "x.leaf", F.xxhash64("x.line").alias("same"))
     placed = materialize(
-        lines.where("x.leaf IS NOT NULL").select("id", "hash", "place", "x.leaf", F.xxhash64("x.line").alias("same"))
-        .join(named.select("leaf", F.xxhash64("line").alias("same"), "t", "n").hint("merge"), ["leaf", "same"])
+        maybe_in(lines, "same", named.select(F.xxhash64("line").alias("same"))).join(named.select("leaf", F.xxhash64("line").alias("same"), "t", "n").hint("merge"), ["leaf", "same"])
         .select("id", "hash", "place", "t", "n"))
     count = (placed.select("t", "n", "id", "hash").distinct().groupBy("t", "n").agg(F.count("*").alias("docs"))
              .withColumn("wanted", wanted_kinds(F.col("n"), least_docs, longer)).drop("n"))
@@ -238,14 +259,17 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     who = F.xxhash64("id", "hash").alias("who")
     several = materialize(hits.where("docs >= wanted").select(who, "t", "docs", "wanted").distinct())
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        return (stored.select(who, "lines").join(some.select("who").distinct().hint("merge"), "who", "left_semi")
-                .dropDuplicates(["who"]))
+    def marks_of(some: DataFrame, marks: Column) -> DataFrame:
+        """``who, marks`` of some documents; marks are taken where the texts lie, and only marks move."""
+        ids = some.select("who").distinct()
+        return (maybe_in(stored.select(who, "lines"), "who", ids).select("who", marks.alias("marks"))
+                .join(ids.hint("merge"), "who", "left_semi").dropDuplicates(["who"]))
 
     # First by the marks of whole documents.
-    every = F.flatten(F.transform("lines", lambda x: F.when(
-        x["line"] != "", word_pairs(F.coalesce(x["raw"], x["line"]))).otherwise(F.array().cast("array<bigint>"))))
-    whole = materialize(texts_of(several).select("who", F.lit(0).alias("class"), F.explode(least_marks(every)).alias("mark")))
+    by_line = F.transform("lines", lambda x: F.when(x["line"] != "", word_pairs(F.coalesce(x["raw"], x["line"])))
+                          .otherwise(F.array().cast("array<bigint>")))
+    whole = materialize(marks_of(several, least_marks(F.flatten(by_line)))
+                        .select("who", F.lit(0).alias("class"), F.explode("marks").alias("mark")))
     kinds = materialize(several.join(own_marks(whole).hint("merge"), "who", "left").select(
         "who", "t", "docs", "wanted", kind_of(F.col("marks"), own, 1).alias("kind")))
 
@@ -257,8 +281,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     recur = materialize(enough(kinds))
     open_kinds = materialize(kinds.join(recur.hint("merge"), "t", "left_anti"))
     alike = open_kinds.where("kind IS NULL").drop("kind")
-    marked = (texts_of(alike).select("who", F.posexplode("lines").alias("place", "x")).where("x.line <> ''")
-              .select("who", "place", least_marks(word_pairs(F.coalesce("x.raw", "x.line"))).alias("marks"))
+    marked = (marks_of(alike, F.transform(by_line, least_marks)).select("who", F.posexplode("marks").alias("place", "marks"))
               .join(hits.select(who, "place", "docs").distinct().hint("merge"), ["who", "place"], "left"))
     sketch = (marked.groupBy("who", F.floor(F.log2(F.coalesce("docs", F.lit(1)))).cast("int").alias("class"))
               .agg(least_marks(F.flatten(F.collect_list("marks"))).alias("marks")))
