@@ -313,34 +313,3 @@ def test_templates_widen_but_keep_apart():
     assert leaf.place("the price of tea is now six coins") == a
     assert leaf.place("the price was never known to be low") != a
     assert leaf.templates[a].count(line_templates.VARIABLE) == 1
-
-
-def spelled(n: int) -> str:
-    """Random words without digits."""
-    return " ".join(f"w{random.choice('abcdefgh')}{random.randrange(10 ** 6):x}q".translate(LETTERS) for _ in range(n))
-
-
-def test_boilerplate_goes_from_documents_that_are_mostly_boilerplate(spark, docs):
-    random.seed(12)
-    passages, own = [spelled(40) for _ in range(5)], [spelled(20) for _ in range(300)]
-    clean = line_templates.drop_recurring_lines(docs(["\n".join([line, *passages]) for line in own]))
-    assert {r["doc_id"]: r["text"] for r in clean.collect()} == dict(enumerate(own))
-    assert simhash.near_duplicates(clean, words=5, similarity=0.8).where("keeper").count() == 300
-
-
-def test_long_passages_go_from_three_documents_on(spark, docs):
-    random.seed(13)
-    passage, short = spelled(60), spelled(30)
-    own = ["\n".join(spelled(25) for _ in range(3)) for _ in range(7)]
-    texts = [f"{passage}\n{x}" for x in own[:3]] + [f"{short}\n{x}" for x in own[3:]]
-    texts += ["\n".join([spelled(55), spelled(55)])] * 4  # exact copies are one kind
-    found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(texts)).collect()}
-    assert [found[k] for k in range(11)] == [*own[:3], *texts[3:]]
-
-
-def test_families_of_copies_that_share_a_passage_lose_only_it(spark, docs):
-    random.seed(14)
-    passage, families = spelled(30), ["\n".join(spelled(12) for _ in range(6)) for _ in range(12)]
-    texts = [f"{x}\n{passage}" for x in families for _ in range(6)]
-    found = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(docs(texts)).collect()}
-    assert [found[k] for k in range(len(texts))] == [x for x in families for _ in range(6)]
