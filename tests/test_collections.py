@@ -57,3 +57,24 @@ def test_large_files_are_read_by_many_tasks(spark, tmp_path):
     lost = [r for r in by_file["broken.json"] if not r["supported"]]
     assert len(lost) == 2  # the one with two commas, and the one that is cut off
     assert len(by_file["broken.json"]) >= 396
+
+
+def test_short_ranges_read_little_and_share_tasks():
+    rows, text = next(iter(texts(3, 3000)))
+    data, seen, found = text.encode(), [], []
+
+    def read(a, b):
+        seen.append(b - a)
+        return data[a:b]
+
+    state, depth, step = collections.OUT, 0, 8192
+    for begin in range(0, len(data), step):
+        end = min(len(data), begin + step)
+        found += collections.features_in(read, begin, end, len(data), state, depth)
+        state, deeper = collections.advance(data[begin:end], state)
+        depth += deeper
+    assert [json.loads(x) for x in found] == rows
+    assert sum(seen) < 4 * len(data)  # was the first megabyte and the one before, for each range
+    assert collections._tasks(150, 10 ** 6) == 150 and collections._tasks(300_000, 300_000 << 13) == 300
+    assert collections._first_mark(lambda a, b: (b" " * 5000 + b"[1]")[a:b], 5003) == b"["
+    assert collections._last_mark(lambda a, b: (b"," + b"\n" * 5000)[a:b], 5001) == b","
