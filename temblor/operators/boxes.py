@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from temblor.operators.ordered import running
+from temblor.operators.ordered import CHUNK, ROWS_PER_CHUNK, Ordered, running
 from temblor.session import materialize
 
 BLOCK = ["cx", "cy", "slot"]
@@ -88,16 +88,15 @@ def _node(height: Column, number: Column) -> Column:
     return F.struct(height.cast("int").alias("h"), number.cast("int").alias("n"))
 
 
-def _axis(points: str, side: Column, low: Column, high: Column) -> Column:
+def _axis(top: str, at: str, side: Column) -> Column:
     """``nodes, edge``: what a box covers of a block's axis, and the leaf it cuts (-1 for none).
 
-    ``side`` is the block's place beside the event's: 0 is covered whole, one
-    above ends at ``high``, one below begins at ``low``.
+    ``top`` is the height of the axis and ``at`` the leaf where the box ends; both are columns, as an
+    expression would be worked out again for every node. ``side`` is the block's place beside the
+    event's: 0 is covered whole, one above ends at the box's upper end, one below begins at the lower.
     """
-    top = _height(points)
-    heights = F.sequence(F.lit(0), top - 1)
-    at = _leaf(points, F.when(side > 0, high).otherwise(low))
-    odd = at % 2 == 1
+    heights = F.sequence(F.lit(0), F.col(top) - 1)
+    odd = F.col(at) % 2 == 1
 
     def bit(number: Column, k: Column) -> Column:
         return F.floor(number / F.pow(F.lit(2.0), k)).cast("int") % 2
@@ -105,12 +104,12 @@ def _axis(points: str, side: Column, low: Column, high: Column) -> Column:
     def up(number: Column, k: Column) -> Column:
         return F.floor(number / F.pow(F.lit(2.0), k)).cast("int")
 
-    upto = F.when(odd, at + 1).otherwise(at)
-    after = F.when(odd, at - 1).otherwise(at)
+    upto = F.when(odd, F.col(at) + 1).otherwise(F.col(at))
+    after = F.when(odd, F.col(at) - 1).otherwise(F.col(at))
     lower = F.transform(F.filter(heights, lambda k: bit(upto, k) == 1), lambda k: _node(k, up(upto, k) - 1))
     upper = F.transform(F.filter(heights, lambda k: bit(after, k) == 0), lambda k: _node(k, up(after, k) + 1))
-    nodes = F.when(side > 0, lower).when(side < 0, upper).otherwise(F.array(_node(top, F.lit(0))))
-    edge = F.when((side == 0) | odd, F.lit(-1)).otherwise(at)
+    nodes = F.when(side > 0, lower).when(side < 0, upper).otherwise(F.array(_node(F.col(top), F.lit(0))))
+    edge = F.when((side == 0) | odd, F.lit(-1)).otherwise(F.col(at))
     return F.struct(nodes.alias("nodes"), edge.cast("int").alias("edge"))
 
 
@@ -129,13 +128,25 @@ def dense_rows(probe: DataFrame, placed: DataFrame, blocks: DataFrame, span: int
         return F.sequence(bucket(F.col(name) - degrees, degrees), bucket(F.col(name) + degrees, degrees))
 
     first = bucket(F.col("p_us") - span, span)
-    looks = (probe.withColumns({"at_x": bucket(F.col("p_lon"), degrees), "at_y": bucket(F.col("p_lat"), degrees)})
+    # An event looks at up to 18 blocks, each with work of its own, so a file read by one task is dealt out.
+    spread = probe.repartition(probe.sparkSession.sparkContext.defaultParallelism, "p_seq") if (
+        probe.rdd.getNumPartitions() < probe.sparkSession.sparkContext.defaultParallelism) else probe
+    looks = (spread.withColumns({"at_x": bucket(F.col("p_lon"), degrees), "at_y": bucket(F.col("p_lat"), degrees)})
              .withColumn("cx", F.explode(around("p_lon"))).withColumn("cy", F.explode(around("p_lat")))
              .withColumn("slot", F.explode(F.array(first, first + 1))))
-    asked = looks.join(points, BLOCK).select(
-        *BLOCK, "p_seq", "p_us", "p_lat", "p_lon", (F.col("slot") == first).alias("ends"),
-        _axis("xs", F.col("cx") - F.col("at_x"), F.col("p_lon") - degrees, F.col("p_lon") + degrees).alias("x"),
-        _axis("ys", F.col("cy") - F.col("at_y"), F.col("p_lat") - degrees, F.col("p_lat") + degrees).alias("y"))
+    sides = {"sx": F.col("cx") - F.col("at_x"), "sy": F.col("cy") - F.col("at_y")}
+
+    def end(side: str, value: str) -> Column:
+        return F.when(F.col(side) > 0, F.col(value) + degrees).otherwise(F.col(value) - degrees)
+
+    met = looks.join(points, BLOCK).withColumns(sides).select(
+        *BLOCK, "p_seq", "p_us", "p_lat", "p_lon", (F.col("slot") == first).alias("ends"), "sx", "sy",
+        _height("xs").alias("tx"), _height("ys").alias("ty"),
+        _leaf("xs", end("sx", "p_lon")).alias("lx"), _leaf("ys", end("sy", "p_lat")).alias("ly"))
+    # The leaves are stored first: the nodes look at them again and again.
+    asked = materialize(met).select(
+        *BLOCK, "p_seq", "p_us", "p_lat", "p_lon", "ends",
+        _axis("tx", "lx", F.col("sx")).alias("x"), _axis("ty", "ly", F.col("sy")).alias("y"))
     return materialize(data), materialize(asked)
 
 
@@ -175,16 +186,32 @@ def node_rows(data: DataFrame, asked: DataFrame, span: int) -> DataFrame:
 
 
 def _node_totals(rows: DataFrame, rows_per_chunk: int | None) -> DataFrame:
+    """Running totals by node; only nodes with more rows than a chunk are cut along time.
+
+    A node lies in one block, so nearly all have few rows, which a plain window takes;
+    chunks over all of them would be as many as the rows ask for.
+    """
     keys, order = [*BLOCK, *NODE], ("pos", "tie")
     totals = {"n": ("sum", F.col("b_n")), "sum": ("sum", F.col("b_sum")), "max": ("max", F.col("b_max")),
               "last": ("max", F.col("b_us"))}
-    parts = []
-    for ends in (True, False):
-        side = rows.where(F.col("p_seq").isNull() | (F.col("ends") == ends))
-        ran = running(side, keys, {f"r_{k}": v for k, v in totals.items()}, order, reverse=ends, exclusive=True,
-                      rows_per_chunk=rows_per_chunk)
-        parts.append(ran.where(F.col("p_seq").isNotNull()).select("p_seq", *[f"r_{k}" for k in totals]))
-    return fold(parts[0].unionAll(parts[1]), "r_n", "r_sum", "r_max", "r_last")
+    large = materialize(rows.groupBy(*keys).count().where(F.col("count") > (rows_per_chunk or ROWS_PER_CHUNK)))
+    parts = [(rows, None)]
+    if not large.isEmpty():
+        names = large.select(*keys)
+        parts = [(rows.join(names.hint("merge"), keys, "left_anti"), None),
+                 (materialize(rows.join(names.hint("merge"), keys, "left_semi")), rows_per_chunk)]
+    found = []
+    for part, chunk in parts:
+        for ends in (True, False):
+            side = part.where(F.col("p_seq").isNull() | (F.col("ends") == ends))
+            whole = Ordered(side.withColumn(CHUNK, F.lit(0).cast("bigint")), order, 1)
+            ran = running(whole if part is parts[0][0] else side, keys, {f"r_{k}": v for k, v in totals.items()}, order,
+                          reverse=ends, exclusive=True, rows_per_chunk=chunk)
+            found.append(ran.where(F.col("p_seq").isNotNull()).select("p_seq", *[f"r_{k}" for k in totals]))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    return fold(every, "r_n", "r_sum", "r_max", "r_last")
 
 
 def box_totals(probe: DataFrame, places: DataFrame, pairs, span: int, degrees: float, crowded: int,

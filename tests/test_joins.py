@@ -204,3 +204,34 @@ def test_majors_ahead_equal_their_list(events, size):
         first = min((r["days_after"] * 86400 + r["hours"] * 3600 + r["minutes"] * 60 for r in rows), default=None)
         assert (e["first_major_s"] is None) == (first is None)
         assert first is None or first == e["first_major_s"] // 60 * 60
+
+
+def test_box_work_is_dealt_out_and_small_nodes_are_not_cut(spark, monkeypatch):
+    from temblor.operators import boxes
+
+    rows = [(k, f"2020-01-{k % 20 + 1:02d} 0{k % 10}:00:00", 0.3 * (k % 3), 0.1 * (k % 9), float(k % 5)) for k in range(120)]
+    df = spark.createDataFrame(rows, "seq long, t string, latitude double, longitude double, mag double").select(
+        "*", F.to_timestamp("t").alias("time")).drop("t").coalesce(1)
+    kinds, parts = [], []
+    run, dense = boxes.running, boxes.dense_rows
+
+    def ran(data, *args, **named):
+        kinds.append(isinstance(data, boxes.Ordered))
+        return run(data, *args, **named)
+
+    def asked(*args):
+        found = dense(*args)
+        parts.append(found[1].rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(boxes, "running", ran)
+    monkeypatch.setattr(boxes, "dense_rows", asked)
+    got = {}
+    for size in (1000, 5):
+        found = rangejoin.history_in_box(df, 3, 1.0, crowded=4, rows_per_chunk=size)
+        got[size] = {r["seq"]: (r["hist_count_3d"], r["hist_mag_max_3d"], r["days_since_last"]) for r in found.collect()}
+    assert kinds == [True, True, True, True, False, False]  # only nodes with more than five rows are cut
+    assert min(parts) > 1 or spark.sparkContext.defaultParallelism == 1
+    far = rangejoin.history_in_box(df, 3, 1.0, crowded=10 ** 6).collect()
+    want = {r["seq"]: (r["hist_count_3d"], r["hist_mag_max_3d"], r["days_since_last"]) for r in far}
+    assert got[1000] == want and got[5] == want
