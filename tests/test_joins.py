@@ -235,3 +235,28 @@ def test_box_work_is_dealt_out_and_small_nodes_are_not_cut(spark, monkeypatch):
     far = rangejoin.history_in_box(df, 3, 1.0, crowded=10 ** 6).collect()
     want = {r["seq"]: (r["hist_count_3d"], r["hist_mag_max_3d"], r["days_since_last"]) for r in far}
     assert got[1000] == want and got[5] == want
+
+
+def test_parent_links_take_few_steps_and_skip_cubes_without_a_larger_event(spark):
+    span = 72 * rangejoin.HOUR_US
+    steps = rangejoin.few_steps(rangejoin.time_steps(span, 100_000))
+    assert len(steps) == 4 and steps[0][0] == 0 and steps[-1][1] == span
+    assert all(a[1] == b[0] for a, b in zip(steps, steps[1:]))
+    assert rangejoin.few_steps([(0, 5)]) == [(0, 5)]
+    rows = [(i, 1_000_000_000 + 60 * i, 10.0, 20.0 + 0.05 * (i % 3), 5.0 - (i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq bigint, s bigint, latitude double, longitude double, mag double").selectExpr(
+        "seq", "timestamp_seconds(s) as time", "latitude", "longitude", "mag")
+    found = rangejoin.nearest_earlier(df)
+    assert {r["seq"]: r["parent"] for r in found.collect()} == brute_parents(local(df))
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+
+
+def test_larger_follows_of_small_slots_is_not_cut_along_time(events):
+    plan = rangejoin.larger_follows(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") == 2 and "_real" not in plan
+    rows = events.unionByName(events.withColumn("seq", events["seq"] + 1000))  # of one instant the largest counts
+    data = local(rows)
+    got = {r["seq"]: r["mainshock_mag"] for r in rangejoin.larger_follows(rows, 60.0).collect()}
+    for e in data:
+        width = math.floor(max(10 ** (0.5 * e["mag"] - 1) * 6e7, 1))
+        assert got[e["seq"]] == max([x["mag"] for x in data if us(e) <= us(x) <= us(e) + width] + [e["mag"]])
