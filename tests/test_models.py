@@ -276,3 +276,35 @@ def test_rows_of_an_iteration_are_dealt_over_the_cores(spark):
     assert clustering.dealt(rows.limit(900)).rdd.getNumPartitions() == 1
     sweep = {r["k"]: r for r in clustering.k_sweep(rows, ["x"], 2, 3).collect()}
     assert sweep[3]["inertia"] < sweep[2]["inertia"] and sweep[2]["train_rows"] == 40_000
+
+
+def test_large_events_meet_only_the_events_of_two_slots(spark, events, tmp_path):
+    from temblor.operators.rangejoin import future_majors
+
+    rows = events.select("id", "seq", F.expr("time + make_interval(0, 0, 0, cast(seq % 40 as int))").alias("time"), "mag",
+                         "region_code")
+    rows.write.parquet(str(tmp_path / "in"))
+    streams = [jobs.read_parquet_stream(spark, str(tmp_path / "in"), rows.schema) for _ in range(2)]
+    pairs = jobs.stream_future_majors(*streams, days=2, watermark="1 year", salts=2)
+    plan = pairs._jdf.queryExecution().analyzed().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "slot" in join
+    found = jobs.run_available(pairs, str(tmp_path / "out"), str(tmp_path / "cp"))
+    batch = future_majors(rows, days=2, keys=["region_code"])
+    assert sorted((r["id"], r["major_id"]) for r in found.collect()) == sorted(
+        (r["id"], r["major_id"]) for r in batch.collect())
+
+
+def test_feature_table_takes_only_its_columns_and_b_values_of_the_anchors(spark, sf):
+    from temblor.operators import temporal
+    from temblor.registered.features import _features
+    from temblor.sources.catalog import catalog
+
+    assert not {"place", "net", "status", "rms"} & set(_features(spark, sf).columns)
+    df = catalog(spark, sf).select("id", "seq", "time", (F.col("mag") + 2).alias("mag"))
+    whole = {r["id"]: r["b_value"] for r in temporal.b_value(df, 300).collect()}
+    got = {r["id"]: r["regional_b_value"] for r in temporal.b_value_interpolated(df, 10_000, 300).collect()}
+    assert got.keys() == whole.keys() and len(set(whole.values())) > 2
+    assert all(got[k] == pytest.approx(v) for k, v in whole.items())
+    one = temporal.b_value_interpolated(df.limit(1), 10, 300).collect()
+    assert [r["regional_b_value"] for r in one] == [1.0]
