@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from temblor.operators import cleaning, spatial
@@ -15,6 +17,15 @@ from temblor.streaming import jobs
 ANY_AGE = "20 years"
 
 
+#: Documents of a file of arrivals, some 50 MB.
+DOCS_PER_FILE = 100_000
+
+
+def arrival_files(docs: int) -> int:
+    """Files for so many documents: four, or an even number that grows with them; half of them arrive at once."""
+    return max(4, 2 * math.ceil(docs / (2 * DOCS_PER_FILE)))
+
+
 def _catalog_stream(spark, sf_dir):
     """The gridded catalog as a stream of several files."""
     path = store.scratch_folder(spark, "stream")
@@ -31,10 +42,11 @@ def stream_ingest(spark, sf_dir):
     path, root = store.scratch_folder(spark, "arrivals"), store.scratch_folder(spark, "stored")
     events = raw_catalog(spark, sf_dir)
     docs = events.select(geojson.to_document(events).alias("value"))
-    docs.unionByName(docs).repartition(4).write.text(path)
+    files = arrival_files(2 * events.count())
+    docs.unionByName(docs).repartition(files).write.text(path)
     old = spark.read.text(path).where(F.crc32(F.col("value").cast("binary")) % 2 == 0).select(F.col("value").alias("document"))
     jobs.append_new(cleaning.coerce_types(geojson.parse_documents(old).where("supported").drop("supported")), root, -1)
-    stream = jobs.stream_ingest(spark, path, files_per_trigger=2)
+    stream = jobs.stream_ingest(spark, path, files_per_trigger=files // 2)
     jobs.store_new(stream, root, store.scratch_folder(spark, "cp")).awaitTermination()
     return jobs.read_store(spark, root).groupBy(F.year("time").cast("bigint").alias("year")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max("mag").alias("mag_max"))

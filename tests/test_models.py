@@ -295,6 +295,14 @@ def test_large_events_meet_only_the_events_of_two_slots(spark, events, tmp_path)
         (r["id"], r["major_id"]) for r in batch.collect())
 
 
+def test_files_of_arrivals_grow_with_the_documents():
+    from temblor.registered import streams
+
+    assert streams.arrival_files(20_000) == 4
+    assert streams.arrival_files(72_000_000) * streams.DOCS_PER_FILE >= 72_000_000
+    assert streams.arrival_files(1_900_001) % 2 == 0
+
+
 def test_feature_table_takes_only_its_columns_and_b_values_of_the_anchors(spark, sf):
     from temblor.operators import temporal
     from temblor.registered.features import _features
