@@ -106,6 +106,26 @@ def test_shock_roles(events, densest):
         assert row["shock_role"] == ("foreshock" if us(e) < us(best) else "aftershock")
 
 
+@pytest.mark.parametrize("densest", [None, 50_000])
+def test_shock_roles_without_a_sort_of_pairs(spark, densest):
+    """Of all pairs one number is kept, so that a task holds a number per event; ties as before."""
+    rows = [("late", 9, 1000, 6.0), ("twin b", 2, 400, 6.0), ("twin a", 2, 400, 7.0), ("none", None, 1000, 6.0),
+            ("middle", 1, 700, 3.0), ("after", 3, 800, 3.0), ("same time", 4, 400, 3.0), ("first", 5, 100, 3.0),
+            ("unknown", None, 500, 3.0)]
+    frame = spark.createDataFrame([(*r, 10.0, 20.0) for r in rows],
+                                  "id string, seq bigint, s bigint, mag double, latitude double, longitude double")
+    events = frame.selectExpr("*", "timestamp_seconds(1000000000 + s) as time")
+    roles = rangejoin.shock_roles(events, densest=densest)
+    assert "SortAggregate" not in roles._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: (r["shock_role"], r["related_mainshock_id"], r["hours_to_mainshock"]) for r in roles.collect()}
+    assert got["middle"] == ("aftershock", "twin a", 300 / 3600)  # the earlier one, then by seq and id
+    assert got["after"] == ("foreshock", "none", 200 / 3600)
+    assert got["same time"] == ("foreshock", "none", 600 / 3600)
+    assert got["first"] == ("foreshock", "twin a", 300 / 3600)
+    assert got["unknown"] == ("unclassified", "", None)
+    assert got["late"] == ("mainshock", "late", 0.0)
+
+
 @pytest.mark.parametrize("size", [10_000, 60])
 @pytest.mark.parametrize("unit", [1.0, 60.0, 5000.0])
 def test_larger_follows(events, size, unit):
