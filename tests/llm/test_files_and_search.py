@@ -281,6 +281,28 @@ def test_inner_products_equal_brute_force(spark):
         "query_id", "rank", "vec_id", "score"]
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 19])
+def test_search_sorts_only_what_reaches_the_bar(scale):
+    """Where bounds rule out little, scores below the k-th best are not kept; beyond 2^52 they are whole numbers."""
+    rng = np.random.default_rng(3)
+    ids, vectors = rng.permutation(4096).astype(np.int64), rng.integers(-256, 256, (4096, 64)) * scale
+    added = []
+
+    class Counted(inner_product.Search):
+        def add(self, query, other, score):
+            added.append(len(query))
+            super().add(query, other, score)
+
+    search = Counted(ids[:64], vectors[:64], np.eye(64), 5, 16)
+    search.meet(ids, vectors)
+    assert sum(added[1:]) < 64 * 3584 // 10
+    for k in range(64):
+        scores = (vectors @ vectors[k])
+        want = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != ids[k])[:5]
+        mine = search.query == k
+        assert [(-s, i) for s, i in zip(search.score[mine].tolist(), search.other[mine].tolist())] == want
+
+
 def test_forward_backward_equals_all_labellings():
     from itertools import product
     from math import exp
