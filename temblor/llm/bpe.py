@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 
 #: Fixed values of byte-level BPE: the word pattern, and the bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same words in ASCII texts, which the plainer engine splits faster.
+ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\x09-\x0D\x20A-Za-z0-9]+"
+                           r"|[\x09-\x0D\x20]+(?![^\x09-\x0D\x20])|[\x09-\x0D\x20]+")
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 #: Words a task remembers at most; beyond that it starts a new table.
@@ -97,6 +101,9 @@ class Automaton:
         self.leads = leads.tolist()
         self.ids = {label: k for k, label in enumerate(labels) if label and leads[k] >= 0}
         self.longest = max(map(len, self.ids), default=1)
+        #: Of each label the token, its row and bit among the arcs, the state it leads to, and its length.
+        self.arcs_of = {label: (k, (k >> 3) * self.states, 1 << (k & 7), self.leads[k], len(label))
+                        for label, k in self.ids.items()}
         self._ready = None
 
     @classmethod
@@ -141,21 +148,36 @@ class Automaton:
         whole = self.ids.get(data)
         if whole is not None and self.flat[(whole >> 3) * self.states] >> (whole & 7) & 1:
             return (whole,)
-        flat, width, known, leads, longest = self.flat, self.states, self.ids.get, self.leads, self.longest
-        last, state = [0] * (len(data) + 1), [0] * (len(data) + 1)
-        for end in range(1, len(data) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = known(data[begin:end])
-                if token is not None and flat[(token >> 3) * width + state[begin]] >> (token & 7) & 1:
-                    last[end], state[end] = token, leads[token]
+        # From the end, longest tokens first; where a token begins is looked at only if one fits there.
+        flat, known, longest = self.flat, self.arcs_of.get, self.longest
+        found = [None] * (len(data) + 1)
+        found[0] = (-1, 0, 0, 0, 0)
+        at = [end - longest if end > longest else 0 for end in range(len(data) + 1)]
+        todo = [len(data)]
+        while todo:
+            end = todo[-1]
+            for begin in range(at[end], end):
+                arc = known(data[begin:end])
+                if arc is None:
+                    continue
+                before = found[begin]
+                if before is None:
+                    at[end] = begin
+                    todo.append(begin)
+                    break
+                if flat[arc[1] + before[3]] & arc[2]:
+                    found[end] = arc
+                    todo.pop()
                     break
             else:
-                raise ValueError("a byte of the text is missing in the vocabulary")
-        found, end = [], len(data)
+                if end:
+                    raise ValueError("a byte of the text is missing in the vocabulary")
+                todo.pop()
+        tokens, end = [], len(data)
         while end:
-            found.append(last[end])
-            end -= len(self.labels[last[end]])
-        return tuple(found[::-1])
+            tokens.append(found[end][0])
+            end -= found[end][4]
+        return tuple(tokens[::-1])
 
     def _tools(self):
         if self._ready is None:
@@ -166,19 +188,23 @@ class Automaton:
                            if stops else None, _Words(self))
         return self._ready
 
+    def _split(self, text: str) -> list[str]:
+        """Words of a text."""
+        return (ASCII_PATTERN if text.isascii() else self._tools()[0]).findall(text)
+
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text."""
         if not text:
             return []
-        pattern, stops, words = self._tools()
+        _, stops, words = self._tools()
         if stops is None or not any(x in text for x in self.special):
-            return list(chain.from_iterable(map(words.__getitem__, pattern.findall(text))))
+            return list(chain.from_iterable(map(words.__getitem__, self._split(text))))
         found: list[int] = []
         for part in stops.split(text):
             if part in self.special:
                 found.append(self.special[part])
             else:
-                found.extend(chain.from_iterable(map(words.__getitem__, pattern.findall(part))))
+                found.extend(chain.from_iterable(map(words.__getitem__, self._split(part))))
         return found
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -211,6 +211,33 @@ def test_automaton_equals_library(automaton, library):
         assert automaton.decode(ids) == text == library.decode(ids, skip_special_tokens=False)
 
 
+def test_words_are_read_from_their_end(automaton):
+    """Few parts of a word are looked up; plain texts split as the pattern says."""
+    import copy
+
+    import regex
+
+    looked = []
+
+    class Seen(dict):
+        def get(self, key, other=None):
+            looked.append(key)
+            return super().get(key, other)
+
+    seen = copy.copy(automaton)
+    seen.ids, seen.arcs_of = Seen(automaton.ids), Seen(getattr(automaton, "arcs_of", {}))
+    words = (b" leoureellean", b" aichenthouwhat", b" diechaukeitzu", b" queesasque")
+    for word in words:
+        assert b"".join(automaton.labels[k] for k in seen.word(word)) == word
+    assert len(looked) < 0.6 * sum(len(w) * (len(w) + 1) // 2 for w in words)
+    assert automaton.word(b"") == () and len(automaton.word(b"ab" * 30_000)) > 1
+    random.seed(5)
+    pattern = regex.compile(bpe.PATTERN)
+    for _ in range(3000):
+        text = "".join(random.choice("ab'sdtmlve 019\t\n\x0b\x1c\x1f.,-_\x00\x7f") for _ in range(30))
+        assert bpe.ASCII_PATTERN.findall(text) == pattern.findall(text)
+
+
 def test_every_pair_of_tokens_obeys_the_merges():
     base, merges = [0, 1], [(0, 0, 2), (0, 1, 3), (2, 1, 4), (3, 3, 5), (1, 3, 6), (2, 2, 7)]
     labels = {0: "a", 1: "b", 2: "aa", 3: "ab", 4: "aab", 5: "abab", 6: "bab", 7: "aaaa"}
