@@ -68,6 +68,13 @@ def leaf_of(line: Column, depth: int) -> Column:
     return F.xxhash64(n_tokens(line), F.substring_index(line, " ", depth))
 
 
+def least_pairs(words: Column) -> Column:
+    """The ``MARKS`` least hashes of word pairs, sorted as numbers; ``array_sort`` would call a function for each two."""
+    pairs = let(words, lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))),
+                                            lambda a, b: F.xxhash64(a, b)))
+    return F.slice(F.sort_array(F.array_distinct(pairs)), 1, MARKS)
+
+
 def same_template(a: list[str], b: list[str], similarity: float) -> bool:
     """Enough places agree; a variable place agrees with everything."""
     equal = sum(x == y or x == VARIABLE or y == VARIABLE for x, y in zip(a, b))
@@ -156,9 +163,6 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     it has ``long_tokens`` tokens.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    pairs = let(F.col("w"), lambda words: F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))),
-                                                     lambda a, b: F.xxhash64(a, b)))
-    least = F.slice(F.array_sort(F.array_distinct(pairs)), 1, MARKS)
     base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("hash"),
                        body.alias("body"))
     parsed = F.transform(F.split("body", "\n"), lambda raw, i: let(masked(raw), lambda line: F.struct(
@@ -183,7 +187,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     many = count.where(F.col("docs") >= wanted)
     several = materialize(who.join(many, ["leaf", "final"]))
     sharing = several.select("id", "hash").distinct()
-    marks = materialize(base.withColumn("w", F.split("body", "[ \n]")).select("id", "hash", least.alias("least"))
+    least = least_pairs(F.split("body", "[ \n]"))
+    marks = materialize(base.select("id", "hash", least.alias("least"))
                         .join(sharing, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
                         .select("id", "hash", F.explode("least").alias("mark")))
     # Marks of fewer documents than half the least number are own ones whatever the template.

@@ -289,6 +289,17 @@ def test_round_trip_query(spark, docs, tables, library):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_least_pairs_are_sorted_as_numbers(spark):
+    random.seed(8)
+    texts = [" ".join(str(random.randrange(50)) for _ in range(n)) for n in (0, 1, 2, 20, 200)] + [""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("split(text, '[ \\n]') as w")
+    found = frame.select("w", line_templates.least_pairs(F.col("w")).alias("least"), F.expr(
+        "transform(w, (x, i) -> xxhash64(x, get(w, i + 1)))").alias("pairs"))
+    assert "array_sort" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        assert r["least"] == sorted(set(r["pairs"]))[:line_templates.MARKS]
+
+
 def test_recurring_templates_go(spark, docs):
     random.seed(6)
     texts = []
