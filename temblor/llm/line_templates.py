@@ -43,29 +43,59 @@ SALTS = 16
 MARKS = 32
 
 
-def masked(line: Column) -> Column:
-    """Tokens of a line joined by spaces, those with a digit as variables."""
-    def plain(x: Column) -> Column:
-        spaced = F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " ")
-        return F.when(x.rlike("[0-9\\x09-\\x0D]|  "), F.regexp_replace(
-            spaced, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(x)  # most lines have neither
+def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that later filters and columns read, whatever the optimizer moves; stays compiled."""
+    return frame.withColumn(name, F.explode(F.array(value)))
+
+
+def single_spaced(line: Column) -> Column:
+    """A trimmed line with one space for each run of blanks; few lines have other ones."""
+    odd = line.contains(F.lit("  "))
+    for blank in BLANKS.replace(" ", "").replace("\n", ""):
+        odd = odd | line.contains(F.lit(blank))
+    return F.when(odd, F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line)
 
-    return let(F.btrim(line, F.lit(BLANKS)), plain)
+
+def variables_in(line: Column) -> Column:
+    """Tokens with a digit as variables, in tokens joined by spaces."""
+    return F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)
+
+
+def masked(line: Column) -> Column:
+    """Tokens of a trimmed line joined by spaces, those with a digit as variables."""
+    spaced = F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")
+    return F.when(line.contains(F.lit("  ")) | line.rlike("[0-9\\x09-\\x0D]"),
+                  variables_in(spaced)).otherwise(line)  # most lines have neither
 
 
 def n_tokens(line: Column) -> Column:
-    """Tokens of a masked line."""
-    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    """Tokens of a line joined by spaces, masked or not."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(line == "", F.lit(0)).otherwise(spaces + 1)
 
 
 def n_variables(line: Column) -> Column:
     """Variable tokens of a masked line."""
-    return (F.length(line) - F.length(F.replace(line, F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+
+
+def masked_lines(base: DataFrame, depth: int, least_tokens: int) -> DataFrame:
+    """``id, hash, place, leaf, line``: masked lines that can recur, under token count and leading tokens as one key."""
+    raw = base.select("id", "hash", F.posexplode(F.split("body", "\n")).alias("place", "raw"))
+    line, n = F.col("line"), n_tokens(F.col("line"))
+    trimmed = once(raw, "trimmed", F.btrim("raw", F.lit(BLANKS)))
+    return (once(trimmed, "line", masked(F.col("trimmed")))
+            .where((n >= least_tokens) & (2 * n_variables(line) <= n))
+            .select("id", "hash", "place", F.xxhash64(n, F.substring_index(line, " ", depth)).alias("leaf"), "line"))
 
 
-def leaf_of(line: Column, depth: int) -> Column:
-    """Token count and leading tokens as one key."""
-    return F.xxhash64(n_tokens(line), F.substring_index(line, " ", depth))
+def leaves(base: DataFrame, depth: int, least_tokens: int) -> DataFrame:
+    """``leaf`` of every line, 0 for short ones. Only leading tokens are masked, so lines more than half variable count."""
+    line = single_spaced(F.btrim("raw", F.lit(BLANKS)))
+    head = F.substring_index(line, " ", depth)
+    head = F.when(head.rlike("[0-9]"), variables_in(head)).otherwise(head)
+    leaf = F.when(n_tokens(line) >= least_tokens, F.xxhash64(n_tokens(line), head)).otherwise(F.lit(0))
+    return base.select(F.explode(F.split("body", "\n")).alias("raw")).select(leaf.alias("leaf"))
 
 
 def least_pairs(words: Column) -> Column:
@@ -165,12 +195,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(body).alias("hash"),
                        body.alias("body"))
-    parsed = F.transform(F.split("body", "\n"), lambda raw, i: let(masked(raw), lambda line: F.struct(
-        i.alias("place"), leaf_of(line, depth).alias("leaf"), n_tokens(line).alias("n"), line.alias("line"))))
-    lines = (base.select("id", "hash", F.explode(F.filter(
-        parsed, lambda x: (x["n"] >= least_tokens) & (2 * n_variables(x["line"]) <= x["n"]))).alias("x"))
-             .select("id", "hash", "x.place", "x.leaf", "x.line"))
-    full = lines.groupBy("leaf").count().where(F.col("count") >= min(least_docs, long_docs)).select("leaf")
+    lines = masked_lines(base, depth, least_tokens)
+    # A leaf with too few lines has too few documents; counting lines that stay anyway only keeps more leaves.
+    full = (leaves(base, depth, least_tokens).groupBy("leaf").count()
+            .where(F.col("count") >= min(least_docs, long_docs)).select("leaf"))
     found = materialize(lines.join(full.hint("merge"), "leaf", "left_semi"))
 
     # Two rounds: shares of a leaf, then their templates.
@@ -187,7 +215,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     many = count.where(F.col("docs") >= wanted)
     several = materialize(who.join(many, ["leaf", "final"]))
     sharing = several.select("id", "hash").distinct()
-    least = least_pairs(F.split("body", "[ \n]"))
+    least = least_pairs(F.split(F.replace("body", F.lit("\n"), F.lit(" ")), " "))
     marks = materialize(base.select("id", "hash", least.alias("least"))
                         .join(sharing, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
                         .select("id", "hash", F.explode("least").alias("mark")))

@@ -345,6 +345,32 @@ def test_passages_go_whatever_their_hashes_and_near_copies_stay(spark, docs):
     assert [found[k] for k in range(len(texts))] == want
 
 
+def test_lines_are_masked_once_and_leaves_counted_from_leading_tokens(spark):
+    lines = ["all of these are plain words", "page  7 of\t12 pages here", "\x0b a1 b2 c3 words \r", "1 2 3 4 word", "",
+             "two words", " \t ", "caf\u00e9 x9y \u4e2d\u6587 d\u00e9j\u00e0 vu 2nd", "a\x0cb\x0bc d", "three\u00a0is no blank here"]
+    base = spark.createDataFrame([("1", 5, "\n".join(lines)), ("2", 6, "")], "id string, hash bigint, body string")
+
+    def tokens(line):
+        return ["<*>" if re.search("[0-9]", t) else t for t in re.split("[ \t-\r]+", line.strip(" \t\n\x0b\x0c\r")) if t]
+
+    want, every = [], []
+    for k, line in enumerate(lines):
+        t = tokens(line)
+        if len(t) >= 3:
+            every.append((len(t), " ".join(t[:3])))
+            if 2 * t.count("<*>") <= len(t):
+                want.append((k, every[-1], " ".join(t)))
+    keys = {(r["n"], r["head"]): r["leaf"] for r in spark.createDataFrame(every, "n int, head string").selectExpr(
+        "n", "head", "xxhash64(n, head) as leaf").collect()}
+    found = line_templates.masked_lines(base, 3, 3)
+    counted = line_templates.leaves(base, 3, 3)
+    assert sorted(tuple(r) for r in found.collect()) == [("1", 5, k, keys[x], t) for k, x, t in want]
+    assert sorted(r["leaf"] for r in counted.collect() if r["leaf"] != 0) == sorted(keys[x] for x in every)
+    for frame in (found, counted):  # functions of array elements are interpreted, expressions of columns compiled
+        assert "lambda" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("x09-") == 2  # one mask: its test, its spaces
+
+
 def test_templates_widen_but_keep_apart():
     leaf = line_templates.Leaf(2, 0.75)
     a = leaf.place("the price of tea is now ten coins")
