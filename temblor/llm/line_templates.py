@@ -69,9 +69,9 @@ def masked(line: Column) -> Column:
 
 
 def n_tokens(line: Column) -> Column:
-    """Tokens of a line joined by spaces, masked or not."""
+    """Tokens of a line joined by spaces, masked or not; without a branch, in which a line would be made anew."""
     spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(line == "", F.lit(0)).otherwise(spaces + 1)
+    return spaces + (line != "").cast("int")
 
 
 def n_variables(line: Column) -> Column:
@@ -89,13 +89,12 @@ def masked_lines(base: DataFrame, depth: int, least_tokens: int) -> DataFrame:
             .select("id", "hash", "place", F.xxhash64(n, F.substring_index(line, " ", depth)).alias("leaf"), "line"))
 
 
-def leaves(base: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """``leaf`` of every line, 0 for short ones. Only leading tokens are masked, so lines more than half variable count."""
+def leaves(base: DataFrame, depth: int) -> DataFrame:
+    """``leaf`` of every line, those that stay anyway too, since only leading tokens are masked."""
     line = single_spaced(F.btrim("raw", F.lit(BLANKS)))
     head = F.substring_index(line, " ", depth)
     head = F.when(head.rlike("[0-9]"), variables_in(head)).otherwise(head)
-    leaf = F.when(n_tokens(line) >= least_tokens, F.xxhash64(n_tokens(line), head)).otherwise(F.lit(0))
-    return base.select(F.explode(F.split("body", "\n")).alias("raw")).select(leaf.alias("leaf"))
+    return base.select(F.explode(F.split("body", "\n")).alias("raw")).select(F.xxhash64(n_tokens(line), head).alias("leaf"))
 
 
 def least_pairs(words: Column) -> Column:
@@ -197,7 +196,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                        body.alias("body"))
     lines = masked_lines(base, depth, least_tokens)
     # A leaf with too few lines has too few documents; counting lines that stay anyway only keeps more leaves.
-    full = (leaves(base, depth, least_tokens).groupBy("leaf").count()
+    full = (leaves(base, depth).groupBy("leaf").count()
             .where(F.col("count") >= min(least_docs, long_docs)).select("leaf"))
     found = materialize(lines.join(full.hint("merge"), "leaf", "left_semi"))
 
