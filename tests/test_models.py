@@ -316,3 +316,12 @@ def test_feature_table_takes_only_its_columns_and_b_values_of_the_anchors(spark,
     assert all(got[k] == pytest.approx(v) for k, v in whole.items())
     one = temporal.b_value_interpolated(df.limit(1), 10, 300).collect()
     assert [r["regional_b_value"] for r in one] == [1.0]
+
+
+def test_time_dataset_shows_every_step_of_the_feature_table(spark, sf):
+    from temblor.registered.features import time_dataset
+    from temblor.schemas import MAG_FEATURES, TIME_FEATURES
+
+    found = time_dataset(spark, sf)
+    steps = {"log_stress" if c == "coulomb_stress_proxy" else c for c in [*TIME_FEATURES, *MAG_FEATURES]}
+    assert set(found.columns) == steps | {"id", "us", "target_quake_in_7days"}
