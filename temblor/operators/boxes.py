@@ -9,18 +9,26 @@ totals over time answer. Only the leaf that a box edge cuts is paired, on each
 axis. The span reaches into two slots: the end of one and the start of the next,
 and both are running totals, forwards and backwards.
 
-Work on a crowded block with n places grows as n log(n)^2, not as n^2.
+Work on a crowded block with n places grows as n log(n)^2, not as n^2. Trees are for
+the largest blocks, as every place and event stands in many nodes, each a row that
+is written. Crowded blocks up to some thousand places (``BITMAP``) go to a task
+whole, with the events that look at them: a place is a bit, and what a box leaves of
+a block is the AND of a few bitmaps, 64 places at a time. Nothing but the places and
+events themselves is written there.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from temblor.operators.ordered import CHUNK, ROWS_PER_CHUNK, Ordered, running
-from temblor.session import materialize
+from temblor.session import materialize, share_code
 
 BLOCK = ["cx", "cy", "slot"]
 NODE = ["hx", "nx", "hy", "ny"]
@@ -29,6 +37,17 @@ DEEPEST = 10
 #: Crowded blocks that are broadcast with their split points (some 16 KB each); beyond that they are joined.
 MOST_BROADCAST = 2_000
 TOTALS = ("_n", "_sum", "_max", "_last")
+#: Blocks of this many places, from a word to tables of some 50 MB, are answered by bitmaps.
+BITMAP = (64, 8192)
+#: Places of a block beyond which bitmaps are cheaper than pairs.
+PAIRED = 256
+#: Cells along each axis whose blocks of one slot go to a task together.
+TOGETHER = 4
+AREA = ["ax", "ay", "slot"]
+#: Events around such cells beyond which they are dealt over several tasks.
+MOST_EVENTS = 200_000
+#: Events that meet the blocks of a task at once, and that meet one block at once.
+AT_ONCE, IN_CACHE = 1 << 15, 1 << 11
 
 
 def bucket(value: Column, width: float) -> Column:
@@ -214,20 +233,227 @@ def _node_totals(rows: DataFrame, rows_per_chunk: int | None) -> DataFrame:
     return fold(every, "r_n", "r_sum", "r_max", "r_last")
 
 
+def _prefixes(bits: np.ndarray) -> np.ndarray:
+    """Row k has the first k of the given bits set."""
+    table = np.zeros((len(bits) + 1, (len(bits) + 63) // 64), dtype=np.uint64)
+    table[np.arange(1, len(bits) + 1), bits >> 6] = np.uint64(1) << (bits & 63).astype(np.uint64)
+    return np.bitwise_or.accumulate(table, axis=0, out=table)
+
+
+class Bitmaps:
+    """The places of a block as bits, once in order of time and once by size, and the first bits along each axis."""
+
+    def __init__(self, us: np.ndarray, lat: np.ndarray, lon: np.ndarray, n: np.ndarray, total: np.ndarray,
+                 most: np.ndarray, known: np.ndarray):
+        count = len(us)
+        by_time = np.argsort(us, kind="stable")
+        # The largest first, NaN above all numbers, places without a size last.
+        by_size = np.lexsort((np.where(np.isnan(most), -np.inf, -most), ~(known & np.isnan(most)), ~known))
+        self.axes, self.layouts = [], ([], [])
+        place = [np.empty(count, dtype=np.int64) for _ in range(2)]
+        for at, order in zip(place, (by_time, by_size)):
+            at[order] = np.arange(count)
+        for values in (us, lat, lon):
+            order = np.argsort(values, kind="stable")
+            self.axes.append(values[order])
+            for tables, at in zip(self.layouts, place):
+                tables.append(_prefixes(at[order]))
+        self.us, self.most, self.known = us[by_time], most[by_size], known[by_size]
+        size = self.layouts[0][0].shape[1] * 8
+        choice = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").T
+
+        def by_byte(values: np.ndarray) -> np.ndarray:
+            """Sums for all values of each byte."""
+            padded = np.zeros(size * 8, dtype=values.dtype)
+            padded[:count] = values
+            return padded.reshape(size, 8) @ choice.astype(values.dtype)
+
+        total = np.where(known, total, 0.0)[by_time]
+        self.odd = [(k, total[k]) for k in np.flatnonzero(~np.isfinite(total)).tolist()]
+        self.totals = by_byte(np.where(np.isfinite(total), total, 0.0))
+        self.counts = by_byte(n[by_time]) if (n != 1).any() else None
+
+    def _left(self, layout: list[np.ndarray], ranges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        found = None
+        for table, (low, high) in zip(layout, ranges):
+            bits = table[high]
+            cut = np.flatnonzero(low)
+            bits[cut] ^= table[low[cut]]
+            found = bits if found is None else np.bitwise_and(found, bits, out=found)
+        return found
+
+    def ask(self, us: np.ndarray, lat: np.ndarray, lon: np.ndarray, span: int, degrees: float):
+        """``event, n, total, most, known, last`` of the events that have places in their boxes."""
+        limits = ((us - span, us, "left"), (lat - degrees, lat + degrees, "right"),
+                  (lon - degrees, lon + degrees, "right"))
+        ranges = [(np.searchsorted(values, low, "left"), np.searchsorted(values, high, side))
+                  for values, (low, high, side) in zip(self.axes, limits)]
+        near = np.flatnonzero(np.logical_and.reduce([high > low for low, high in ranges]))
+        for begin in range(0, len(near), IN_CACHE):
+            event = near[begin:begin + IN_CACHE]
+            part = [(low[event], high[event]) for low, high in ranges]
+            bits = self._left(self.layouts[0], part)
+            some = bits.any(axis=1)
+            if not some.any():
+                continue
+            event, bits, part = event[some], bits[some], [(low[some], high[some]) for low, high in part]
+            rows, width = np.arange(len(event)), bits.shape[1]
+            word = width - 1 - (bits[:, ::-1] != 0).argmax(axis=1)
+            value = bits[rows, word]
+            upper = value >> np.uint64(32)
+            top = np.where(upper > 0, np.frexp(upper.astype(np.float64))[1] + 32,
+                           np.frexp((value & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]) - 1
+            last = self.us[word * 64 + top]
+            by_byte = np.ascontiguousarray(bits.view(np.uint8).T)
+            total = np.zeros(len(event))
+            n = None if self.counts is None else np.zeros(len(event), dtype=np.int64)
+            for k, byte in enumerate(by_byte):
+                total += self.totals[k].take(byte)
+                if n is not None:
+                    n += self.counts[k].take(byte)
+            if n is None:
+                n = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            with np.errstate(invalid="ignore"):
+                for k, x in self.odd:
+                    total[(bits[:, k >> 6] >> np.uint64(k & 63)) & np.uint64(1) != 0] += x
+            bits = self._left(self.layouts[1], part)
+            word = (bits != 0).argmax(axis=1)
+            value = bits[rows, word]
+            first = word * 64 + np.frexp((value & (~value + np.uint64(1))).astype(np.float64))[1] - 1
+            yield event, n, total, self.most[first], self.known[first], last
+
+
+#: Sums and sizes that are NaN, and totals without any size, as bits of ``odd``: pandas has one mark for NaN and null.
+NAN_SUM, NAN_MAX, NO_SIZE = 1, 2, 4
+
+
+def _area_totals(places: dict[str, np.ndarray], events: dict[str, np.ndarray], span: int,
+                 degrees: float) -> pd.DataFrame:
+    """Totals of events over the blocks of an area."""
+    count = len(events["us"])
+    n, last, total = np.zeros(count, np.int64), np.full(count, np.iinfo(np.int64).min), np.zeros(count)
+    most, known = np.full(count, -np.inf), np.zeros(count, bool)
+    border = np.flatnonzero((np.diff(places["cx"]) != 0) | (np.diff(places["cy"]) != 0)) + 1
+    for begin, end in zip([0, *border.tolist()], [*border.tolist(), len(places["us"])]):
+        part = {k: v[begin:end] for k, v in places.items()}
+        block = Bitmaps(part["us"], part["lat"], part["lon"], part["n"] >> 1, part["total"], part["most"],
+                        (part["n"] & 1) == 1)
+        for event, m, s, x, sized, at in block.ask(events["us"], events["lat"], events["lon"], span, degrees):
+            with np.errstate(invalid="ignore"):
+                total[event] += s
+            n[event] += m
+            last[event] = np.maximum(last[event], at)
+            most[event] = np.where(sized, np.maximum(most[event], x), most[event])
+            known[event] |= sized
+    some = n > 0
+    odd = np.isnan(total) * NAN_SUM + np.isnan(most) * NAN_MAX + ~known * NO_SIZE
+    return pd.DataFrame({"seq": events["n"], "_n": n, "_sum": total, "_max": most, "_last": last,
+                         "odd": odd.astype(np.int32)})[some]
+
+
+def _area_tasks(span: int, degrees: float, at_once: int):
+    """Places of an area come first, then its events, about ``at_once`` together."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, places, events, waiting = None, [], [], 0
+
+        def joined(parts):
+            return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+        def answers():
+            if places and events:
+                yield _area_totals(joined(places), joined(events), span, degrees)
+
+        for frame in frames:
+            by = frame[[*AREA, "share", "kind"]].to_numpy()
+            data = {k: frame[k].to_numpy() for k in ("cx", "cy", "us", "lat", "lon", "n", "total", "most")}
+            border = (np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1).tolist()
+            for begin, end in zip([0, *border], [*border, len(by)]):
+                if begin == end:
+                    continue
+                *at, kind = by[begin].tolist()
+                if at != key:
+                    yield from answers()
+                    key, places, events, waiting = at, [], [], 0
+                (events if kind else places).append({k: v[begin:end] for k, v in data.items()})
+                waiting += (end - begin) * kind
+                if waiting >= at_once:
+                    yield from answers()
+                    events, waiting = [], 0
+        yield from answers()
+
+    return run
+
+
+def bitmap_totals(probe: DataFrame, placed: DataFrame, blocks: DataFrame, span: int, degrees: float) -> DataFrame:
+    """Totals by event over the places of the given blocks, each block in one task."""
+    share_code(probe.sparkSession)
+
+    def area(cell: Column) -> Column:
+        return F.floor(cell / F.lit(TOGETHER)).cast("bigint")
+
+    def areas(name: str) -> Column:
+        return F.sequence(area(bucket(F.col(name) - degrees, degrees)), area(bucket(F.col(name) + degrees, degrees)))
+
+    held = placed.join(blocks.select(*BLOCK), BLOCK, "left_semi").withColumns(
+        {"ax": area(F.col("cx")), "ay": area(F.col("cy"))})
+    wanted = blocks.select(area(F.col("cx")).alias("ax"), area(F.col("cy")).alias("ay"), "slot").distinct()
+    slots = F.sequence(bucket(F.col("p_us") - span, span), bucket(F.col("p_us") - 1, span))
+    asked = (probe.where("p_seq is not null").withColumn("ax", F.explode(areas("p_lon")))
+             .withColumn("ay", F.explode(areas("p_lat"))).withColumn("slot", F.explode(slots))
+             .join(wanted, AREA, "left_semi"))
+    # One row per area with very many events, so few.
+    busy = materialize(asked.groupBy(*AREA).count().where(F.col("count") > MOST_EVENTS).select(
+        *AREA, F.ceil(F.col("count") / F.lit(MOST_EVENTS)).alias("shares")))
+    shares = F.coalesce("shares", F.lit(1))
+    none, zero = F.lit(0.0), F.lit(0).cast("bigint")
+    share = F.explode(F.sequence(zero, shares - 1))
+    places = held.join(F.broadcast(busy), AREA, "left").select(
+        *AREA, share.alias("share"), F.lit(0).alias("kind"), "cx", "cy", F.col("b_us").alias("us"),
+        F.col("b_lat").cast("double").alias("lat"), F.col("b_lon").cast("double").alias("lon"),
+        (F.col("b_n") * 2 + F.col("b_max").isNotNull().cast("bigint")).alias("n"),
+        F.coalesce(F.col("b_sum").cast("double"), none).alias("total"),
+        F.coalesce(F.col("b_max").cast("double"), none).alias("most"))
+    events = asked.join(F.broadcast(busy), AREA, "left").select(
+        *AREA, F.pmod(F.xxhash64("p_seq"), shares).alias("share"), F.lit(1).alias("kind"), zero.alias("cx"),
+        zero.alias("cy"), F.col("p_us").alias("us"), F.col("p_lat").cast("double").alias("lat"),
+        F.col("p_lon").cast("double").alias("lon"),
+        F.col("p_seq").cast("bigint").alias("n"), none.alias("total"), none.alias("most"))
+    rows = places.unionByName(events).repartition(*AREA, "share").sortWithinPartitions(
+        *AREA, "share", "kind", "cx", "cy")
+    found = rows.mapInPandas(_area_tasks(span, degrees, AT_ONCE),
+                             "seq bigint, _n bigint, _sum double, _max double, _last bigint, odd int")
+
+    def real(name: str, mark: int) -> Column:
+        """With NaN and null where they are marked."""
+        return (F.when(F.col("odd").bitwiseAND(NO_SIZE) > 0, None).when(F.col("odd").bitwiseAND(mark) > 0, float("nan"))
+                .otherwise(F.col(name)).alias(name))
+
+    return fold(found.select("seq", "_n", real("_sum", NAN_SUM), real("_max", NAN_MAX), "_last"), *TOTALS, key="seq")
+
+
 def box_totals(probe: DataFrame, places: DataFrame, pairs, span: int, degrees: float, crowded: int,
                rows_per_chunk: int | None = None) -> DataFrame:
     """``seq, _n, _sum, _max, _last`` over the places in the box before each event.
 
     ``probe`` has ``p_seq, p_us, p_lat, p_lon``, ``places`` has ``b_us, b_lat, b_lon`` and the
-    totals ``b_n, b_sum, b_max`` of each; ``pairs(probe, places)`` joins the sparse blocks.
+    totals ``b_n, b_sum, b_max`` of each; ``pairs(probe, places, few)`` joins the sparse blocks, with ``few``
+    where there are crowded ones besides.
     """
     placed = with_block(places, span, degrees)
-    blocks = crowded_blocks(placed, crowded)
+    fits = F.col("count").between(*BITMAP)
+    blocks = crowded_blocks(placed, min(crowded, PAIRED)).where(fits | (F.col("count") > crowded))
     if blocks.isEmpty():
-        return fold(pairs(probe, places))
+        return fold(pairs(probe, places, False))
     sparse = placed.join(blocks.select(*BLOCK), BLOCK, "left_anti").drop(*BLOCK)
-    data, asked = dense_rows(probe, placed, blocks, span, degrees, max(1, math.ceil(crowded / 8)))
-    parts = [fold(pairs(probe, sparse)), fold(edge_pairs(data, asked, span, degrees)),
-             _node_totals(materialize(node_rows(data, asked, span)), rows_per_chunk)]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [fold(pairs(probe, sparse, True))]
+    whole, large = blocks.where(fits), blocks.where(~fits)
+    if not whole.isEmpty():
+        parts.append(bitmap_totals(probe, placed, whole, span, degrees))
+    if not large.isEmpty():
+        data, asked = dense_rows(probe, placed, large, span, degrees, max(1, math.ceil(crowded / 8)))
+        parts += [fold(edge_pairs(data, asked, span, degrees)),
+                  _node_totals(materialize(node_rows(data, asked, span)), rows_per_chunk)]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
     return fold(every, *TOTALS, key="seq")

@@ -280,3 +280,28 @@ def test_larger_follows_of_small_slots_is_not_cut_along_time(events):
     for e in data:
         width = math.floor(max(10 ** (0.5 * e["mag"] - 1) * 6e7, 1))
         assert got[e["seq"]] == max([x["mag"] for x in data if us(e) <= us(x) <= us(e) + width] + [e["mag"]])
+
+
+def test_history_by_bitmaps_equals_pairs(spark, monkeypatch):
+    k = F.col("id")
+    mag = (F.when(k % 11 == 0, None).when(k % 97 == 1, float("nan")).when(k % 89 == 2, float("inf"))
+           .otherwise(k * 31 % 70 / 10.0))
+    rows = spark.range(900).select(
+        k.alias("seq"), F.timestamp_micros(k * 37 % 211 * 1_500_000_000).alias("time"),
+        (k * 17 % 40 / 20.0 - 1).alias("latitude"), (k * 29 % 60 / 20.0 - 1).alias("longitude"), mag.alias("mag"))
+    rows = rows.unionAll(rows.where("seq % 7 = 0")).unionAll(rows.where("seq = 5").withColumn("seq", F.lit(None)))
+    names = ["seq", "hist_count_2d", "hist_mag_mean_2d", "hist_mag_max_2d", "days_since_last"]
+
+    def taken(frame):
+        return sorted(((repr(r[0]), r[1], repr(round(r[2], 9)), repr(r[3]), r[4]) for r in frame.select(names).collect()))
+
+    want = taken(rangejoin.history_in_box(rows, 2, 1.0, crowded=10 ** 6))
+    assert {"nan", "inf", "0.0"} <= {r[2] for r in want}
+    trees, tasks, whole = [], [], boxes.bitmap_totals
+    monkeypatch.setattr(boxes, "dense_rows", lambda *args: trees.append(args))
+    monkeypatch.setattr(boxes, "bitmap_totals", lambda *args: tasks.append(args[2].count()) or whole(*args))
+    for most, at_once in ((200_000, 1 << 15), (100, 50)):
+        monkeypatch.setattr(boxes, "MOST_EVENTS", most)
+        monkeypatch.setattr(boxes, "AT_ONCE", at_once)
+        assert taken(rangejoin.history_in_box(rows, 2, 1.0, crowded=64)) == want
+    assert min(tasks) > 2 and not trees  # no places by all nodes of trees
