@@ -169,6 +169,33 @@ def test_templates_without_article_tags(spark):
     assert html_templates.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_classes_keep_their_order_each_time_and_nest(spark):
+    def texts(bodies):
+        rows = [(k, f"http://h/{k}", "<html><body>" + "".join(f"<div>{x}</div>" for x in body) + "</body></html>")
+                for k, body in enumerate(bodies)]
+        found = html_templates.extract(spark.createDataFrame(rows, PAGES)).collect()
+        return {r["page_id"]: r["text"].split("\n") for r in found}
+
+    # Two texts that stand around others twice, the second time the other way round, are no class.
+    mixed = texts([["One", "Two", f"Story {k}", *(["Two", "One"] if k % 2 else ["One", "Two"])] for k in range(8)])
+    assert all(sorted(mixed[k]) == ["One", "One", f"Story {k}", "Two", "Two"] for k in mixed)
+    even = texts([["One", "Two", f"Story {k}", "One", "Two"] for k in range(8)])
+    assert all(even[k] == [f"Story {k}"] for k in even)
+    # A class in one slot of another is template; in two slots it is none.
+    same = texts([["Top", *(["Left", "Right"] if k > 1 else []), f"Story {k}", "Middle", "Low"] for k in range(8)])
+    assert all(same[k] == [f"Story {k}"] for k in same)
+    moved = texts([["Top", *(["Left", "Right"] if k in (2, 3, 4) else []), f"Story {k}", "Middle",
+                    *(["Left", "Right"] if k > 4 else []), "Low"] for k in range(8)])
+    assert all(sorted(moved[k]) == sorted([f"Story {k}", *(["Left", "Right"] if k > 1 else [])]) for k in moved)
+
+
+def test_relations_of_classes():
+    inner, outer = (7, 2, [2, 3, 4, 5]), (9, 3, [0, 1, 8])
+    assert html_templates.relations([inner, outer]) == {(7, 9, 2): 2}
+    assert html_templates.relations([(7, 2, [1, 3]), (9, 2, [0, 2])]) == {(7, 9, 1): 1, (7, 9, -1): 1}
+    assert html_templates.relations([(7, 2, [0, 1]), (9, 2, [2, 3])]) == {}
+
+
 def test_unclosed_menu_keeps_the_article():
     text = html_templates.main_text("<nav><a>x</a><article><p>Kept</article><footer>f", frozenset())
     assert text == "Kept"
